@@ -189,6 +189,22 @@ def _bound(value: Any, now: datetime | None) -> Any:
     return value
 
 
+def _type_of(schema: T.StructType, name: str) -> T.DataType | None:
+    current: T.DataType | None = schema
+    for part in [name] if name in schema.fieldNames() else name.split("."):
+        if not isinstance(current, T.StructType) or part not in current.fieldNames():
+            return None
+        current = current[part].dataType
+    return current
+
+
+def _typed(value: Any, kind: T.DataType | None) -> Any:
+    """Zone-less columns get zone-less bounds, so the comparison still reaches the scan."""
+    if isinstance(value, datetime) and isinstance(kind, T.TimestampNTZType):
+        return F.lit(value).cast("timestamp_ntz")
+    return value
+
+
 def _element_type(schema: T.StructType, path: str) -> T.StructType:
     current: T.DataType = schema
     names = [path] if path in schema.fieldNames() else path.split(".")
@@ -226,7 +242,8 @@ def _compile(
                 clauses.append(nested(get(path), _on_element(inner, element, now)))
         elif kind == "range":
             for name, bounds in body.items():
-                resolved = {k: _bound(v, now) for k, v in bounds.items()}
+                kind_of = _type_of(schema, name)
+                resolved = {k: _typed(_bound(v, now), kind_of) for k, v in bounds.items()}
                 clauses.append(between(get(name), **resolved))
         else:
             build = {"term": term, "terms": terms, "match": match, "wildcard": wildcard}[kind]

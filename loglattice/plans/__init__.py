@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["filters"]
+MODULES = ["filters", "privacy"]
 
 
 def load_all() -> None:

@@ -257,7 +257,7 @@ def multi_index_scan(spark, folder):
 
 
 def log_search(spark, folder) -> DataFrame:
-    """Filter, normalise, mask, cap: slow or failing events of one week, newest first."""
+    """Slow failing events of one week, newest first: filter, normalise, cap, then mask."""
     spec = {
         "all": [
             ERROR,
@@ -267,9 +267,8 @@ def log_search(spark, folder) -> DataFrame:
     }
     found = p.search(logs(spark, folder), spec, now=NOW)
     shaped = hits.normalise_hits(found, extras=["event_id", "took"])
-    masked = mask_rows(shaped, keep=["trace_id"])
-    top = hits.capped(masked, [F.desc("timestamp"), F.asc("event_id")])
-    return top.withColumn("timestamp", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss"))
+    top = hits.capped(shaped, [F.desc("timestamp"), F.asc("event_id")])
+    return mask_rows(top, keep=["trace_id"]).withColumn("timestamp", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss"))
 
 
 query(
