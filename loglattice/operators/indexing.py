@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,25 +69,30 @@ def with_point_id(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("point_id", tx.uuid5(F.col("chunk_id")))
 
 
-def term_counts(rows: DataFrame, key: str, text: str) -> DataFrame:
+def term_counts(rows: DataFrame, key: str, text: str, carry: Sequence[str] = ()) -> DataFrame:
     """``(key, token, tf, dl)``: occurrences of each token and tokens in the text.
 
     The texts are placed by ``key`` once; counting, per-text maxima and later
     per-text sums then reuse that placement instead of shuffling terms.
     """
-    placed = rows.select(key, tx.tokens(F.col(text)).alias("_tokens")).repartition(key)
+    placed = rows.select(key, *carry, text).repartition(key)
+    tokens = placed.select(key, *carry, tx.tokens(F.col(text)).alias("_tokens"))
     return (
-        placed.select(key, F.size("_tokens").alias("dl"), F.explode("_tokens").alias("token"))
+        tokens.select(key, *carry, F.size("_tokens").alias("dl"), F.explode("_tokens").alias("token"))
         .groupBy(key, "token")
-        .agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+        .agg(F.count(F.lit(1)).alias("tf"), *[F.first(c).alias(c) for c in ("dl", *carry)])
     )
 
 
-def term_weights(rows: DataFrame, key: str, text: str) -> DataFrame:
+def term_weights(rows: DataFrame, key: str, text: str, carry: Sequence[str] = ()) -> DataFrame:
     """Sparse vector rows ``(key, token, idx, weight)`` with weight = tf / max tf of the text."""
     top = F.max("tf").over(Window.partitionBy(key))
-    return term_counts(rows, key, text).select(
-        key, "token", tx.token_index(F.col("token")).alias("idx"), (F.col("tf") / top).alias("weight")
+    return term_counts(rows, key, text, carry).select(
+        key,
+        "token",
+        tx.token_index(F.col("token")).alias("idx"),
+        (F.col("tf") / top).alias("weight"),
+        *carry,
     )
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from loglattice.functions import scoring
 from loglattice.functions import text as tx
+from loglattice.functions.predicates import as_of
 from loglattice.operators.indexing import term_counts, term_weights
 from loglattice.operators.scale import fits_broadcast, salted_join, top_k
 
@@ -20,76 +21,62 @@ SALTS = 64
 QUERY_BLOCK = 4096  # question vectors one task holds at a time
 
 
-def question_terms(questions: DataFrame, query_id: str, text: str) -> DataFrame:
-    """``(query_id, token, qw)`` with qw = tf / max tf of the question."""
-    weights = term_weights(questions.select(query_id, text), query_id, text)
-    return weights.select(query_id, "token", F.col("weight").alias("qw"))
+def question_terms(questions: DataFrame, query_id: str = "query_id", text: str = "question") -> DataFrame:
+    """``(query_id, token, qw[, not_after])`` with qw = tf / max tf of the question."""
+    carry = [c for c in ("not_after",) if c in questions.columns]
+    weights = term_weights(questions.select(query_id, text, *carry), query_id, text, carry)
+    return weights.select(query_id, "token", F.col("weight").alias("qw"), *carry)
 
 
-def _meet(postings: DataFrame, asked: DataFrame) -> DataFrame:
-    """Join postings and question terms on token.
+def _ranked(postings: DataFrame, asked: DataFrame, small: bool, weight: Column, k: int) -> DataFrame:
+    """Meet on token, sum per (question, chunk), keep the best k per question.
 
     Question terms measured small travel to the postings, which stay where their chunk
-    is; otherwise the join shuffles with the frequent tokens salted.
+    is, so sums and the first cut need no shuffle; otherwise the join shuffles with the
+    frequent tokens salted.  Question bounds drop later chunks before the sums.
     """
-    if fits_broadcast(asked):
-        return postings.join(F.broadcast(asked), "token")
-    return salted_join(postings, asked, "token", SALTS, ["chunk_id"])
+    if small:
+        met = postings.join(F.broadcast(asked), "token")
+    else:
+        met = salted_join(postings, asked, "token", SALTS, ["chunk_id"])
+    if "not_after" in asked.columns:
+        met = met.where(as_of(F.col("created_at"), F.col("not_after")))
+    scores = met.groupBy("query_id", "chunk_id").agg(F.round(F.sum(weight), 9).alias("score"))
+    return top_k(scores, ["query_id"], [F.desc("score"), F.asc("chunk_id")], k)
 
 
-def sparse_tf_dot(
-    questions: DataFrame, chunks: DataFrame, k: int, query_id: str = "query_id", text: str = "question"
-) -> DataFrame:
-    """Top-k chunks per question by the dot product of tf/max-tf weights.
+def sparse_tf_dot(questions: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+    """Top-k chunks per question by the dot product of tf / max-tf weights.
 
-    Postings are placed by chunk, so the per-pair sum and the first top-k cut happen
-    before anything is shuffled; only k rows per question and partition move.
+    ``questions(query_id, question[, not_after])``, ``chunks(chunk_id, content[, created_at])``.
     """
-    postings = term_weights(chunks, "chunk_id", "content").select("chunk_id", "token", "weight")
-    asked = question_terms(questions, query_id, text)
-    scores = (
-        _meet(postings, asked)
-        .groupBy(query_id, "chunk_id")
-        .agg(F.round(F.sum(F.col("qw") * F.col("weight")), 9).alias("score"))
-    )
-    return top_k(scores, [query_id], [F.desc("score"), F.asc("chunk_id")], k)
+    asked = question_terms(questions)
+    carry = ["created_at"] if "not_after" in questions.columns else []
+    postings = term_weights(chunks, "chunk_id", "content", carry).drop("idx")
+    return _ranked(postings, asked, fits_broadcast(asked), F.col("qw") * F.col("weight"), k)
 
 
 def sparse_bm25(
-    questions: DataFrame,
-    chunks: DataFrame,
-    k: int,
-    query_id: str = "query_id",
-    text: str = "question",
-    k1: float = 1.2,
-    b: float = 0.75,
+    questions: DataFrame, chunks: DataFrame, k: int, k1: float = 1.2, b: float = 0.75
 ) -> DataFrame:
     """Top-k chunks per question by Okapi BM25 over the distinct question tokens."""
-    asked = question_terms(questions, query_id, text).select(query_id, "token")
-    counts = term_counts(chunks, "chunk_id", "content")
+    asked = question_terms(questions).drop("qw")
+    carry = ["created_at"] if "not_after" in questions.columns else []
+    counts = term_counts(chunks, "chunk_id", "content", carry)
     lengths = chunks.select(F.size(tx.tokens(F.col("content"))).alias("dl")).where("dl > 0")
-    corpus = lengths.agg(
-        F.count(F.lit(1)).cast("double").alias("n"), F.avg("dl").alias("avgdl")
-    )
-    wanted = asked.select("token").distinct()
+    corpus = lengths.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("dl").alias("avgdl"))
     small = fits_broadcast(asked)
+    hint = F.broadcast if small else (lambda df: df)
     frequency = (
-        counts.join(F.broadcast(wanted) if small else wanted, "token", "left_semi")
+        counts.join(hint(asked.select("token").distinct()), "token", "left_semi")
         .groupBy("token")
         .agg(F.count(F.lit(1)).alias("df"))
     )
-    asked = asked.join(F.broadcast(frequency) if small else frequency, "token")
     weight = scoring.bm25_weight(
         F.col("tf"), F.col("df"), F.col("dl"),
         corpus.select("n").scalar(), corpus.select("avgdl").scalar(), k1, b,
     )
-    met = (
-        counts.join(F.broadcast(asked), "token")
-        if small
-        else salted_join(counts, asked, "token", SALTS, ["chunk_id"])
-    )
-    scores = met.groupBy(query_id, "chunk_id").agg(F.round(F.sum(weight), 9).alias("score"))
-    return top_k(scores, [query_id], [F.desc("score"), F.asc("chunk_id")], k)
+    return _ranked(counts, asked.join(hint(frequency), "token"), small, weight, k)
 
 
 # --------------------------------------------------------------------------- dense

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["filters", "privacy"]
+MODULES = ["filters", "privacy", "preparation", "ranking"]
 
 
 def load_all() -> None:
