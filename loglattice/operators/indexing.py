@@ -69,16 +69,33 @@ def with_point_id(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("point_id", tx.uuid5(F.col("chunk_id")))
 
 
-def term_counts(rows: DataFrame, key: str, text: str, carry: Sequence[str] = ()) -> DataFrame:
-    """``(key, token, tf, dl)``: occurrences of each token and tokens in the text.
+def place(rows: DataFrame, key: str, text: str, carry: Sequence[str] = ()) -> DataFrame:
+    """Texts placed by ``key`` once.
 
-    The texts are placed by ``key`` once; counting, per-text maxima and later
-    per-text sums then reuse that placement instead of shuffling terms.
+    Counting, per-text maxima and per-text sums reuse the placement instead of
+    shuffling terms, and several branches of one plan share the exchange.
     """
-    placed = rows.select(key, *carry, text).repartition(key)
-    tokens = placed.select(key, *carry, tx.tokens(F.col(text)).alias("_tokens"))
+    return rows.select(key, *carry, text).repartition(key)
+
+
+def tokenised(placed: DataFrame, text: str) -> DataFrame:
+    """Replace ``text`` by ``_tokens`` and their number ``dl``."""
+    kept = [c for c in placed.columns if c != text]
+    listed = placed.select(*kept, tx.tokens(F.col(text)).alias("_tokens"))
+    return listed.withColumn("dl", F.size("_tokens"))
+
+
+def term_counts(rows: DataFrame, key: str, text: str, carry: Sequence[str] = ()) -> DataFrame:
+    """``(key, token, tf, dl)``: occurrences of each token and tokens in the text."""
+    return placed_counts(place(rows, key, text, carry), key, text, carry)
+
+
+def placed_counts(placed: DataFrame, key: str, text: str, carry: Sequence[str] = ()) -> DataFrame:
+    # explode_outer: plain explode would have Spark tokenise a second time in a size filter
     return (
-        tokens.select(key, *carry, F.size("_tokens").alias("dl"), F.explode("_tokens").alias("token"))
+        tokenised(placed, text)
+        .select(key, *carry, "dl", F.explode_outer("_tokens").alias("token"))
+        .where(F.col("token").isNotNull())
         .groupBy(key, "token")
         .agg(F.count(F.lit(1)).alias("tf"), *[F.first(c).alias(c) for c in ("dl", *carry)])
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loglattice.operators.scale import latest_wins
+from loglattice.operators.scale import latest_wins, running_total
 
 XML_ROWS_PER_PART = 1000
 
@@ -27,6 +27,12 @@ def fetch_many(memories: DataFrame, wanted: DataFrame) -> DataFrame:
     return wanted.join(memories.where(F.col("value") != "").select("key", "value"), "key")
 
 
+def number(rows: DataFrame, group: str, ask: str) -> DataFrame:
+    """Dense 1-based ``pos`` per request by an integer ``ask`` order, for requests of any length."""
+    segment = F.floor(F.col(ask) / XML_ROWS_PER_PART)
+    return running_total(rows, [group], segment, [F.asc(ask), F.asc("key")], F.lit(1), "pos")
+
+
 def fetch_prefix(memories: DataFrame, prefix: str | Column) -> DataFrame:
     """Keys starting with a literal prefix; ``%`` and ``_`` have no special meaning."""
     start = prefix if isinstance(prefix, Column) else F.lit(prefix)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from loglattice.functions import scoring
 from loglattice.functions import text as tx
 from loglattice.functions.predicates import as_of
-from loglattice.operators.indexing import term_counts, term_weights
+from loglattice.operators.indexing import place, placed_counts, term_weights, tokenised
 from loglattice.operators.scale import fits_broadcast, salted_join, top_k
 
 CANDIDATES, RERANKED = 3, 2  # fixed values: over-fetch factors per retriever and reranker
@@ -62,9 +62,11 @@ def sparse_bm25(
     """Top-k chunks per question by Okapi BM25 over the distinct question tokens."""
     asked = question_terms(questions).drop("qw")
     carry = ["created_at"] if "not_after" in questions.columns else []
-    counts = term_counts(chunks, "chunk_id", "content", carry)
-    lengths = chunks.select(F.size(tx.tokens(F.col("content"))).alias("dl")).where("dl > 0")
-    corpus = lengths.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("dl").alias("avgdl"))
+    placed = place(chunks, "chunk_id", "content", carry)
+    counts = placed_counts(placed, "chunk_id", "content", carry)
+    lengths = tokenised(placed, "content").select("dl").where("dl > 0")
+    size = F.struct(F.count(F.lit(1)).cast("double").alias("n"), F.avg("dl").alias("avgdl"))
+    corpus = lengths.agg(size.alias("corpus")).scalar()
     small = fits_broadcast(asked)
     hint = F.broadcast if small else (lambda df: df)
     frequency = (
@@ -73,8 +75,7 @@ def sparse_bm25(
         .agg(F.count(F.lit(1)).alias("df"))
     )
     weight = scoring.bm25_weight(
-        F.col("tf"), F.col("df"), F.col("dl"),
-        corpus.select("n").scalar(), corpus.select("avgdl").scalar(), k1, b,
+        F.col("tf"), F.col("df"), F.col("dl"), corpus["n"], corpus["avgdl"], k1, b
     )
     return _ranked(counts, asked.join(hint(frequency), "token"), small, weight, k)
 

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["filters", "privacy", "preparation", "ranking"]
+MODULES = ["filters", "privacy", "preparation", "ranking", "contexts", "memory"]
 
 
 def load_all() -> None:
