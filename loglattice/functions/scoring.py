@@ -71,10 +71,13 @@ def token_overlap(query: Column, content: Column) -> Column:
     return F.when(F.size(asked) > 0, found / F.size(asked)).otherwise(F.lit(0.0))
 
 
-def clamp_confidence(raw: Column) -> Column:
-    """A number into [0, 1]; anything else is 0.5."""
-    number = raw.try_cast("double")
-    return F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), number)), F.lit(0.5))
+def clamp_confidence(payload: Column) -> Column:
+    """``confidence`` of a JSON report: a number into [0, 1], another type 0.5, absent null."""
+    value = F.try_variant_get(F.try_parse_json(payload), "$.confidence", "variant")
+    numeric = F.schema_of_variant(value).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL|BOOLEAN)")
+    number = F.try_variant_get(value, "$", "double")
+    clamped = F.least(F.lit(1.0), F.greatest(F.lit(0.0), number))
+    return F.when(value.isNotNull(), F.when(numeric, clamped).otherwise(0.5))
 
 
 def confidence(

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["filters", "privacy", "preparation", "ranking", "contexts", "memory"]
+MODULES = ["filters", "privacy", "preparation", "ranking", "contexts", "memory", "graph", "measures", "catalogs", "live"]
 
 
 def load_all() -> None:

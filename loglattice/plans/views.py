@@ -62,9 +62,12 @@ SOURCE_TYPES = ["runbook", "jira", "slack", "github"]
 
 
 def raw_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents in raw form; status, acceptance and merge flags come from the labels."""
     docs = spread(read_table(spark, folder, "documents"), "doc_id")
-    labels = read_table(spark, folder, "labels")
+    return as_raw(docs, read_table(spark, folder, "labels"))
+
+
+def as_raw(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Documents in raw form; status, acceptance and merge flags come from the labels."""
     source = F.element_at(
         F.array(*[F.lit(s) for s in SOURCE_TYPES]), (F.substring("source", 4, 9).cast("int") % 4) + 1
     )
