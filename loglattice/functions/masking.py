@@ -85,7 +85,8 @@ def mask_rows(df: DataFrame, keep: Iterable[str] = ()) -> DataFrame:
 def findings(text: Column, kind: str) -> Column:
     """Number of matches of one kind."""
     pattern = next(p for k, p, _ in PATTERNS if k == kind)
-    return F.coalesce(F.regexp_count(text, F.lit(pattern)), F.lit(0))
+    count = F.coalesce(F.regexp_count(text, F.lit(pattern)), F.lit(0))
+    return F.when(F.contains(text, F.lit(NEEDS[kind])), count).otherwise(0) if kind in NEEDS else count
 
 
 def luhn_valid(number: Column) -> Column:

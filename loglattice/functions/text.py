@@ -26,21 +26,27 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, f"(?U)^{WS}+|{WS}+$", "")
 
 
+def not_blank(text: Column) -> Column:
+    """True when any character is not whitespace; stops at the first one."""
+    return text.rlike(r"(?U)[^\s\x1c-\x1f]")
+
+
 def split_words(text: Column) -> Column:
     """Whitespace-separated words; a blank text has none."""
     return F.filter(F.split(text, f"(?U){WS}+"), lambda w: w != "")
 
 
-def word_windows(text: Column, size: int, overlap: int = 0) -> Column:
+def word_windows(text: Column, size: int | Column, overlap: int | Column = 0) -> Column:
     """Windows of ``size`` words; the first window reaching the end is the last."""
-    step = max(1, size - overlap)
+    width = size if isinstance(size, Column) else F.lit(size)
+    step = F.greatest(F.lit(1), width - overlap)
 
     def windows(tokens: Column) -> Column:
         total = F.size(tokens)
-        count = F.when(total <= size, 1).otherwise(F.ceil((total - size) / F.lit(step)) + 1)
-        starts = F.sequence(F.lit(0), (count - 1).cast("int"))
+        extra = F.greatest(F.lit(0), F.ceil((total - width) / step)).cast("int")
         cut = F.transform(
-            starts, lambda i: F.array_join(F.slice(tokens, i * step + 1, F.lit(size)), " ")
+            F.sequence(F.lit(0), extra),
+            lambda i: F.array_join(F.slice(tokens, i * step + 1, width), " "),
         )
         return F.when(total > 0, cut).otherwise(F.array().cast("array<string>"))
 

@@ -14,30 +14,28 @@ from loglattice.functions.identifiers import tag_identifiers
 
 def tag_documents(docs: DataFrame) -> DataFrame:
     """Trim the text, drop blank documents, tag identifiers."""
-    return (
-        docs.withColumn("raw_text", tx.strip(F.col("raw_text")))
-        .where(F.col("raw_text") != "")
-        .withColumn("raw_text", tag_identifiers("raw_text"))
+    stripped = docs.where(tx.not_blank(F.col("raw_text"))).withColumn(
+        "raw_text", tx.strip(F.col("raw_text"))
     )
+    return stripped.withColumn("raw_text", tag_identifiers("raw_text"))
 
 
 def split_chunks(docs: DataFrame) -> DataFrame:
-    """One row per chunk by the rule of the document's source; other columns are kept."""
+    """One row per chunk by the rule of the document's source; other columns are kept.
+
+    Texts are not blank here, so no chunk is either.
+    """
     source, text = F.col("source_type"), F.col("raw_text")
-    pieces = (
-        F.when(
-            source.isin(meta.WINDOW_SOURCES),
-            tx.word_windows(text, meta.WINDOW_SIZE, meta.WINDOW_OVERLAP),
-        )
-        .when(source.isin(meta.PARAGRAPH_SOURCES), tx.paragraph_windows(text, meta.PARAGRAPH_SIZE))
-        .otherwise(F.array(text))
-    )
+    windowed = source.isin(meta.WINDOW_SOURCES)
+    sections = F.when(windowed, F.array(text)).otherwise(tx.paragraphs(text))
+    size = F.when(windowed, meta.WINDOW_SIZE).otherwise(meta.PARAGRAPH_SIZE)
+    overlap = F.when(windowed, meta.WINDOW_OVERLAP).otherwise(0)
+    cut = F.flatten(F.transform(sections, lambda s: tx.word_windows(s, size, overlap)))
+    known = source.isin(meta.WINDOW_SOURCES + meta.PARAGRAPH_SOURCES)
+    pieces = F.when(known, cut).otherwise(F.array(text))
     kept = [c for c in docs.columns if c != "raw_text"]
-    return (
-        docs.select(*kept, F.posexplode(pieces).alias("ordinal", "content"))
-        .where(tx.strip(F.col("content")) != "")
-        .withColumn("chunk_id", tx.chunk_id(F.col("doc_id"), F.col("ordinal")))
-    )
+    rows = docs.select(*kept, F.posexplode(pieces).alias("ordinal", "content"))
+    return rows.withColumn("chunk_id", tx.chunk_id(F.col("doc_id"), F.col("ordinal")))
 
 
 def enrich(rows: DataFrame) -> DataFrame:
@@ -90,14 +88,22 @@ def term_counts(rows: DataFrame, key: str, text: str, carry: Sequence[str] = ())
     return placed_counts(place(rows, key, text, carry), key, text, carry)
 
 
-def placed_counts(placed: DataFrame, key: str, text: str, carry: Sequence[str] = ()) -> DataFrame:
-    # explode_outer: plain explode would have Spark tokenise a second time in a size filter
-    return (
+def placed_counts(
+    placed: DataFrame, key: str, text: str, carry: Sequence[str] = (), only: DataFrame | None = None
+) -> DataFrame:
+    """Counts from placed texts, of the tokens in ``only`` when given.
+
+    explode_outer: plain explode would have Spark tokenise a second time in a size filter.
+    """
+    terms = (
         tokenised(placed, text)
         .select(key, *carry, "dl", F.explode_outer("_tokens").alias("token"))
         .where(F.col("token").isNotNull())
-        .groupBy(key, "token")
-        .agg(F.count(F.lit(1)).alias("tf"), *[F.first(c).alias(c) for c in ("dl", *carry)])
+    )
+    if only is not None:
+        terms = terms.join(only, "token", "left_semi")
+    return terms.groupBy(key, "token").agg(
+        F.count(F.lit(1)).alias("tf"), *[F.first(c).alias(c) for c in ("dl", *carry)]
     )
 
 

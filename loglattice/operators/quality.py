@@ -92,7 +92,7 @@ def retrieval_quality(ranking: DataFrame, truth: DataFrame, k: int) -> DataFrame
 def bracket_error(kql: Column) -> Column:
     """First unbalanced bracket with its 0-based position, else null.
 
-    Folds over the bracket characters only, carrying the stack of open ones.
+    Texts holding a bracket are folded over their brackets, carrying the stack of open ones.
     """
     chars = F.transform(
         F.split(kql, ""), lambda c, i: F.struct(c.alias("c"), i.cast("int").alias("i"))
@@ -132,7 +132,7 @@ def bracket_error(kql: Column) -> Column:
         )
         return F.coalesce(acc["bad"], F.when(F.size(acc["open"]) > 0, unclosed))
 
-    return F.aggregate(brackets, start, step, finish)
+    return F.when(kql.rlike(r"[(){}]"), F.aggregate(brackets, start, step, finish))
 
 
 def doubled_operators(kql: Column) -> Column:

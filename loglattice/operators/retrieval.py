@@ -62,18 +62,16 @@ def sparse_bm25(
     """Top-k chunks per question by Okapi BM25 over the distinct question tokens."""
     asked = question_terms(questions).drop("qw")
     carry = ["created_at"] if "not_after" in questions.columns else []
+    small = fits_broadcast(asked)
+    hint = F.broadcast if small else (lambda df: df)
+    wanted = asked.select("token").distinct()
     placed = place(chunks, "chunk_id", "content", carry)
-    counts = placed_counts(placed, "chunk_id", "content", carry)
+    counts = placed_counts(placed, "chunk_id", "content", carry, hint(wanted) if small else None)
     lengths = tokenised(placed, "content").select("dl").where("dl > 0")
     size = F.struct(F.count(F.lit(1)).cast("double").alias("n"), F.avg("dl").alias("avgdl"))
     corpus = lengths.agg(size.alias("corpus")).scalar()
-    small = fits_broadcast(asked)
-    hint = F.broadcast if small else (lambda df: df)
-    frequency = (
-        counts.join(hint(asked.select("token").distinct()), "token", "left_semi")
-        .groupBy("token")
-        .agg(F.count(F.lit(1)).alias("df"))
-    )
+    seen = counts if small else counts.join(wanted, "token", "left_semi")
+    frequency = seen.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     weight = scoring.bm25_weight(
         F.col("tf"), F.col("df"), F.col("dl"), corpus["n"], corpus["avgdl"], k1, b
     )

@@ -15,7 +15,8 @@ from loglattice.plans.registry import query
 from loglattice.plans.views import (
     CHUNKS, DOCS, NOW, NOW_SQL, QUESTIONS, chunks, messages, now_column, questions, raw_documents,
 )
-from loglattice.session import cut_lineage
+from loglattice.plans.preparation import scratch
+from loglattice.sources import versions
 from loglattice.sources.tables import read_table, spread
 
 BASE = f"WITH {CHUNKS}, {QUESTIONS}"
@@ -191,9 +192,11 @@ fused AS (SELECT query_id, chunk_id, round(coalesce(w_dense * (1.0::DOUBLE / (60
 
 
 def _stored_chunks(spark, folder):
-    """The chunk table as ingest leaves it: written once, then read by every retriever."""
-    rows = chunks(spark, folder)
-    return cut_lineage(rows.withColumn("vector", tx.hash_vector(F.col("content"), DIMS)))
+    """The chunk table as ingest leaves it: written once, then each retriever reads its columns."""
+    root = scratch(spark, "chunks")
+    rows = chunks(spark, folder).withColumn("vector", tx.hash_vector(F.col("content"), DIMS))
+    versions.upsert(rows, root, 0)
+    return spark.read.parquet(f"{root}/version=0")
 
 
 @query("fused_ranking", f"{_HYBRID}, {_top('SELECT * FROM fused', 8, 'best')} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM best")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from loglattice.functions.metadata import PARAGRAPH_SOURCES, WINDOW_SOURCES
 from loglattice.operators.indexing import enrich, split_chunks
-from loglattice.functions.text import strip
+from loglattice.functions.text import not_blank, strip
 from loglattice.sources.tables import read_table, spread
 
 NOW = datetime(2024, 1, 20)
@@ -148,8 +148,8 @@ CHUNKS = f"{DOCS},\n{chunk_sql()}"
 
 def chunks(spark: SparkSession, folder: str) -> DataFrame:
     """Chunk rows with metadata, cut from the trimmed text without tagging."""
-    docs = raw_documents(spark, folder).withColumn("raw_text", strip(F.col("raw_text")))
-    return split_chunks(enrich(docs.where("raw_text <> ''")))
+    docs = raw_documents(spark, folder).where(not_blank(F.col("raw_text")))
+    return split_chunks(enrich(docs.withColumn("raw_text", strip(F.col("raw_text")))))
 
 
 # ------------------------------------------------------------------------- questions

@@ -1,11 +1,10 @@
-"""Session defaults and the shared folder used to cut lineage."""
+"""Session defaults and the shared folder for written tables."""
 
 from __future__ import annotations
 
-import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 # Runtime settings every job relies on.  Shuffle parallelism is deliberately
 # absent: it belongs to the cluster, and AQE coalesces whatever it is given.
@@ -38,18 +37,10 @@ def build_session(
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder for checkpoints: the one the cluster names, else (tests) a fresh local one."""
+    """Folder for intermediate tables: the one the cluster names, else (tests) a fresh local one."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     return tempfile.mkdtemp(prefix="loglattice-")
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives the loss of any executor."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(os.path.join(shared_dir(df.sparkSession), "checkpoints"))
-    return df.checkpoint()
