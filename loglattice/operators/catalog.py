@@ -64,24 +64,20 @@ def visible(indices: DataFrame) -> DataFrame:
 def match_hints(indices: DataFrame, hints: DataFrame) -> DataFrame:
     """``(query_id, index)`` where some hint of the query matches the index name.
 
-    Hint and index first meet on the hint's literal prefix, so the pattern is tried
-    only on names that share it.
+    Each distinct hint is matched once.  Hint and name first meet on the hint's literal
+    prefix, so the pattern is tried only on names that share it.
     """
-    keyed = hints.select(
-        "query_id",
+    patterns = hints.select("hint").distinct().select(
+        "hint",
         F.regexp_extract("hint", r"^[^*?\[]*", 0).alias("_prefix"),
         glob_to_regex(F.col("hint")).alias("_regex"),
-    ).distinct()
+    )
     prefixes = F.transform(
         F.sequence(F.lit(0), F.length("index")), lambda n: F.left(F.col("index"), n)
     )
     names = indices.select("index").distinct().select("index", F.explode(prefixes).alias("_prefix"))
-    return (
-        keyed.join(names, "_prefix")
-        .where(F.expr("index rlike _regex"))
-        .select("query_id", "index")
-        .distinct()
-    )
+    matched = patterns.join(names, "_prefix").where(F.expr("index rlike _regex"))
+    return hints.join(matched.select("hint", "index"), "hint").select("query_id", "index").distinct()
 
 
 def describe(catalog: DataFrame) -> DataFrame:

@@ -50,6 +50,17 @@ def small_side(
     return F.broadcast(df) if fits_broadcast(df, max_rows, max_bytes) else df
 
 
+def fetch_rows(table: DataFrame, wanted: DataFrame, key: str, owners: DataFrame, per_owner: int) -> DataFrame:
+    """Rows of a large table for a few wanted keys, without shuffling the table when few.
+
+    ``wanted`` holds at most ``per_owner`` fixed-width rows per row of ``owners``; counting
+    the owners therefore proves its size before it is broadcast.
+    """
+    limit = max(1, BROADCAST_ROWS // per_owner)
+    few = owners.limit(limit + 1).count() <= limit
+    return table.join(F.broadcast(wanted) if few else wanted, key)
+
+
 def salted_join(
     large: DataFrame, small: DataFrame, key: str, salts: int, spread_by: Sequence[str]
 ) -> DataFrame:
@@ -135,6 +146,8 @@ def exact_percentile(
         F.min("_v").alias("_min"),
         F.max("_v").alias("_max"),
     )
+    # one fixed-width row per group: counting the groups bounds what is broadcast
+    few_groups = fits_broadcast(rows.select(*group).distinct(), max_rows=10_000)
     short = F.col("_n") <= 4 * accuracy
     low_edge, high_edge = F.lit(q <= slack), F.lit(q >= 1.0 - slack)
     bounds = bounds.select(
@@ -144,7 +157,7 @@ def exact_percentile(
         F.when(short | high_edge, F.col("_max")).otherwise(F.col("_s")[1]).alias("_hi"),
     )
     counts = (
-        rows.join(bounds, list(group))
+        rows.join(F.broadcast(bounds) if few_groups else bounds, list(group))
         .where(F.col("_v") <= F.col("_hi"))
         .withColumn("_v", F.when(F.col("_v") >= F.col("_lo"), F.col("_v")))
         .groupBy(*group, "_n", "_v")

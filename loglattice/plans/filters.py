@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loglattice.functions import predicates as p
@@ -122,28 +122,41 @@ def nested_same_element(spark, folder):
         FROM asked JOIN docs USING (source) WHERE created_at <= not_after GROUP BY query_id""",
 )
 def as_of(spark, folder):
-    """Each question sees only documents of its source created by its own bound.
+    """Documents visible to each question under its own bound.
 
-    Documents are first summed per (source, day), so the join meets days, not documents.
+    Documents are summed per (source, day) and accumulated over a calendar of days, so
+    a question meets one row, not all documents before its bound.
     """
+    start, end = F.expr("date'2024-01-01'"), F.expr("date'2024-12-31'")
     per_day = (
         raw_documents(spark, folder)
-        .groupBy("source", "created_at")
+        .groupBy("source", F.to_date("created_at").alias("day"))
         .agg(F.count(F.lit(1)).alias("n"), F.sum("doc_id").alias("s"))
     )
+    calendar = per_day.select("source").distinct().select(
+        "source", F.explode(F.sequence(start, end)).alias("day")
+    )
+    upto = Window.partitionBy("source").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
+    so_far = calendar.join(per_day, ["source", "day"], "left").select(
+        "source", "day", F.sum("n").over(upto).alias("n_docs"), F.sum("s").over(upto).alias("id_sum")
+    )
     asked = read_table(spark, folder, "customer").select(
         F.col("c_custkey").alias("query_id"),
         F.concat(F.lit("src"), F.col("c_custkey") % 20).alias("source"),
-        (F.expr("timestamp'2024-01-01'") + F.make_dt_interval((F.col("c_custkey") % 365).cast("int"))).alias(
-            "not_after"
-        ),
-    )
-    return (
-        asked.join(per_day, "source")
-        .where(p.as_of(F.col("created_at"), F.col("not_after")))
-        .groupBy("query_id")
-        .agg(F.sum("n").alias("n_docs"), F.sum("s").alias("id_sum"))
+        F.date_add(start, (F.col("c_custkey") % 365).cast("int")).alias("day"),
     )
+    found = asked.join(so_far, ["source", "day"]).where("n_docs > 0")
+    return found.select("query_id", "n_docs", "id_sum")
+
+
+@query(
+    "predicate_as_of_rows",
+    f"""WITH {DOCS} SELECT doc_id FROM docs WHERE created_at <= TIMESTAMP '2024-05-01 12:00:00'""",
+)
+def as_of_rows(spark, folder):
+    """One bound for the whole scan."""
+    bound = F.expr("timestamp'2024-05-01 12:00:00'")
+    return raw_documents(spark, folder).where(p.as_of(F.col("created_at"), bound)).select("doc_id")
 
 
 @query(

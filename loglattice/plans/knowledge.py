@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loglattice.functions import scoring
 from loglattice.operators import retrieval
-from loglattice.operators.scale import top_k
+from loglattice.operators.scale import fetch_rows, top_k
 
 
 def retrieve(
@@ -44,7 +44,6 @@ def retrieve(
     if recency_now is not None:
         now = F.lit(recency_now).cast("timestamp")
         payload = payload.withColumn("recency_score", scoring.recency_factor(F.col("created_at"), now))
-    candidates = best.join(payload, "chunk_id").join(
-        questions.select("query_id", "question"), "query_id"
-    )
+    found = fetch_rows(payload, best, "chunk_id", questions, max_chunks * retrieval.RERANKED)
+    candidates = found.join(questions.select("query_id", "question"), "query_id")
     return retrieval.authority_rank(retrieval.rerank(candidates, scorer), max_chunks)

@@ -9,7 +9,7 @@ from loglattice.functions import scoring
 from loglattice.functions import text as tx
 from loglattice.operators import retrieval
 from loglattice.operators.quality import retrieval_quality
-from loglattice.operators.scale import top_k
+from loglattice.operators.scale import fetch_rows, fits_broadcast, top_k
 from loglattice.plans.knowledge import retrieve
 from loglattice.plans.registry import query
 from loglattice.plans.views import (
@@ -329,7 +329,7 @@ def examples_for_indices(spark, folder):
     """Eight nearest, those naming an index outside the selection dropped, four kept."""
     asked, examples = _asked(spark, folder).drop("not_after"), _examples(spark, folder)
     near = retrieval.dense_cosine(asked, examples, 8)
-    uses = near.join(examples.select("chunk_id", "uses_index"), "chunk_id")
+    uses = fetch_rows(examples.select("chunk_id", "uses_index"), near, "chunk_id", asked, 8)
     choice = F.when(F.col("query_id") % 2 == 0, F.array(F.lit("user"), F.lit("system"))).otherwise(
         F.array(F.lit("assistant"))
     )
@@ -345,7 +345,8 @@ def _truth(spark, folder):
     """(query_id, doc_id) pairs where the document holds the question's first 60 characters.
 
     Two whole words inside the passage anchor the search: documents meet questions on
-    that word pair, and only those candidates are compared in full.
+    that word pair and only then are compared in full.  Few questions travel to the
+    documents; many are matched by pair first and the texts fetched afterwards.
     """
     docs = spread(read_table(spark, folder, "documents"), "doc_id")
     passage = questions(spark, folder).select("query_id", F.left("question", F.lit(60)).alias("passage"))
@@ -358,14 +359,14 @@ def _truth(spark, folder):
             lambda i: F.array_join(F.slice(w, i, F.lit(2)), " "),
         ),
     )
-    found = docs.select("doc_id", F.explode(F.array_distinct(pairs)).alias("anchor"))
-    candidates = found.join(anchored, "anchor").select("doc_id", "query_id", "passage")
-    return (
-        docs.join(candidates, "doc_id")
-        .where(F.contains(F.col("text"), F.col("passage")))
-        .select("query_id", "doc_id")
-        .distinct()
-    )
+    anchors = F.explode(F.array_distinct(pairs)).alias("anchor")
+    if fits_broadcast(anchored):
+        met = docs.select("doc_id", "text", anchors).join(F.broadcast(anchored), "anchor")
+    else:
+        keys = docs.select("doc_id", anchors).join(anchored, "anchor").drop("anchor").distinct()
+        met = docs.join(keys, "doc_id")
+    holds = F.contains(F.col("text"), F.col("passage"))
+    return met.where(holds).select("query_id", "doc_id").distinct()
 
 
 _TRUTH = """truth AS (SELECT DISTINCT item_id AS query_id, doc_id FROM benchmark b, documents d

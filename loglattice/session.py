@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
+# Task functions travel whole, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules["loglattice"])
+
 # Runtime settings every job relies on.  Shuffle parallelism is deliberately
 # absent: it belongs to the cluster, and AQE coalesces whatever it is given.
 RUNTIME_CONF = {
