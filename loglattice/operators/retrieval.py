@@ -40,7 +40,8 @@ def _ranked(postings: DataFrame, asked: DataFrame, small: bool, weight: Column,
     else:
         met = salted_join(postings, asked, "token", SALTS, ["chunk_id"])
     if "not_after" in asked.columns:
-        met = met.where(as_of(F.col("created_at"), F.col("not_after")))
+        unbounded = F.col("not_after").isNull()
+        met = met.where(unbounded | as_of(F.col("created_at"), F.col("not_after")))
     scores = met.groupBy("query_id", "chunk_id").agg(F.round(F.sum(weight), 9).alias("score"))
     return top_k(scores, ["query_id"], [F.desc("score"), F.asc("chunk_id")], k)
 
@@ -97,7 +98,7 @@ def _best(q: np.ndarray, ids: np.ndarray, s: np.ndarray, k: int) -> tuple[np.nda
 
 
 def _dense_block(
-    chunks: DataFrame, names: list, vectors: np.ndarray, bounds: np.ndarray | None, k: int,
+    chunks: DataFrame, names: pa.Array, vectors: np.ndarray, bounds: np.ndarray | None, k: int,
     query_type: str,
 ) -> DataFrame:
     unit_queries = _unit(vectors)
@@ -107,10 +108,12 @@ def _dense_block(
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_names, queries, not_after = shared.value
         best = (np.array([], int), None, np.array([], float))
+        id_kind = None
         floor = np.full(len(query_names), -np.inf)
         for batch in batches:
             vectors_in = batch.column(batch.schema.get_field_index("vector"))
             valid = np.asarray(vectors_in.is_valid())
+            id_kind = batch.column(0).type
             ids = np.asarray(batch.column(0).to_pylist())[valid]
             if not ids.size:
                 continue
@@ -142,8 +145,8 @@ def _dense_block(
         if best[1] is not None:
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([query_names[i] for i in best[0]]),
-                    pa.array(best[1].tolist()),
+                    query_names.take(pa.array(best[0])),
+                    pa.array(best[1].tolist(), type=id_kind),
                     pa.array(best[2]),
                 ],
                 names=["query_id", "chunk_id", "score"],
@@ -158,25 +161,24 @@ def _dense_block(
 def _dense_partials(
     queries: DataFrame, chunks: DataFrame, k: int, block: int, level: int = 0
 ) -> list[DataFrame]:
-    rows = queries.limit(block + 1).collect()
-    if len(rows) > block:  # more than one block: halve by hash and rank each half
+    rows = queries.limit(block + 1).toArrow().combine_chunks()
+    if rows.num_rows > block:  # more than one block: halve by hash and rank each half
         side = F.shiftright(F.xxhash64(F.lit(level), "query_id"), 7).bitwiseAND(F.lit(1))
         return [
             frame
             for half in (0, 1)
             for frame in _dense_partials(queries.where(side == half), chunks, k, block, level + 1)
         ]
-    rows = [r for r in rows if r["vector"] is not None]
-    if not rows:
+    rows = rows.filter(rows.column("vector").is_valid()).combine_chunks()
+    if not rows.num_rows:
         return []
-    vectors = np.array([r["vector"] for r in rows], dtype=np.float64)
+    names, vectors = (rows.column(c).chunk(0) for c in ("query_id", "vector"))
+    matrix = vectors.flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, -1)
     bounds = None
     if "not_after_us" in queries.columns:
-        bounds = np.array(
-            [np.iinfo(np.int64).max if r["not_after_us"] is None else r["not_after_us"] for r in rows]
-        )
+        bounds = rows.column("not_after_us").to_numpy()
     query_type = queries.schema["query_id"].dataType.simpleString()
-    return [_dense_block(chunks, [r["query_id"] for r in rows], vectors, bounds, k, query_type)]
+    return [_dense_block(chunks, names, matrix, bounds, k, query_type)]
 
 
 def dense_cosine(
@@ -194,10 +196,8 @@ def dense_cosine(
     query_columns = ["query_id", F.col("vector").cast("array<double>").alias("vector")]
     if "not_after" in queries.columns:
         micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-        query_columns.append(micros("not_after").alias("not_after_us"))
-        chunk_columns.append(
-            F.coalesce(micros("created_at"), F.lit(2**63 - 1)).alias("created_us")
-        )
+        query_columns.append(F.coalesce(micros("not_after"), F.lit(2**63 - 1)).alias("not_after_us"))
+        chunk_columns.append(F.coalesce(micros("created_at"), F.lit(2**63 - 1)).alias("created_us"))
     parts = _dense_partials(
         queries.select(*query_columns), chunks.select(*chunk_columns), k, block
     )
