@@ -95,11 +95,10 @@ def link(
 ) -> DataFrame:
     """Selected indices per query: hint matches, else similar ones, else all of them.
 
-    Index names are few (one per table) and travel as one array.  An empty catalog
-    gives one row with error E001 per query.
+    The catalog holds one name per table, so all names travel as one array.  An empty
+    catalog gives one row with error E001 per query.
     """
-    names = sorted(r["index"] for r in indices.select("index").distinct().collect())
-    everything = F.array(*[F.lit(n) for n in names]).cast("array<string>")
+    everything = indices.agg(F.array_sort(F.collect_set("index")).alias("names")).scalar()
     collected = [
         df.groupBy("query_id").agg(F.array_sort(F.collect_set("index")).alias(alias))
         for df, alias in ((hinted, "_hinted"), (similar, "_similar"))
@@ -115,7 +114,7 @@ def link(
             .when(F.col("_similar").isNotNull(), "similar")
             .otherwise("all")
             .alias("step"),
-            F.explode_outer(picked if names else F.array().cast("array<string>")).alias("index"),
+            F.explode_outer(picked).alias("index"),
         )
         .withColumn("error", F.when(F.col("index").isNull(), "E001"))
     )

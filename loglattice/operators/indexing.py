@@ -119,6 +119,18 @@ def term_weights(rows: DataFrame, key: str, text: str, carry: Sequence[str] = ()
     )
 
 
+def postings(chunks: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """The term index of a chunk table: ``(chunk_id, token, tf, dl, max_tf)``, placed by chunk."""
+    top = F.max("tf").over(Window.partitionBy("chunk_id"))
+    return term_counts(chunks, "chunk_id", "content", carry).withColumn("max_tf", top)
+
+
+def save_postings(index: DataFrame, table: str, buckets: int, path: str | None = None) -> None:
+    """Store a term index bucketed by chunk, so ranking over it shuffles no term again."""
+    writer = index.write.mode("overwrite").format("parquet").bucketBy(buckets, "chunk_id")
+    (writer.option("path", path) if path else writer).saveAsTable(table)
+
+
 def ingest_summary(docs: DataFrame, chunks: DataFrame) -> DataFrame:
     """Documents fetched and chunks indexed per source."""
     fetched = docs.groupBy("source_type").agg(F.count(F.lit(1)).alias("documents_indexed"))

@@ -79,6 +79,35 @@ def sparse_bm25(
     return _ranked(counts, asked.join(hint(frequency), "token"), small, weight, k)
 
 
+def rank_tf_dot(questions: DataFrame, index: DataFrame, k: int) -> DataFrame:
+    """``sparse_tf_dot`` over a stored term index (see ``indexing.postings``)."""
+    asked = question_terms(questions)
+    weight = F.col("qw") * (F.col("tf") / F.col("max_tf"))
+    return _ranked(index, asked, fits_broadcast(asked), weight, k)
+
+
+def rank_bm25(
+    questions: DataFrame, index: DataFrame, k: int, k1: float = 1.2, b: float = 0.75
+) -> DataFrame:
+    """``sparse_bm25`` over a stored term index; texts are not read again."""
+    asked = question_terms(questions).drop("qw")
+    small = fits_broadcast(asked)
+    hint = F.broadcast if small else (lambda df: df)
+    per_chunk = index.groupBy("chunk_id").agg(F.first("dl").alias("dl"))
+    size = F.struct(F.count(F.lit(1)).cast("double").alias("n"), F.avg("dl").alias("avgdl"))
+    corpus = per_chunk.agg(size.alias("corpus")).scalar()
+    wanted = asked.select("token").distinct()
+    frequency = (
+        index.join(hint(wanted), "token", "left_semi")
+        .groupBy("token")
+        .agg(F.count(F.lit(1)).alias("df"))
+    )
+    weight = scoring.bm25_weight(
+        F.col("tf"), F.col("df"), F.col("dl"), corpus["n"], corpus["avgdl"], k1, b
+    )
+    return _ranked(index, asked.join(hint(frequency), "token"), small, weight, k)
+
+
 # --------------------------------------------------------------------------- dense
 
 

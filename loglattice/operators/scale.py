@@ -33,8 +33,9 @@ def fits_broadcast(
     """Measure ``df`` (never reading past ``max_rows`` + 1 rows) against both bounds."""
     size = sum((_cell_bytes(f) for f in df.schema.fields), F.lit(0)).cast("long")
     rows, size_bytes = (
-        df.limit(max_rows + 1)
-        .agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0)))
+        df.select(size.alias("_size"))
+        .limit(max_rows + 1)
+        .agg(F.count(F.lit(1)), F.coalesce(F.sum("_size"), F.lit(0)))
         .first()
     )
     return rows <= max_rows and size_bytes <= max_bytes

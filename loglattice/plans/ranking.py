@@ -8,6 +8,7 @@ from loglattice.functions import metadata as meta
 from loglattice.functions import scoring
 from loglattice.functions import text as tx
 from loglattice.operators import retrieval
+from loglattice.operators.indexing import enrich, postings, save_postings
 from loglattice.operators.quality import retrieval_quality
 from loglattice.operators.scale import fetch_rows, fits_broadcast, top_k
 from loglattice.plans.knowledge import retrieve
@@ -64,6 +65,25 @@ def sparse_bm25(spark, folder):
     return _shown(retrieval.sparse_bm25(questions(spark, folder), chunks(spark, folder), K))
 
 
+def _index(spark, folder):
+    """The term index as ingest leaves it: a table bucketed by chunk."""
+    path = scratch(spark, "postings")
+    table = path.rsplit("/", 1)[-1].replace("-", "_")
+    save_postings(postings(chunks(spark, folder)), table, 8, path)
+    return spark.table(table)
+
+
+@query("index_tf_dot", f"{BASE}, {SPARSE}, {_top(TF_DOT, K, 'ranked')} {SHOW} ranked")
+def index_tf_dot(spark, folder):
+    """Ranking over the stored term index."""
+    return _shown(retrieval.rank_tf_dot(questions(spark, folder), _index(spark, folder), K))
+
+
+@query("index_bm25", f"{BASE}, {SPARSE}, {DF}, {_top(BM25, K, 'ranked')} {SHOW} ranked")
+def index_bm25(spark, folder):
+    return _shown(retrieval.rank_bm25(questions(spark, folder), _index(spark, folder), K))
+
+
 # ------------------------------------------------------------------------- dense
 
 _CENTROIDS = """parts AS (SELECT label, generate_subscripts(embedding, 1) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
@@ -251,8 +271,6 @@ def top_chunk_pairs(spark, folder):
           * exp(-0.02::DOUBLE * greatest(0, epoch({NOW_SQL} - created_at) / 86400)), 6) AS final_score FROM tiered""",
 )
 def authority_scores(spark, folder):
-    from loglattice.operators.indexing import enrich
-
     rows = enrich(raw_documents(spark, folder))
     recency = scoring.recency_factor(F.col("created_at"), now_column())
     score = scoring.authority_score(

@@ -19,6 +19,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # top-k filters prune before the exchange for any k a retriever asks for
+    "spark.sql.optimizer.windowGroupLimitThreshold": "100000",
 }
 
 

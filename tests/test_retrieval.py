@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loglattice.functions import scoring
 from loglattice.operators import retrieval
+from loglattice.operators.indexing import postings, save_postings
 from loglattice.operators import scale
 from loglattice.plans.knowledge import retrieve
 
@@ -215,3 +216,18 @@ def test_sentence_selection(spark):
     assert chosen(100) == "First about cats. Then dogs run fast! Cats sleep."
     assert chosen(7) == "First about cats. Cats sleep."
     assert chosen(1) == ""
+
+
+def test_stored_index_shuffles_no_terms(spark, corpus, tmp_path):
+    questions, chunks = corpus
+    save_postings(postings(chunks), "stored_terms", 4, str(tmp_path / "stored_terms"))
+    index = spark.table("stored_terms")
+    for ranked, direct in (
+        (retrieval.rank_tf_dot, retrieval.sparse_tf_dot), (retrieval.rank_bm25, retrieval.sparse_bm25),
+    ):
+        got = ranked(questions, index, 8)
+        columns = ("query_id", "chunk_id", "score", "rank")
+        assert values(got, *columns) == values(direct(*corpus, 8), *columns)
+    plan = retrieval.rank_tf_dot(questions, index, 8)._jdf.queryExecution().executedPlan().toString()
+    above = plan[: plan.index("BroadcastHashJoin")]
+    assert above.count("Exchange") == 1  # only the last top-k moves rows
