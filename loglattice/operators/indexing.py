@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loglattice.functions import metadata as meta
@@ -63,6 +63,13 @@ def prepare_chunks(docs: DataFrame) -> DataFrame:
     return split_chunks(enrich(tag_documents(docs))).select(*PAYLOAD)
 
 
+def with_vectors(
+    chunks: DataFrame, embedder: Callable[[Column], Column] = tx.hash_vector
+) -> DataFrame:
+    """Add ``vector`` by a supplied pandas UDF or Column function over the content."""
+    return chunks.withColumn("vector", embedder(F.col("content")))
+
+
 def with_point_id(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("point_id", tx.uuid5(F.col("chunk_id")))
 

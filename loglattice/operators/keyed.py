@@ -9,6 +9,10 @@ from loglattice.operators.scale import latest_wins, running_total
 
 XML_ROWS_PER_PART = 1000
 
+# The memory block's format.
+OPENING, CLOSING = "<memories>\n", "</memories>"
+ELEMENT = '  <memory key="%s">%s</memory>\n'
+
 
 def save(memories: DataFrame) -> DataFrame:
     """Current row per key: the latest save replaces earlier ones."""
@@ -51,7 +55,7 @@ def list_keys(memories: DataFrame) -> DataFrame:
 
 
 def memory_element(key: Column, value: Column) -> Column:
-    return F.concat(F.lit('  <memory key="'), key, F.lit('">'), value, F.lit("</memory>\n"))
+    return F.format_string(ELEMENT, key, value)
 
 
 def render_xml(rows: DataFrame, group: str, rows_per_part: int = XML_ROWS_PER_PART) -> DataFrame:
@@ -68,6 +72,6 @@ def render_xml(rows: DataFrame, group: str, rows_per_part: int = XML_ROWS_PER_PA
     body = F.array_join(
         F.transform("items", lambda m: memory_element(m["key"], m["value"])), ""
     )
-    first = F.when(F.col("part") == F.min("part").over(ends), "<memories>\n").otherwise("")
-    last = F.when(F.col("part") == F.max("part").over(ends), "</memories>").otherwise("")
+    first = F.when(F.col("part") == F.min("part").over(ends), OPENING).otherwise("")
+    last = F.when(F.col("part") == F.max("part").over(ends), CLOSING).otherwise("")
     return pieces.select(group, "part", F.concat(first, body, last).alias("xml"))

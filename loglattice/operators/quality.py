@@ -18,6 +18,17 @@ NO_VALUE = r"(?i)([\w.@]+)\s*:\s*(?=AND\b|OR\b|NOT\b|$)"
 FIELD_USE = r"([\w.@]+)\s*[:<>!=]"
 OPERATORS = ["AND", "OR", "NOT"]
 
+# Lint messages.
+EMPTY = "KQL string is empty."
+UNEXPECTED = "Unexpected closing '%s' at position %d."
+MISMATCHED = "Mismatched bracket: opened with '%s' at position %d but closed with '%s' at position %d."
+UNCLOSED = "Unclosed '%s' at position %d."
+DOUBLED_MESSAGE = "Double or conflicting boolean operator: %s"
+STARTS_MESSAGE = "KQL expression starts with a boolean operator (AND/OR)."
+ENDS_MESSAGE = "KQL expression ends with a boolean operator (AND/OR/NOT)."
+NO_VALUE_MESSAGE = "Field '%s' has a colon but no value."
+UNKNOWN_MESSAGE = "Field '%s' not found in schema."
+
 
 def latency_histogram(runs: DataFrame, seconds: str, group: Sequence[str] = ()) -> DataFrame:
     """Cumulative bucket counts in long form; ``le`` null is the total."""
@@ -107,14 +118,8 @@ def bracket_error(kql: Column) -> Column:
         top = F.try_element_at(acc["open"], F.lit(-1))
         opens = x["c"].isin("(", "{")
         partner = F.when(x["c"] == ")", "(").otherwise("{")
-        unexpected = F.concat(
-            F.lit("Unexpected closing '"), x["c"], F.lit("' at position "), x["i"].cast("string"), F.lit(".")
-        )
-        mismatch = F.concat(
-            F.lit("Mismatched bracket: opened with '"), top["c"], F.lit("' at position "),
-            top["i"].cast("string"), F.lit(" but closed with '"), x["c"],
-            F.lit("' at position "), x["i"].cast("string"), F.lit("."),
-        )
+        unexpected = F.format_string(UNEXPECTED, x["c"], x["i"])
+        mismatch = F.format_string(MISMATCHED, top["c"], top["i"], x["c"], x["i"])
         bad = (
             F.when(acc["bad"].isNotNull(), acc["bad"])
             .when(opens, F.lit(None).cast("string"))
@@ -127,9 +132,7 @@ def bracket_error(kql: Column) -> Column:
 
     def finish(acc: Column) -> Column:
         top = F.try_element_at(acc["open"], F.lit(-1))
-        unclosed = F.concat(
-            F.lit("Unclosed '"), top["c"], F.lit("' at position "), top["i"].cast("string"), F.lit(".")
-        )
+        unclosed = F.format_string(UNCLOSED, top["c"], top["i"])
         return F.coalesce(acc["bad"], F.when(F.size(acc["open"]) > 0, unclosed))
 
     return F.when(kql.rlike(r"[(){}]"), F.aggregate(brackets, start, step, finish))
@@ -141,8 +144,7 @@ def doubled_operators(kql: Column) -> Column:
 
 def dangling_operator(kql: Column) -> Column:
     return (
-        F.when(kql.rlike(STARTS), "KQL expression starts with a boolean operator (AND/OR).")
-        .when(kql.rlike(ENDS), "KQL expression ends with a boolean operator (AND/OR/NOT).")
+        F.when(kql.rlike(STARTS), STARTS_MESSAGE).when(kql.rlike(ENDS), ENDS_MESSAGE)
     )
 
 
@@ -177,24 +179,24 @@ def lint(saved: DataFrame, catalog: DataFrame | None = None) -> DataFrame:
                 bracket_error(F.col("kql")),
                 F.when(
                     F.size(doubled) > 0,
-                    F.concat(F.lit("Double or conflicting boolean operator: "), F.array_join(doubled, ", ")),
+                    F.format_string(DOUBLED_MESSAGE, F.array_join(doubled, ", ")),
                 ),
                 dangling_operator(F.col("kql")),
             ),
             F.transform(
                 fields_without_value(F.col("kql")),
-                lambda f: F.concat(F.lit("Field '"), f, F.lit("' has a colon but no value.")),
+                lambda f: F.format_string(NO_VALUE_MESSAGE, f),
             ),
         )
     )
     checked = rows.withColumn(
         "errors",
-        F.when(F.col("kql") == "", F.array(F.lit("KQL string is empty."))).otherwise(errors),
+        F.when(F.col("kql") == "", F.array(F.lit(EMPTY))).otherwise(errors),
     )
     if catalog is not None:
         unknown = unknown_fields(rows, catalog).groupBy("query_id").agg(
             F.array_sort(
-                F.collect_set(F.concat(F.lit("Field '"), F.col("field"), F.lit("' not found in schema.")))
+                F.collect_set(F.format_string(UNKNOWN_MESSAGE, F.col("field")))
             ).alias("_unknown")
         )
         checked = checked.join(unknown, "query_id", "left").withColumn(

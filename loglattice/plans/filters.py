@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loglattice.functions import predicates as p
 from loglattice.functions.masking import mask_rows
-from loglattice.functions.text import split_words
+from loglattice.functions.text import let, split_words
 from loglattice.operators import logs as hits
 from loglattice.plans.registry import query
 from loglattice.plans.views import (
@@ -103,12 +103,13 @@ def array_term(spark, folder):
 )
 def nested_same_element(spark, folder):
     """Documents holding the word pair "of the" as one (first, last) element."""
-    words = split_words(F.col("raw_text"))
-    docs = raw_documents(spark, folder).select("doc_id", words.alias("w"))
-    pairs = F.arrays_zip(
-        F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0))).alias("first"),
-        F.slice("w", 2, F.size("w")).alias("last"),
+    pairs = let(
+        split_words(F.col("raw_text")),
+        lambda w: F.zip_with(
+            w, F.slice(w, 2, F.size(w)), lambda a, b: F.struct(a.alias("first"), b.alias("last"))
+        ),
     )
+    docs = raw_documents(spark, folder)
     spec = {"nested": {"pairs": {"all": [{"term": {"first": "of"}}, {"term": {"last": "the"}}]}}}
     return p.search(docs.select("doc_id", pairs.alias("pairs")), spec).select("doc_id")
 

@@ -8,7 +8,7 @@ from loglattice.functions import metadata as meta
 from loglattice.functions import scoring
 from loglattice.functions import text as tx
 from loglattice.operators import retrieval
-from loglattice.operators.indexing import enrich, postings, save_postings
+from loglattice.operators.indexing import enrich, postings, save_postings, with_vectors
 from loglattice.operators.quality import retrieval_quality
 from loglattice.operators.scale import fetch_rows, fits_broadcast, top_k
 from loglattice.plans.knowledge import retrieve
@@ -214,7 +214,7 @@ fused AS (SELECT query_id, chunk_id, round(coalesce(w_dense * (1.0::DOUBLE / (60
 def _stored_chunks(spark, folder):
     """The chunk table as ingest leaves it: written once, then each retriever reads its columns."""
     root = scratch(spark, "chunks")
-    rows = chunks(spark, folder).withColumn("vector", tx.hash_vector(F.col("content"), DIMS))
+    rows = with_vectors(chunks(spark, folder), lambda content: tx.hash_vector(content, DIMS))
     versions.upsert(rows, root, 0)
     return spark.read.parquet(f"{root}/version=0")
 

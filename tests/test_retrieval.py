@@ -1,13 +1,14 @@
 from datetime import datetime, timedelta
 
 import numpy as np
+import pandas as pd
 import pytest
 from conftest import values
 from pyspark.sql import functions as F
 
 from loglattice.functions import scoring
 from loglattice.operators import retrieval
-from loglattice.operators.indexing import postings, save_postings
+from loglattice.operators.indexing import postings, save_postings, with_vectors
 from loglattice.operators import scale
 from loglattice.plans.knowledge import retrieve
 
@@ -231,3 +232,21 @@ def test_stored_index_shuffles_no_terms(spark, corpus, tmp_path):
     plan = retrieval.rank_tf_dot(questions, index, 8)._jdf.queryExecution().executedPlan().toString()
     above = plan[: plan.index("BroadcastHashJoin")]
     assert above.count("Exchange") == 1  # only the last top-k moves rows
+
+
+def test_supplied_embedder_and_scorer(spark):
+    @F.pandas_udf("array<float>")
+    def embed(content: pd.Series) -> pd.Series:
+        return content.map(lambda c: [float(len(c)), 1.0])
+
+    @F.pandas_udf("double")
+    def score(question: pd.Series, content: pd.Series) -> pd.Series:
+        return (question.str.len() - content.str.len()).astype(float)
+
+    chunks = spark.createDataFrame([("c1", "abc"), ("c2", "abcdef")], "chunk_id string, content string")
+    vectors = with_vectors(chunks, embed)
+    assert values(vectors, "chunk_id", "vector") == [("c1", [3.0, 1.0]), ("c2", [6.0, 1.0])]
+    pairs = chunks.withColumn("question", F.lit("abcde"))
+    got = values(retrieval.rerank(pairs, score), "chunk_id", "cross_encoder_score")
+    assert got == [("c1", 2.0), ("c2", -1.0)]
+    assert values(retrieval.rerank(pairs.withColumn("question", F.lit("abc x"))), "cross_encoder_score") == [(0.0,), (0.5,)]
