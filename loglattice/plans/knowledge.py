@@ -17,6 +17,7 @@ def retrieve(
     questions: DataFrame,
     chunks: DataFrame,
     max_chunks: int,
+    index: DataFrame | None = None,
     sparse: Callable[[DataFrame, DataFrame, int], DataFrame] = retrieval.sparse_bm25,
     scorer: Callable[[Column, Column], Column] = scoring.token_overlap,
     recency_now: datetime | None = None,
@@ -24,8 +25,10 @@ def retrieve(
     """Best ``max_chunks`` chunks of every question in one job.
 
     ``questions(query_id, question, vector[, not_after])``; ``chunks`` is the stored chunk
-    table with ``vector`` and metadata.  With ``recency_now`` the stored recency score is
-    replaced by decay up to that moment.
+    table with ``vector`` and metadata.  With ``index``, the stored term index of those chunks
+    (carrying ``created_at`` when questions are bounded), texts are read only for the few
+    candidates reranked; without it ``sparse`` ranks the texts.  With ``recency_now`` the
+    stored recency score is replaced by decay up to that moment.
     """
     fetch = max_chunks * retrieval.CANDIDATES
     asked = questions.select(
@@ -35,7 +38,11 @@ def retrieve(
     weights = questions.select("query_id", scoring.query_weights(F.col("question")).alias("w")).select(
         "query_id", "w.*"
     )
-    fused = retrieval.fuse(dense, sparse(asked, chunks, fetch), weights)
+    if index is not None:
+        terms = retrieval.rank_bm25(asked, index, fetch)
+    else:
+        terms = sparse(asked, chunks, fetch)
+    fused = retrieval.fuse(dense, terms, weights)
     best = top_k(
         fused, ["query_id"], [F.desc("score"), F.asc("chunk_id")],
         max_chunks * retrieval.RERANKED, "fused_rank",

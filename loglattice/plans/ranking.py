@@ -65,23 +65,23 @@ def sparse_bm25(spark, folder):
     return _shown(retrieval.sparse_bm25(questions(spark, folder), chunks(spark, folder), K))
 
 
-def _index(spark, folder):
+def _index(spark, pieces, carry=()):
     """The term index as ingest leaves it: a table bucketed by chunk."""
     path = scratch(spark, "postings")
     table = path.rsplit("/", 1)[-1].replace("-", "_")
-    save_postings(postings(chunks(spark, folder)), table, 8, path)
+    save_postings(postings(pieces, carry), table, 8, path)
     return spark.table(table)
 
 
 @query("index_tf_dot", f"{BASE}, {SPARSE}, {_top(TF_DOT, K, 'ranked')} {SHOW} ranked")
 def index_tf_dot(spark, folder):
     """Ranking over the stored term index."""
-    return _shown(retrieval.rank_tf_dot(questions(spark, folder), _index(spark, folder), K))
+    return _shown(retrieval.rank_tf_dot(questions(spark, folder), _index(spark, chunks(spark, folder)), K))
 
 
 @query("index_bm25", f"{BASE}, {SPARSE}, {DF}, {_top(BM25, K, 'ranked')} {SHOW} ranked")
 def index_bm25(spark, folder):
-    return _shown(retrieval.rank_bm25(questions(spark, folder), _index(spark, folder), K))
+    return _shown(retrieval.rank_bm25(questions(spark, folder), _index(spark, chunks(spark, folder)), K))
 
 
 # ------------------------------------------------------------------------- dense
@@ -248,7 +248,9 @@ scored AS (SELECT query_id, chunk_id, round(
 @query("hybrid_retrieval", f"{_ANSWER} SELECT query_id, chunk_id, round(score, 6) AS final_score, rank FROM answer")
 def hybrid_retrieval(spark, folder):
     """Dense and sparse retrieval, fusion, reranking, authority and recency for every question."""
-    found = retrieve(_asked(spark, folder), _stored_chunks(spark, folder), 4, recency_now=NOW)
+    stored = _stored_chunks(spark, folder)
+    index = _index(spark, stored, ["created_at"])
+    found = retrieve(_asked(spark, folder), stored, 4, index, recency_now=NOW)
     return found.select("query_id", "chunk_id", F.round("final_score", 6).alias("final_score"), "rank")
 
 

@@ -207,6 +207,8 @@ def test_hybrid_limits_and_fetch_paths(spark, monkeypatch):
     asked = spark.createDataFrame([(1, "word1 common", [1.0, 1.0, 0.0]), (2, "word2", [0.0, 1.0, 2.0])], "query_id int, question string, vector array<double>")
     expected = values(retrieve(asked, chunks, 2), "query_id", "chunk_id", "rank", "final_score")
     assert len(expected) == 4
+    index = postings(chunks)
+    assert values(retrieve(asked, chunks, 2, index), "query_id", "chunk_id", "rank", "final_score") == expected
     monkeypatch.setattr(scale, "BROADCAST_ROWS", 0)
     assert values(retrieve(asked, chunks, 2), "query_id", "chunk_id", "rank", "final_score") == expected
 
