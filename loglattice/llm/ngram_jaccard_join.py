@@ -11,7 +11,8 @@ the frequencies that make this one are counted over all documents in a table of
 
 Sets that share a signature are candidates.  Each is compared with its bucket's most typical set
 (the one with the commonest features, as an original has among edited copies of it); only where
-that leaves a bucket in several components are members of different ones compared.  These meet
+that leaves the sets of one such typical set in several components are those of different ones
+compared (all that met it in any bucket: more than the buckets ask for, and each pair once).  These meet
 as parity sketches first: a bit per hashed feature, flipped by each, so that two sketches differ in
 at most as many bits as the sets in features, and no linked pair is lost.  Equal sets are one node
 throughout.  What is left is decided on the whole texts.
@@ -34,7 +35,7 @@ PERCENT = 75
 SLACK = 2.0  # partitions per signature that is sent
 COUNTER_BITS = 21  # the frequency table has 2**21 counters, 8 MB: what is broadcast has this size at any scale
 CHUNKS = 64
-SET, PAIR, MEMBER = 0, 1, 2
+SET, PAIR = 0, 1
 SENT = "shard int, kind int, x long, y long, load binary"
 FOUND = "kind int, x long, y long, n long, sketch binary"
 BLOCK = 2048  # members of a bucket that meet in one task
@@ -180,17 +181,15 @@ def sent(docs: DataFrame, shards: int, n: int, percent: int) -> DataFrame:
 
 
 def buckets(entries: DataFrame) -> DataFrame:
-    """From each shard: its documents' sets; for each bucket the pairs of its most typical set with
-    the others; and the members of buckets of three sets or more, once per distinct list of members."""
+    """From each shard: its documents' sets, and the pairs of each bucket's most typical set (x) with
+    the bucket's others (y)."""
 
-    def rows(kind: int, x: np.ndarray, y: np.ndarray, n: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    def rows(x: np.ndarray, y: np.ndarray) -> Iterator[pa.RecordBatch]:
         for a in range(0, len(x), 1 << 16):
             own = slice(a, a + (1 << 16))
-            size = pa.array(n[own] if n is not None else np.zeros(len(x[own]), np.int64), pa.int64())
+            columns = [np.full(len(x[own]), PAIR, np.int32), x[own], y[own], np.zeros(len(x[own]), np.int64)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(x[own]), kind, np.int32)), pa.array(x[own], pa.int64()), pa.array(y[own], pa.int64()), size,
-                 pa.nulls(len(x[own]), pa.binary())],
-                ["kind", "x", "y", "n", "sketch"],
+                [*(pa.array(v) for v in columns), pa.nulls(len(x[own]), pa.binary())], ["kind", "x", "y", "n", "sketch"]
             )
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,12 +234,7 @@ def buckets(entries: DataFrame) -> DataFrame:
         pivot = np.repeat(owner[start], length)
         far = owner != pivot
         pairs = np.unique(np.stack([pivot[far], owner[far]], 1), axis=0) if far.any() else np.empty((0, 2), np.int64)
-        yield from rows(PAIR, pairs[:, 0], pairs[:, 1])
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(c.mixed(owner.view(np.uint64)), dtype=np.uint64)])
-        listed = c.mixed(total[start + length] - total[start] + length.astype(np.uint64))
-        _, first = np.unique(listed, return_index=True)
-        first = first[length[first] > 2]
-        yield from rows(MEMBER, np.repeat(listed[first].view(np.int64), length[first]), owner[c.runs(start[first], length[first])])
+        yield from rows(pairs[:, 0], pairs[:, 1])
 
     return entries.mapInArrow(meet, FOUND)
 
@@ -346,7 +340,8 @@ def grouped(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFr
     first = c.stored(checked(pairs, sets, docs, n, percent), "links")
     roots = components(first)
 
-    members = found.where(F.col("kind") == MEMBER).select(F.col("x").alias("list"), F.col("y").alias("name")).distinct()
+    met = found.where(F.col("kind") == PAIR).select(F.col("x").alias("list"), F.col("y").alias("name"))
+    members = met.union(met.select("list", F.col("list").alias("name"))).distinct()
     members = members.join(roots, "name", "left").select("list", "name", F.coalesce("root", "name").alias("root"))
     members = c.stored(members, "members")
     split = members.groupBy("list", "root").count().groupBy("list").agg(F.count("*").alias("parts")).where("parts > 1")
