@@ -73,6 +73,10 @@ class EliasFano:
         """How many values have a smaller high part: the ones before the ``high``-th zero."""
         out = np.zeros(len(high), np.int64)
         some = np.flatnonzero(high > 0)
+        if 16 * len(some) > self.n:  # so many that one pass over the unary part is cheaper
+            zero = np.flatnonzero(np.unpackbits(self.upper, bitorder="little") == 0)
+            out[some] = zero[high[some] - 1] - (high[some] - 1)
+            return out
         for a in range(0, len(some), 1 << 14):
             own = some[a : a + (1 << 14)]
             rank = high[own]  # the position of this zero, counted from 1
@@ -85,6 +89,9 @@ class EliasFano:
 
     def get(self, index: np.ndarray) -> np.ndarray:
         """The values at ``index``."""
+        if 16 * len(index) > self.n:
+            high = np.flatnonzero(np.unpackbits(self.upper, bitorder="little"))[index] - index
+            return (high << self.low_bits) | self.low_of(index).astype(np.int64)
         out = np.zeros(len(index), np.int64)
         ones = np.arange(len(self.zeros)) * 512 - self.zeros
         for a in range(0, len(index), 1 << 14):
@@ -113,7 +120,8 @@ class EliasFano:
         top = int(self.zeros[-1]) + 512
         inside = high < top
         lo, hi = np.zeros(len(high), np.int64), np.zeros(len(high), np.int64)
-        lo[inside], hi[inside] = self.bucket_start(high[inside]), self.bucket_start(np.minimum(high[inside] + 1, self.most()))
+        both = np.concatenate([high[inside], np.minimum(high[inside] + 1, self.most())])
+        lo[inside], hi[inside] = np.split(self.bucket_start(both), 2)
         hi = np.minimum(hi, self.n)
         end = hi.copy()
         while (open_ := np.flatnonzero(lo < hi)).size:

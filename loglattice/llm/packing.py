@@ -31,6 +31,7 @@ SPECIAL = "<|endoftext|>"
 CACHED = 400_000  # chunks of text whose ids a worker remembers
 NO_SOURCE = "\x00none"  # the queue of rows without a source
 CHUNK = re.compile(r" (?=\S)")
+BESIDE = re.compile(r"\s |[ ](?:\s|\Z)")
 
 
 @lru_cache(maxsize=2)
@@ -48,22 +49,27 @@ class Encoder:
     """
 
     def __init__(self, ranks_file: str, pattern: str):
-        self.inner, self.known = encoding(ranks_file, pattern), {}
-
-    def __call__(self, text: str) -> np.ndarray:
-        known, out = self.known, []
-        chunks = CHUNK.split(text) if text else []
-        if len(known) > CACHED:
-            known.clear()
-        for i, chunk in enumerate(chunks):
-            key = " " + chunk if i else chunk
-            ids = known.get(key)
-            if ids is None:
-                raw = self.inner.encode(key, allowed_special="all")
-                ids = known[key] = raw
-            out += ids
-        out.append(END)
-        return np.array(out, np.uint16)
+        self.inner = encoding(ranks_file, pattern)
+        self.first: dict[str, bytes] = {}  # ids of a text's first chunk
+        self.later: dict[str, bytes] = {}  # ids of a chunk with the space before it
+
+    def ids(self, text: str) -> bytes:
+        found = self.inner.encode(text, allowed_special="all") if SPECIAL in text else self.inner.encode_ordinary(text)
+        return np.array(found, "<u2").tobytes()
+
+    def __call__(self, text: str) -> bytes:
+        """Two bytes per id, the end included."""
+        if len(self.first) + len(self.later) > CACHED:
+            self.first.clear()
+            self.later.clear()
+        # a space beside other white space is left to the pattern; elsewhere every space is a break
+        chunks = CHUNK.split(text) if BESIDE.search(text) else text.split(" ")
+        head, rest = chunks[0], chunks[1:]
+        for chunk in set(rest).difference(self.later):
+            self.later[chunk] = self.ids(" " + chunk)
+        if head not in self.first:
+            self.first[head] = self.ids(head)
+        return b"".join([self.first[head], *map(self.later.__getitem__, rest), END.to_bytes(2, "little")])
 
 
 def tokenised(docs: DataFrame, ranks_file: str, pattern: str) -> DataFrame:
@@ -75,11 +81,10 @@ def tokenised(docs: DataFrame, ranks_file: str, pattern: str) -> DataFrame:
         for batch in batches:
             blobs, counts, starts = [], [], []
             for text, source in zip(batch.column(2), batch.column(1).to_pylist()):
-                ids = encoder(text.as_py() or "")
-                blobs.append(ids.astype("<u2").tobytes())
-                counts.append(len(ids))
+                blobs.append(encoder(text.as_py() or ""))
+                counts.append(len(blobs[-1]) // 2)
                 starts.append(queued.get(source, 0))
-                queued[source] = starts[-1] + len(ids)
+                queued[source] = starts[-1] + counts[-1]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(blobs, pa.binary()), pa.array(counts, pa.int64()),
                  pa.array([part] * len(counts), pa.int32()), pa.array(starts, pa.int64())],
