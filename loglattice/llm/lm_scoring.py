@@ -32,7 +32,7 @@ DISCOUNT = 0.75
 LEVELS = 255  # quantised values of a shard; code 0 says "not there"
 START = np.uint64(xxhash.xxh3_64_intdigest(b" "))  # no word has white space, nor is empty
 END = np.uint64(xxhash.xxh3_64_intdigest(b""))
-HOT_SHARE = 8  # a context with 1 / (8 shards) of all tokens is dealt by successor
+HOT_SHARE = 64  # a context with 1 / (64 shards) of all tokens is dealt by successor
 BLOCK = 16 << 20  # bytes of text in a block
 COUNT, TOTAL = 0, 1
 
@@ -318,7 +318,7 @@ def counted(packed: DataFrame, shards: int) -> DataFrame:
 def answered(packed: DataFrame, shards: int, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """Per block and shard: for each context the successors it has there in training, and for
     each bigram its code; with the shard's values of the codes."""
-    shared = packed.sparkSession.sparkContext.broadcast(hot)  # at most 8 per shard
+    shared = packed.sparkSession.sparkContext.broadcast(hot)  # at most HOT_SHARE per shard
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
