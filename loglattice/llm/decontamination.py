@@ -2,7 +2,7 @@
 
 Test items travel to the documents in blocks of bounded size.  A document that holds an item's
 n-gram gives the words around it as a passage.  An n-gram seeds an alignment if few documents hold
-it, or if it is among the rarer quarter of its item (so that an item that leaked everywhere still
+it, or if it is among the rarer half of its item (so that an item that leaked everywhere still
 has seeds).  The alignment of passage and item, which allows for changed, missing and added words,
 is scored against that of an exact copy.
 """
@@ -22,7 +22,7 @@ from loglattice.llm import common as c
 from loglattice.llm.registry import query
 
 N = 4  # words of a seed
-RARE = 0.001  # share of documents that may hold a seed
+RARE, ALWAYS = 0.01, 100  # share of documents that may hold a seed, and a number that is never many
 LEAST = 0.5  # of an exact copy's score
 MATCH, MISS, GAP = 2, -1, -1
 BLOCK_BYTES = 4 << 20  # of items that are broadcast at once
@@ -145,7 +145,7 @@ def aligned(found: DataFrame, items: list[tuple], n: int, least: float, total: i
     # every gram of an item, and so every window, is bounded by the item's length
     seeds = (
         owned.join(held, "gram").select("item", "gram", "n", share.alias("share"), rank.alias("rank"))
-        .where((F.col("n") <= RARE * total) | (F.col("share") <= 0.25) | (F.col("rank") == 1)).select("item", "gram")
+        .where((F.col("n") <= max(ALWAYS, RARE * total)) | (F.col("share") <= 0.5) | (F.col("rank") == 1)).select("item", "gram")
     )
     by_gram = seeds.groupBy("gram").agg(F.sort_array(F.collect_list("item")).alias("items"))
     own = {int(r["gram"]): r["items"] for r in by_gram.collect()}  # at most one block's n-grams
