@@ -260,17 +260,32 @@ class Block:
         trained = np.bincount(inverse[self.used], minlength=len(pair))
         return pair // (len(self.tokens) + 1), pair % (len(self.tokens) + 1), trained, inverse
 
-    def dealt(self, hot: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """Shard, index of its bigrams, and where each context's run begins and how long it is."""
+    def dealt(
+        self, hot: tuple[np.ndarray, np.ndarray, np.ndarray], shards: int
+    ) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """Shard, index of its bigrams, the contexts asked for there, and the bigrams of each.
+
+        A hot context lies in several pieces, chosen by the successor.  Its block asks all of
+        them how many successors they have, also those it has no bigram for."""
         context, word, _, _ = self.bigrams_ = self.bigrams()
-        h, w = self.known[context], self.known[word]
-        spread = np.isin(h, hot)
-        shard = c.shard_of(np.where(spread, c.mixed(h ^ c.mixed(w)), c.mixed(h)), shards)
-        by = np.argsort(shard, kind="stable")
-        for s, part in c.cut(shard[by], shards):
-            own = by[part]
-            run = np.flatnonzero(np.concatenate([[True], np.diff(context[own]) != 0]))
-            yield s, own, run, np.diff(np.append(run, len(own)))
+        tokens, _, pieces = hot
+        parts = np.ones(len(self.known), np.int64)
+        if len(tokens):
+            place = np.minimum(np.searchsorted(tokens, self.known), len(tokens) - 1)
+            parts = np.where(tokens[place] == self.known, pieces[place], 1)
+
+        def home(context: np.ndarray, piece: np.ndarray) -> np.ndarray:
+            shard = c.shard_of(c.mixed(self.known[context] + piece.astype(np.uint64) * c.MULTIPLIER), shards)
+            return shard.astype(np.int64) * len(self.known) + context
+
+        used = np.unique(context)
+        units = np.unique(home(np.repeat(used, parts[used]), c.runs(np.zeros(len(used), np.int64), parts[used])))
+        own = np.searchsorted(units, home(context, c.mixed(self.known[word]) % parts[context].astype(np.uint64)))
+        by, length = np.argsort(own, kind="stable"), np.bincount(own, minlength=len(units))
+        ends = np.cumsum(length)
+        for s, part in c.cut(units // len(self.known), shards):
+            bigrams = by[ends[part.start] - length[part.start] : ends[part.stop - 1]]
+            yield s, bigrams, units[part] % len(self.known), length[part]
 
 
 def counted(packed: DataFrame, shards: int) -> DataFrame:
@@ -315,7 +330,7 @@ def counted(packed: DataFrame, shards: int) -> DataFrame:
     return packed.mapInArrow(ask, kinds).repartition(shards, "shard").mapInArrow(total, kinds)
 
 
-def answered(packed: DataFrame, shards: int, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def answered(packed: DataFrame, shards: int, hot: tuple[np.ndarray, np.ndarray, np.ndarray]) -> DataFrame:
     """Per block and shard: for each context the successors it has there in training, and for
     each bigram its code; with the shard's values of the codes."""
     shared = packed.sparkSession.sparkContext.broadcast(hot)  # at most HOT_SHARE per shard
@@ -324,11 +339,11 @@ def answered(packed: DataFrame, shards: int, hot: tuple[np.ndarray, np.ndarray])
         for batch in batches:
             for i, name in enumerate(batch.column(0).to_pylist()):
                 block, sent, loads = Block(batch.column(2)[i].as_py()), [], []
-                for s, own, run, length in block.dealt(shared.value[0], shards):
-                    context, word, trained, _ = block.bigrams_
-                    h = block.known[context[own[run]]]
+                for s, own, contexts, length in block.dealt(shared.value, shards):
+                    _, word, trained, _ = block.bigrams_
+                    h = block.known[contexts]
                     low = block.known[word[own]].view(np.uint8).reshape(-1, 8)[:, :6].ravel()
-                    count = trained[own].astype(np.uint8 if trained[own].max() < 256 else np.uint32)
+                    count = trained[own].astype(np.uint8 if trained[own].max(initial=0) < 256 else np.uint32)
                     sent.append(s)
                     loads.append(c.squeezed([h, length.astype(np.uint32), low, count]))
                 yield pa.RecordBatch.from_arrays(
@@ -361,7 +376,7 @@ def answered(packed: DataFrame, shards: int, hot: tuple[np.ndarray, np.ndarray])
         context, word = context[first], word[first]
         known, start, kinds = np.unique(context, return_index=True, return_counts=True)
         sums = np.add.reduceat(count, start) if len(start) else np.empty(0, np.int64)
-        tokens, totals = shared.value
+        tokens, totals, _ = shared.value
         if len(known) and len(tokens):  # a context dealt by successor has its count from elsewhere
             place = np.minimum(np.searchsorted(tokens, known), len(tokens) - 1)
             sums = np.where(tokens[place] == known, totals[place], sums)
@@ -406,13 +421,15 @@ def scored(docs: DataFrame, training: Column) -> DataFrame:
     totals = np.concatenate(totals or [np.empty(0, np.int64)])
     hot = totals * HOT_SHARE * shards > max(1, int(sums[0]))
     by = np.argsort(tokens[hot])
-    bigrams = answered(packed, shards, (tokens[hot][by], totals[hot][by]))
+    pieces = np.minimum(2 * shards, totals[hot][by] * HOT_SHARE * shards // max(1, int(sums[0])) + 1)
+    frequent = tokens[hot][by], totals[hot][by], pieces
+    bigrams = answered(packed, shards, frequent)
 
     def by_block(df: DataFrame, name: str) -> DataFrame:
         pair = F.sort_array(F.collect_list(F.struct("shard", "load")))  # one entry per shard at most
         return df.where("block IS NOT NULL").groupBy("block").agg(pair.alias(name))
 
-    hot_tokens = packed.sparkSession.sparkContext.broadcast(tokens[hot][by])
+    shared = packed.sparkSession.sparkContext.broadcast(frequent)
     n_tokens, n_kinds = int(sums[0]), int(sums[1])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -427,11 +444,11 @@ def scored(docs: DataFrame, training: Column) -> DataFrame:
                     counts[by[part]] = c.unsqueezed(got[s])[0]
                 got = {r["shard"]: r["load"] for r in batch.column(3)[i].as_py()}
                 successors, seen = np.zeros(len(block.known), np.int64), None
-                for s, own, run, _ in block.dealt(hot_tokens.value, shards):
+                for s, own, contexts, _ in block.dealt(shared.value, shards):
                     context, word, _, inverse = block.bigrams_
                     seen = np.zeros(len(context)) if seen is None else seen
                     has, codes, values = c.unsqueezed(got[s])
-                    np.add.at(successors, context[own[run]], has)
+                    successors[contexts] += has
                     seen[own] = values[codes]
                 unigram = (counts[:-1] + 1.0) / (n_tokens + 1.0 * (n_kinds + 1))
                 back = np.divide(DISCOUNT * successors, counts, out=np.ones(len(counts)), where=counts > 0)
