@@ -150,5 +150,6 @@ def strip_fences(text: Column) -> Column:
 def glob_to_regex(pattern: Column) -> Column:
     """Anchored regex for a shell pattern with ``*``, ``?``, ``[..]`` and ``[!..]``."""
     escaped = F.regexp_replace(pattern, r"([.+^$(){}|\\])", r"\\$1")
+    escaped = F.regexp_replace(escaped, r"\[(?![^\]]*\])", r"\\[")  # an unclosed bracket is literal
     body = F.replace(F.replace(escaped, F.lit("*"), F.lit(".*")), F.lit("?"), F.lit("."))
     return F.concat(F.lit("^(?s:"), F.replace(body, F.lit("[!"), F.lit("[^")), F.lit(")$"))

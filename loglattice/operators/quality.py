@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loglattice.functions import text as tx
 from loglattice.operators.scale import exact_percentile
 
 # Histogram bounds in seconds, and the lint patterns.
@@ -14,8 +15,8 @@ BUCKETS = [0.5, 1.0, 2.0, 3.0, 5.0, 6.0, 10.0, 15.0]
 DOUBLED = r"(?i)\b(AND\s+AND|OR\s+OR|NOT\s+NOT|AND\s+OR|OR\s+AND)\b"
 STARTS = r"(?i)^\s*(AND|OR)\s+"
 ENDS = r"(?i)\s+(AND|OR|NOT)\s*$"
-NO_VALUE = r"(?i)([\w.@]+)\s*:\s*(?=AND\b|OR\b|NOT\b|$)"
-FIELD_USE = r"([\w.@]+)\s*[:<>!=]"
+NO_VALUE = r"(?iU)([\w.@]+)\s*:\s*(?=AND\b|OR\b|NOT\b|$)"
+FIELD_USE = r"(?U)([\w.@]+)\s*[:<>!=]"
 OPERATORS = ["AND", "OR", "NOT"]
 
 # Lint messages.
@@ -171,7 +172,7 @@ def unknown_fields(saved: DataFrame, catalog: DataFrame) -> DataFrame:
 
 def lint(saved: DataFrame, catalog: DataFrame | None = None) -> DataFrame:
     """``valid`` and ``errors`` for every saved filter string ``(query_id, kql)``."""
-    rows = saved.withColumn("kql", F.trim("kql"))
+    rows = saved.withColumn("kql", tx.strip(F.col("kql")))
     doubled = doubled_operators(F.col("kql"))
     errors = F.array_compact(
         F.concat(

@@ -141,13 +141,17 @@ def _dense_block(
         floor = np.full(len(query_names), -np.inf)
         for batch in batches:
             vectors_in = batch.column(batch.schema.get_field_index("vector"))
-            valid = np.asarray(vectors_in.is_valid())
+            # a vector with a gap, or of another length than the questions', has no cosine with them
+            valid = np.asarray(vectors_in.value_lengths().fill_null(-1)) == queries.shape[1]
+            flat = vectors_in.filter(pa.array(valid)).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            rows = flat.reshape(int(valid.sum()), -1) if valid.any() else flat.reshape(0, queries.shape[1])
+            finite = np.isfinite(rows).all(axis=1)
+            valid[np.flatnonzero(valid)[~finite]] = False
             id_kind = batch.column(0).type
             ids = np.asarray(batch.column(0).to_pylist())[valid]
             if not ids.size:
                 continue
-            flat = vectors_in.filter(pa.array(valid)).flatten().to_numpy(zero_copy_only=False)
-            rows = _unit(flat.astype(np.float64).reshape(ids.size, -1))
+            rows = _unit(rows[finite])
             times = None
             if not_after is not None:
                 at = batch.schema.get_field_index("created_us")

@@ -50,7 +50,7 @@ def local_files(folder: str, source_type: str = "runbook") -> Source:
         try:
             files = (
                 spark.read.option("recursiveFileLookup", "true")
-                .option("pathGlobFilter", "*.{md,txt,MD,TXT}")
+                .option("pathGlobFilter", "*.{[mM][dD],[tT][xX][tT]}")
                 .text(folder, wholetext=True)
                 .select("value", "_metadata.file_path", "_metadata.file_modification_time")
             )
