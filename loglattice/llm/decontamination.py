@@ -9,6 +9,7 @@ is scored against that of an exact copy.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -30,10 +31,47 @@ FILTER_BITS = 22
 WORD = regex.compile(r"[\p{L}\p{N}\p{M}]+")
 
 
+BLOCK_CHARS = 1 << 20  # code points that are hashed at once
+
+
+@functools.cache
+def code_points() -> tuple[np.ndarray, np.ndarray]:
+    """For every code point: whether it is part of a word, and its 64 random-looking bits."""
+    inside = np.zeros(0x110000, bool)
+    for found in WORD.finditer("".join(map(chr, range(len(inside))))):
+        inside[found.start() : found.end()] = True
+    return inside, c.mixed(np.arange(1, len(inside) + 1, dtype=np.uint64) * c.MULTIPLIER)
+
+
 def word_codes(text: str | None) -> np.ndarray:
-    """A hash per word (letters, digits and marks, lower-cased: punctuation and case are no difference)."""
-    items = [w.encode("utf-8", "surrogatepass") for w in WORD.findall((text or "").lower())]
-    return c.word_hashes(items, len(items))
+    """A hash per word (letters, digits and marks, lower-cased: punctuation and case are no difference).
+
+    A long text is hashed in blocks that end between words, so memory beside the text is bounded
+    by the block, or by a longer word.
+    """
+    inside, bits = code_points()
+    points = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    out, at = [], 0
+    while at < len(points):
+        end = min(at + BLOCK_CHARS, len(points))
+        while end < len(points) and inside[points[end]] and inside[points[end - 1]]:
+            end += 1
+        out.append(block_codes(points[at:end], inside, bits))
+        at = end
+    return np.concatenate(out) if out else np.empty(0, np.uint64)
+
+
+def block_codes(points: np.ndarray, inside: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """The hash of every run of word characters: its characters' bits times powers by place, summed."""
+    edge = np.flatnonzero(np.diff(inside[points], prepend=False, append=False))
+    start, length = edge[::2], edge[1::2] - edge[::2]
+    if not len(start):
+        return np.empty(0, np.uint64)
+    first = np.cumsum(length) - length
+    power = np.multiply.accumulate(np.full(int(length.max()), c.MULTIPLIER))
+    place = np.arange(int(length.sum())) - np.repeat(first, length)
+    terms = bits[points[place + np.repeat(start, length)]] * power[place]
+    return c.mixed(np.add.reduceat(terms, first))
 
 
 def grams(codes: np.ndarray, n: int) -> np.ndarray:
