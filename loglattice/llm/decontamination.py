@@ -118,7 +118,7 @@ def passages(docs: DataFrame, items: list[tuple], n: int) -> DataFrame:
                 for size in sizes:
                     h = c.window_hashes(codes, size)
                     at = np.flatnonzero(seen[(h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
-                    at = at[np.isin(h[at], known)]
+                    at = at[known[np.minimum(np.searchsorted(known, h[at]), len(known) - 1)] == h[at]]
                     place.append(at)
                     gram.append(h[at])
                 place, gram = np.concatenate(place or [[]]).astype(np.int64), np.concatenate(gram or [np.empty(0, np.uint64)])
