@@ -56,9 +56,28 @@ def _masked(value: Column, data_type: T.DataType) -> Column:
         return F.transform(value, lambda x: _masked(x, data_type.elementType))
     if isinstance(data_type, T.MapType):
         return F.transform_values(value, lambda _, v: _masked(v, data_type.valueType))
+    if isinstance(data_type, T.VariantType):
+        return _masked_variant(value)
     return value
 
 
+# The parts of a JSON text: a key with its colon, a string value, or what lies between.
+JSON_PART = r'"(?:[^"\\]|\\.)*+"\s*+:|"(?:[^"\\]|\\.)*+"|[^"]+'
+
+
+def _masked_variant(value: Column) -> Column:
+    """String values of a VARIANT masked, keys and numbers kept; its dates come back as text."""
+
+    def part(item: Column) -> Column:
+        inner = F.from_json(F.concat(F.lit("["), item, F.lit("]")), "array<string>")[0]
+        listed = F.to_json(F.array(mask_text(inner)))
+        quoted = F.substring(listed, F.lit(2), F.length(listed) - 2)
+        return F.when(F.endswith(item, F.lit('"')), quoted).otherwise(item)
+
+    parts = F.regexp_extract_all(F.to_json(value), F.lit(JSON_PART), F.lit(0))
+    return F.parse_json(F.array_join(F.transform(parts, part), ""))
+
+
 def _has_text(data_type: T.DataType) -> bool:
     if isinstance(data_type, T.StructType):
         return any(_has_text(f.dataType) for f in data_type.fields)
@@ -66,7 +85,7 @@ def _has_text(data_type: T.DataType) -> bool:
         return _has_text(data_type.elementType)
     if isinstance(data_type, T.MapType):
         return _has_text(data_type.valueType)
-    return isinstance(data_type, T.StringType)
+    return isinstance(data_type, (T.StringType, T.VariantType))
 
 
 def mask_rows(df: DataFrame, keep: Iterable[str] = ()) -> DataFrame:

@@ -8,9 +8,10 @@ the name is read as a struct path.
 from __future__ import annotations
 
 import re
+from calendar import monthrange
 from collections.abc import Callable, Iterable, Mapping
 from datetime import datetime, timedelta
-from functools import reduce
+from functools import partial, reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -60,14 +61,32 @@ def match(col: Column, query: str) -> Column:
     return F.arrays_overlap(words(col), F.array(*[F.lit(w) for w in wanted]))
 
 
-def multi_match(schema: T.StructType, query: str) -> Column:
-    """Full-text over every top-level string column."""
-    columns = [f.name for f in schema.fields if isinstance(f.dataType, T.StringType)]
-    return any_of(*[F.coalesce(match(F.col(f"`{c}`"), query), F.lit(False)) for c in columns])
+def multi_match(
+    schema: T.StructType, query: str, get: Callable[[str], Column] | None = None
+) -> Column:
+    """Full-text over every string, at any depth of structs, arrays and maps."""
+    get = get or (lambda name: F.col(f"`{name}`"))
+    return any_of(*[_match_inside(get(f.name), f.dataType, query) for f in schema.fields])
+
+
+def _match_inside(value: Column, kind: T.DataType, query: str) -> Column:
+    if isinstance(kind, T.StringType):
+        return F.coalesce(match(value, query), F.lit(False))
+    if isinstance(kind, T.StructType):
+        return any_of(*[_match_inside(value.getField(f.name), f.dataType, query) for f in kind.fields])
+    if isinstance(kind, T.MapType):
+        value, kind = F.map_values(value), T.ArrayType(kind.valueType)
+    if isinstance(kind, T.ArrayType):
+        found = F.exists(value, lambda x: _match_inside(x, kind.elementType, query))
+        return F.coalesce(found, F.lit(False))
+    return F.lit(False)
 
 
 def exists(col: Column, is_array: bool = False) -> Column:
-    return (col.isNotNull() & (F.size(col) > 0)) if is_array else col.isNotNull()
+    """A value is there; an array needs an element that is not null."""
+    if is_array:
+        return F.coalesce(F.exists(col, lambda x: x.isNotNull()), F.lit(False))
+    return col.isNotNull()
 
 
 def wildcard(col: Column, pattern: str) -> Column:
@@ -94,45 +113,71 @@ def _literal(value: Any) -> Column:
 
 
 # The time units of relative dates.
-UNIT_SECONDS = {"s": 1, "m": 60, "h": 3600, "d": 86400, "w": 604800}
-ROUNDING = {"s": "second", "m": "minute", "h": "hour", "d": "day", "w": "week"}
-RELATIVE = re.compile(r"^now(?:([+-])(\d+)([smhdw]))?(?:/([smhdw]))?$")
+UNIT_SECONDS = {"s": 1, "m": 60, "h": 3600, "H": 3600, "d": 86400, "w": 604800}
+UNIT_MONTHS = {"M": 1, "y": 12}
+ROUNDING = {
+    "s": "second", "m": "minute", "h": "hour", "H": "hour", "d": "day", "w": "week", "M": "month", "y": "year",
+}
+STEP = r"[+-]\d{1,9}[smhHdwMy]|/[smhHdwMy]"
+RELATIVE = re.compile(rf"^now(?:{STEP})*$")
 
 
 def relative_time(expression: str, now: datetime) -> datetime:
-    """Resolve ``now``, ``now-1h``, ``now/d``, ``now-1d/d`` against an explicit ``now``."""
-    found = RELATIVE.match(expression)
-    if not found:
+    """Resolve ``now``, ``now-1h``, ``now/d``, ``now-1M+2d/d`` against an explicit ``now``.
+
+    Steps apply from left to right; a month or year too short for the day ends on its last.
+    """
+    if not RELATIVE.match(expression):
         raise ValueError(f"not a relative time: {expression!r}")
-    sign, amount, unit, rounding = found.groups()
     moment = now
-    if amount:
-        step = timedelta(seconds=int(amount) * UNIT_SECONDS[unit])
-        moment = moment - step if sign == "-" else moment + step
-    if rounding == "w":
-        moment -= timedelta(days=moment.weekday())
-        rounding = "d"
-    drop = {"d": ("hour", "minute", "second"), "h": ("minute", "second"), "m": ("second",), "s": ()}
-    if rounding:
-        moment = moment.replace(microsecond=0, **{part: 0 for part in drop[rounding]})
+    for step in re.findall(STEP, expression):
+        unit = step[-1]
+        if step[0] == "/":
+            moment = _rounded_down(moment, unit)
+        elif unit in UNIT_MONTHS:
+            months = moment.year * 12 + moment.month - 1 + int(step[:-1]) * UNIT_MONTHS[unit]
+            year, month = divmod(months, 12)
+            day = min(moment.day, monthrange(year, month + 1)[1])
+            moment = moment.replace(year=year, month=month + 1, day=day)
+        else:
+            moment += timedelta(seconds=int(step[:-1]) * UNIT_SECONDS[unit])
     return moment
 
 
+def _rounded_down(moment: datetime, unit: str) -> datetime:
+    if unit == "w":
+        moment -= timedelta(days=moment.weekday())
+    lowest = {"y": {"month": 1, "day": 1}, "M": {"day": 1}}.get(unit, {})
+    clock = {"h": ("minute", "second"), "H": ("minute", "second"), "m": ("second",), "s": ()}
+    below = clock.get(unit, ("hour", "minute", "second"))
+    return moment.replace(microsecond=0, **{part: 0 for part in below}, **lowest)
+
+
 def relative_time_column(expression: Column, now: Column) -> Column:
-    """The same resolution for a column of expressions (per-row bounds)."""
-    part = lambda group: F.regexp_extract(expression, RELATIVE.pattern, group)
-    unit = F.create_map(*[F.lit(x) for pair in UNIT_SECONDS.items() for x in pair])
-    size = F.coalesce(
-        part(2).try_cast("long") * F.try_element_at(unit, F.nullif(part(3), F.lit(""))), F.lit(0)
-    )
-    signed = F.when(part(1) == "-", -size).otherwise(size)
-    moment = F.timestamp_micros(F.unix_micros(now.cast("timestamp")) + signed * 1_000_000)
-    rounded = reduce(
-        lambda acc, item: acc.when(part(4) == item[0], F.date_trunc(item[1], moment)),
-        ROUNDING.items(),
-        F.when(F.lit(False), moment),
-    ).otherwise(moment)
-    return F.when(expression.rlike(RELATIVE.pattern), rounded)
+    """The same resolution for a column of expressions (per-row bounds); null for other texts."""
+
+    def amounts(units: dict[str, int]) -> Column:
+        return F.create_map(*[F.lit(x) for pair in units.items() for x in pair])
+
+    def step(moment: Column, item: Column) -> Column:
+        unit = F.right(item, F.lit(1))
+        amount = F.coalesce(F.regexp_extract(item, r"[+-]\d+", 0).try_cast("int"), F.lit(0))
+        seconds = F.try_element_at(amounts(UNIT_SECONDS), unit) * amount.cast("long")
+        months = F.try_element_at(amounts(UNIT_MONTHS), unit) * amount
+        rounded = reduce(
+            lambda acc, pair: acc.when(unit == pair[0], F.date_trunc(pair[1], moment)),
+            ROUNDING.items(),
+            F.when(F.lit(False), moment),
+        )
+        return (
+            F.when(F.startswith(item, F.lit("/")), rounded)
+            .when(months.isNotNull(), F.timestamp_add("MONTH", months, moment))
+            .otherwise(F.timestamp_micros(F.unix_micros(moment) + seconds * 1_000_000))
+        )
+
+    steps = F.regexp_extract_all(expression, F.lit(STEP), F.lit(0))
+    moment = F.aggregate(steps, now.cast("timestamp"), step)
+    return F.when(expression.rlike(RELATIVE.pattern), moment)
 
 
 def all_of(*clauses: Column) -> Column:
@@ -181,8 +226,9 @@ def compile_spec(
     return _compile(spec, lambda name: field(name, schema), schema, now)
 
 
-def _bound(value: Any, now: datetime | None) -> Any:
-    if isinstance(value, str) and RELATIVE.match(value):
+def _bound(value: Any, now: datetime | None, kind: T.DataType | None) -> Any:
+    dated = isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType))
+    if isinstance(value, str) and (RELATIVE.match(value) or dated and value.startswith("now")):
         if now is None:
             raise ValueError("relative times need an explicit now")
         return relative_time(value, now)
@@ -191,11 +237,25 @@ def _bound(value: Any, now: datetime | None) -> Any:
 
 def _type_of(schema: T.StructType, name: str) -> T.DataType | None:
     current: T.DataType | None = schema
+    listed = False  # a field of an array of structs is an array of its values
     for part in [name] if name in schema.fieldNames() else name.split("."):
+        if isinstance(current, T.ArrayType):
+            current, listed = current.elementType, True
         if not isinstance(current, T.StructType) or part not in current.fieldNames():
             return None
         current = current[part].dataType
-    return current
+    return T.ArrayType(current) if listed else current
+
+
+def _any_value(value: Column, kind: T.DataType | None, test: Callable[[Column], Column]) -> Column:
+    """The test on a value, or on some element of an array."""
+    if isinstance(kind, T.ArrayType):
+        return F.exists(value, lambda x: _any_value(x, kind.elementType, test))
+    return test(value)
+
+
+def _leaf(kind: T.DataType | None) -> T.DataType | None:
+    return _leaf(kind.elementType) if isinstance(kind, T.ArrayType) else kind
 
 
 def _typed(value: Any, kind: T.DataType | None) -> Any:
@@ -233,9 +293,10 @@ def _compile(
             parts = [_compile(s, get, schema, now) for s in body]
             clauses.append({"all": all_of, "any": any_of, "none": none_of}[kind](*parts))
         elif kind == "exists":
-            clauses.append(exists(get(body)))
+            clauses.append(exists(get(body), isinstance(_type_of(schema, body), T.ArrayType)))
         elif kind == "multi_match":
-            clauses.append(multi_match(schema, body))
+            flat = lambda name: get(name) if "." not in name else F.col(f"`{name}`")
+            clauses.append(multi_match(schema, body, flat))
         elif kind == "nested":
             for path, inner in body.items():
                 element = _element_type(schema, path)
@@ -243,14 +304,21 @@ def _compile(
         elif kind == "range":
             for name, bounds in body.items():
                 kind_of = _type_of(schema, name)
-                resolved = {k: _typed(_bound(v, now), kind_of) for k, v in bounds.items()}
-                clauses.append(between(get(name), **resolved))
+                leaf = _leaf(kind_of)
+                resolved = {k: _typed(_bound(v, now, leaf), leaf) for k, v in bounds.items()}
+                clauses.append(_any_value(get(name), kind_of, partial(between, **resolved)))
         else:
             build = {"term": term, "terms": terms, "match": match, "wildcard": wildcard}[kind]
-            clauses.extend(build(get(name), value) for name, value in body.items())
+            for name, value in body.items():
+                test = partial(_swapped, build, value)
+                clauses.append(_any_value(get(name), _type_of(schema, name), test))
     return all_of(*clauses)
 
 
+def _swapped(build: Callable[[Column, Any], Column], value: Any, column: Column) -> Column:
+    return build(column, value)
+
+
 def search(df: DataFrame, spec: Mapping[str, Any], now: datetime | None = None) -> DataFrame:
     """Rows of ``df`` matching a nested-dict filter."""
     return df.where(compile_spec(spec, df.schema, now))

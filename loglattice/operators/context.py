@@ -137,7 +137,8 @@ def region_totals(regions: DataFrame, group: Sequence[str], budget: int) -> Data
 def assemble(rows: DataFrame, budget: Column) -> DataFrame:
     """Fit memory, fetched, conversation and output text columns into a token budget.
 
-    Memory and output must fit as they are, else ``error`` is set.  Too long a fetched
+    The budget must be positive, and memory and output must fit as they are, else ``error``
+    is set and ``context`` is null.  Too long a fetched
     text is cut at its end to half of what remains; the conversation gets the rest and
     loses its oldest characters.
     """
@@ -164,17 +165,22 @@ def assemble(rows: DataFrame, budget: Column) -> DataFrame:
         .withColumn(
             "context",
             F.when(
-                F.col("_room") >= 0,
+                (budget > 0) & (F.col("_room") >= 0),
                 F.concat(part(text("memory")), part(F.col("_fetched")), part(F.col("_convo")), text("output")),
             ),
         )
-        .withColumn("error", F.when(F.col("_room") < 0, "budget exceeded by required regions"))
+        .withColumn(
+            "error",
+            F.when(budget <= 0, "budget is not positive").when(
+                F.col("_room") < 0, "budget exceeded by required regions"
+            ),
+        )
         .drop("_room", "_fetched", "_left", "_convo")
     )
 
 
-def conversation_tail(messages: DataFrame, max_tokens: int) -> DataFrame:
-    """Newest messages joined by newlines, just enough to fill ``max_tokens``.
+def conversation_tail(messages: DataFrame, max_tokens: int | Column) -> DataFrame:
+    """Newest messages joined by newlines, just enough to fill ``max_tokens`` (of the conversation).
 
     Whole older messages that a cut from the front would remove anyway are left out
     before anything is gathered, so a group holds a bounded number of characters.

@@ -38,11 +38,17 @@ def split_chunks(docs: DataFrame) -> DataFrame:
     return rows.withColumn("chunk_id", tx.chunk_id(F.col("doc_id"), F.col("ordinal")))
 
 
+def _flag(rows: DataFrame, column: str, key: str) -> Column:
+    """The flag's column, or where a source has none, its entry in ``metadata``."""
+    return F.col(column) if column in rows.columns else F.lower(F.col("metadata")[key]) == "true"
+
+
 def enrich(rows: DataFrame) -> DataFrame:
-    """Status, acceptance and tier from ``metadata``, ``accepted_flag`` and ``merged_flag``."""
+    """Status, acceptance and tier from ``metadata``, and ``accepted_flag`` and ``merged_flag`` if given."""
     status = meta.resolution_status(F.col("metadata"))
-    accepted = meta.is_accepted(F.col("accepted_flag"))
-    tier = meta.authority_tier(F.col("source_type"), status, accepted, F.col("merged_flag"))
+    accepted = meta.is_accepted(_flag(rows, "accepted_flag", "is_accepted_answer"))
+    merged = _flag(rows, "merged_flag", "pr_merged")
+    tier = meta.authority_tier(F.col("source_type"), status, accepted, merged)
     return rows.select(
         *[c for c in rows.columns if c not in ("metadata", "accepted_flag", "merged_flag")],
         status.alias("resolution_status"),

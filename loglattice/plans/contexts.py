@@ -212,10 +212,10 @@ def token_truncation(spark, folder):
 
 
 _REGIONS = """said AS (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS conversation FROM conversations GROUP BY conv_id),
-firsts AS (SELECT conv_id, max(CASE WHEN turn = 0 THEN left(text, 120) END) AS memory,
+firsts AS (SELECT conv_id, max(CASE WHEN turn = 0 THEN text END) AS memory,
     max(CASE WHEN turn = 1 THEN text END) AS fetched FROM conversations GROUP BY conv_id),
 parts AS (SELECT conv_id, coalesce(memory, '') AS memory, coalesce(fetched, '') AS fetched, conversation,
-    'answer:' AS output, 20 + conv_id % 200 AS budget FROM firsts JOIN said USING (conv_id)),
+    'answer:' AS output, conv_id % 200 * 5 AS budget FROM firsts JOIN said USING (conv_id)),
 room AS (SELECT *, budget - length(memory) // 4 - length(output) // 4 AS room FROM parts),
 f AS (SELECT *, CASE WHEN length(fetched) // 4 > room THEN
     CASE WHEN floor(room / 2) <= 0 THEN '' ELSE left(fetched, CAST(floor(room / 2) * 4 + 3 AS BIGINT)) END ELSE fetched END AS cut FROM room),
@@ -226,21 +226,22 @@ v AS (SELECT *, CASE WHEN length(conversation) // 4 > rest THEN
 
 @query(
     "assembled_context",
-    f"""WITH {_REGIONS} SELECT conv_id, CASE WHEN room >= 0 THEN
+    f"""WITH {_REGIONS} SELECT conv_id, CASE WHEN budget > 0 AND room >= 0 THEN
           CASE WHEN memory <> '' THEN memory || chr(10) ELSE '' END || CASE WHEN cut <> '' THEN cut || chr(10) ELSE '' END
           || CASE WHEN convo <> '' THEN convo || chr(10) ELSE '' END || output END AS context,
-          CASE WHEN room < 0 THEN 'budget exceeded by required regions' END AS error FROM v""",
+          CASE WHEN budget <= 0 THEN 'budget is not positive'
+               WHEN room < 0 THEN 'budget exceeded by required regions' END AS error FROM v""",
 )
 def assembled_context(spark, folder):
     """Memory, fetched text, conversation and output fitted into one budget per conversation."""
-    said = messages(spark, folder)
-    tail = ctx.conversation_tail(said, 220)
+    said, budget = messages(spark, folder), F.col("conv_id") % 200 * 5
+    tail = ctx.conversation_tail(said, budget)
     firsts = said.groupBy("conv_id").agg(
-        F.max(F.when(F.col("turn") == 0, F.left("text", F.lit(120)))).alias("memory"),
+        F.max(F.when(F.col("turn") == 0, F.col("text"))).alias("memory"),
         F.max(F.when(F.col("turn") == 1, F.col("text"))).alias("fetched"),
     )
     rows = firsts.join(tail, "conv_id").withColumn("output", F.lit("answer:"))
-    return ctx.assemble(rows, F.lit(20) + F.col("conv_id") % 200).select("conv_id", "context", "error")
+    return ctx.assemble(rows, budget).select("conv_id", "context", "error")
 
 
 @query(

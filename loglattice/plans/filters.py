@@ -125,29 +125,38 @@ def nested_same_element(spark, folder):
 def as_of(spark, folder):
     """Documents visible to each question under its own bound.
 
-    Documents are summed per (source, day) and accumulated over a calendar of days, so
-    a question meets one row, not all documents before its bound.
+    Documents are summed per (source, moment) and accumulated over the days that occur, so a
+    question meets one total of the days before its bound and the moments of the bound's own
+    day, not all documents before it.  A source's window holds a row per day at most.
     """
-    start, end = F.expr("date'2024-01-01'"), F.expr("date'2024-12-31'")
-    per_day = (
+    start = F.expr("date'2024-01-01'")
+    moments = (
         raw_documents(spark, folder)
-        .groupBy("source", F.to_date("created_at").alias("day"))
+        .groupBy("source", "created_at")
         .agg(F.count(F.lit(1)).alias("n"), F.sum("doc_id").alias("s"))
-    )
-    calendar = per_day.select("source").distinct().select(
-        "source", F.explode(F.sequence(start, end)).alias("day")
-    )
-    upto = Window.partitionBy("source").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
-    so_far = calendar.join(per_day, ["source", "day"], "left").select(
-        "source", "day", F.sum("n").over(upto).alias("n_docs"), F.sum("s").over(upto).alias("id_sum")
+        .withColumn("day", F.to_date("created_at"))
     )
     asked = read_table(spark, folder, "customer").select(
         F.col("c_custkey").alias("query_id"),
         F.concat(F.lit("src"), F.col("c_custkey") % 20).alias("source"),
-        F.date_add(start, (F.col("c_custkey") % 365).cast("int")).alias("day"),
+        F.date_add(start, (F.col("c_custkey") % 365).cast("int")).cast("timestamp").alias("not_after"),
+    )
+    bounds = asked.select("source", "not_after").distinct().withColumn("day", F.to_date("not_after"))
+    per_day = moments.groupBy("source", "day").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    before = Window.partitionBy("source").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = per_day.join(bounds.select("source", "day").distinct(), ["source", "day"], "full_outer").select(
+        "source", "day", F.sum("n").over(before).alias("n"), F.sum("s").over(before).alias("s")
+    )
+    same = moments.join(bounds, ["source", "day"]).where(p.as_of(F.col("created_at"), F.col("not_after")))
+    visible = (
+        bounds.join(earlier, ["source", "day"])
+        .select("source", "not_after", "n", "s")
+        .unionByName(same.select("source", "not_after", "n", "s"))
+        .groupBy("source", "not_after")
+        .agg(F.sum("n").alias("n_docs"), F.sum("s").alias("id_sum"))
+        .where("n_docs > 0")
     )
-    found = asked.join(so_far, ["source", "day"]).where("n_docs > 0")
-    return found.select("query_id", "n_docs", "id_sum")
+    return asked.join(visible, ["source", "not_after"]).select("query_id", "n_docs", "id_sum")
 
 
 @query(

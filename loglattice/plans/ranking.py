@@ -428,7 +428,7 @@ def quality_bm25(spark, folder):
 
 _ROUTED = """routed AS (SELECT item_id, lower(CASE item_id % 6 WHEN 0 THEN 'How to ' || text WHEN 1 THEN 'Count ' || text
     WHEN 2 THEN 'why did the count ' || text WHEN 3 THEN 'HOW MANY ' || text || ' failed'
-    WHEN 4 THEN 'the average of ' || left(text, 20) ELSE text END) AS q FROM benchmark),
+    WHEN 4 THEN 'the average of ' || text ELSE text END) AS q FROM benchmark),
 flags AS (SELECT item_id, regexp_matches(q, '\\bbest practice\\b|\\bhow to\\b|\\barchitecture\\b') AS docs_only,
     regexp_matches(q, '\\bcount\\b|\\bhow many\\b|\\bsum\\b|\\baverage\\b') AS quant,
     regexp_matches(q, '\\bwhy\\b|\\bfailed\\b|\\berror\\b|\\bcause\\b') AS trouble FROM routed)"""
@@ -444,7 +444,7 @@ def route_questions(spark, folder):
     q = F.col("text")
     kinds = F.array(
         F.concat(F.lit("How to "), q), F.concat(F.lit("Count "), q), F.concat(F.lit("why did the count "), q),
-        F.concat(F.lit("HOW MANY "), q, F.lit(" failed")), F.concat(F.lit("the average of "), F.left(q, F.lit(20))), q,
+        F.concat(F.lit("HOW MANY "), q, F.lit(" failed")), F.concat(F.lit("the average of "), q), q,
     )
     asked = read_table(spark, folder, "benchmark").withColumn(
         "q", F.element_at(kinds, (F.col("item_id") % 6 + 1).cast("int"))

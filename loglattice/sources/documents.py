@@ -91,18 +91,22 @@ def newer_than(docs: DataFrame, since: datetime | Column | None) -> DataFrame:
     return docs.where(F.col("updated_at") > bound)
 
 
+def _source_of(rows: DataFrame) -> str:
+    return "source" if "source" in rows.columns else "source_type"
+
+
 def newer_than_marks(docs: DataFrame, marks: DataFrame, full_reindex: bool = False) -> DataFrame:
-    """Documents past their source's high-water mark ``(source, last_indexed_at)``."""
+    """Documents past their source's mark (see ``high_water_marks``)."""
     if full_reindex:
         return docs
-    joined = docs.join(marks, "source", "left")
+    joined = docs.join(marks, _source_of(marks), "left")
     fresh = F.col("last_indexed_at").isNull() | (F.col("updated_at") > F.col("last_indexed_at"))
     return joined.where(fresh).drop("last_indexed_at")
 
 
 def high_water_marks(docs: DataFrame) -> DataFrame:
-    """Next mark per source."""
-    return docs.groupBy("source").agg(F.max("updated_at").alias("last_indexed_at"))
+    """Next mark ``last_indexed_at`` per ``source``, or per ``source_type`` of plain raw documents."""
+    return docs.groupBy(_source_of(docs)).agg(F.max("updated_at").alias("last_indexed_at"))
 
 
 def fetch_from(

@@ -74,6 +74,12 @@ def test_array_term_and_sources(spark):
         ("now-1d/d", datetime(2026, 4, 9)),
         ("now/w", datetime(2026, 4, 6)),
         ("now+2h", datetime(2026, 4, 10, 17, 42, 7)),
+        ("now-1M", datetime(2026, 3, 10, 15, 42, 7)),
+        ("now/M-1d-2M", datetime(2026, 1, 31)),
+        ("now/y", datetime(2026, 1, 1)),
+        ("now+50d-3M", datetime(2026, 2, 28, 15, 42, 7)),
+        ("now-1d-2h/d", datetime(2026, 4, 9)),
+        ("now-1y/H", datetime(2025, 4, 10, 15)),
     ],
 )
 def test_relative_time(spark, text, expected):
@@ -83,6 +89,43 @@ def test_relative_time(spark, text, expected):
     assert shown == expected.strftime("%Y-%m-%d %H:%M:%S")
 
 
+@pytest.mark.parametrize(
+    ("spec", "ids"),
+    [
+        ({"term": {"tags": "b"}}, [1]),
+        ({"terms": {"tags": ["b", "c"]}}, [1, 2]),
+        ({"wildcard": {"tags": "a*"}}, [1]),
+        ({"exists": "tags"}, [1, 2]),
+        ({"none": [{"term": {"tags": "b"}}]}, [2, 3, 4, 5]),
+        ({"range": {"codes": {"gte": 5, "lt": 9}}}, [1]),
+        ({"term": {"parts.name": "Disk Full"}}, [2]),
+        ({"exists": "parts.name"}, [1, 2]),
+        ({"multi_match": "full"}, [2]),
+        ({"multi_match": "deep"}, [3]),
+        ({"multi_match": "valued"}, [4]),
+        ({"nested": {"parts": {"multi_match": "disk"}}}, [2]),
+    ],
+)
+def test_filter_on_arrays_and_nested_fields(spark, spec, ids):
+    rows = [
+        (1, ["a", "b"], [1, 7], [("ok",)], None, None),
+        (2, ["c", None], [9], [("ok",), ("Disk Full",)], None, None),
+        (3, [], [], [], (("Deep",),), None),
+        (4, None, None, None, None, {"key": "valued"}),
+        (5, [None], [None], [(None,)], None, {}),
+    ]
+    schema = (
+        "id int, tags array<string>, codes array<int>, parts array<struct<name:string>>, "
+        "outer struct<inner:struct<text:string>>, notes map<string,string>"
+    )
+    assert found(spark.createDataFrame(rows, schema), spec) == ids
+
+
+def test_unknown_relative_bound_is_named(hits):
+    with pytest.raises(ValueError, match="now-1q"):
+        p.compile_spec({"range": {"@timestamp": {"gte": "now-1q"}}}, hits.schema, NOW)
+
+
 def test_relative_time_rejects_other_text():
     with pytest.raises(ValueError):
         p.relative_time("yesterday", NOW)

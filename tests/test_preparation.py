@@ -183,3 +183,20 @@ def test_fences_and_utc(spark):
     shown = F.date_format(meta.utc(F.col("t")), "HH:mm")
     assert one(spark, shown, "2026-04-01T12:30:00+02:00") == "10:30"
     assert one(spark, shown, "2026-04-01T12:30:00") == "12:30"
+
+
+def test_files_become_chunks(spark, tmp_path):
+    from loglattice.operators.indexing import prepare_chunks
+    from loglattice.sources.documents import high_water_marks, local_files, newer_than_marks
+
+    for i in range(5):
+        header = "---\nstatus: done\nis_accepted_answer: true\nupdated_at: 2026-01-0%d\n---\n" % (i + 1)
+        (tmp_path / f"note{i}.md").write_text(header + f"Restart service {i} and wait.")
+    docs = local_files(str(tmp_path), "jira")(spark)
+    rows = prepare_chunks(docs).orderBy("doc_id").collect()
+    assert [r.chunk_id for r in rows] == [f"note{i}-chunk-0" for i in range(5)]
+    assert {(r.authority_tier, r.resolution_status, r.is_accepted_answer) for r in rows} == {("A", "resolved", True)}
+    marks = high_water_marks(docs)
+    assert marks.selectExpr("source_type", "date(last_indexed_at)").first()[0] == "jira"
+    assert newer_than_marks(docs, marks).count() == 0
+    assert newer_than_marks(docs, marks.limit(0)).count() == 5

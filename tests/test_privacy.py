@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from conftest import values
 from pyspark.sql import functions as F
@@ -45,6 +47,16 @@ def test_mask_rows_walks_every_shape(spark):
     assert (got["status"], got["active"], got["trace.id"], got["raw"]) == (200, True, "abc-1", HASHES[0])
 
 
+def test_variant_is_masked(spark):
+    body = r'{"a@b.io": {"mail": "x\n1.2.3.4 \"y@z.org\"", "n": [4111111111111111, true, null, "q@r.com"]}}'
+    df = spark.createDataFrame([(body,), (None,)], "t string").select(F.parse_json("t").alias("v"))
+    rows = masking.mask_rows(df).select(F.to_json("v").alias("v")).collect()
+    assert json.loads(rows[0]["v"]) == {
+        "a@b.io": {"mail": 'x\n<IP_ADDRESS> "<EMAIL>"', "n": [4111111111111111, True, None, "<EMAIL>"]}
+    }
+    assert rows[1]["v"] is None
+
+
 def test_null_struct_stays_null(spark):
     df = spark.createDataFrame([(None,)], "s struct<a:string>")
     assert masking.mask_rows(df).first()["s"] is None
