@@ -327,6 +327,19 @@ def test_shards_part_a_heavy_group(docs_of):
 # 10 decontamination
 
 
+@pytest.mark.parametrize("block", [3, 1 << 20])
+def test_words_are_hashed_alike_in_any_block(monkeypatch, block):
+    monkeypatch.setattr(decontamination, "BLOCK_CHARS", block)
+    odd = ["", " ", "_a_b", "e\u0301x \u0130 \u03a3\u0391\u03a3", "\ud800ab", "x" * 50 + " y", "\u65e5\u672c 12,5 Stra\u00dfe"]
+    by_word = {}
+    for text in [None, *odd, " ".join(odd)]:
+        found = decontamination.WORD.findall((text or "").lower())
+        codes = decontamination.word_codes(text).tolist()
+        assert len(codes) == len(found)
+        assert all(by_word.setdefault(w, x) == x for w, x in zip(found, codes))
+    assert len(set(by_word.values())) == len(by_word)
+
+
 def test_leaks(spark, folder, texts):
     found = {(r.doc_id, r.item_id) for r in QUERIES["op10_benchmark_decontamination"](spark, folder).collect()}
     items = duckdb.sql(f"SELECT item_id, text FROM '{folder}/benchmark.parquet'").fetchall()
