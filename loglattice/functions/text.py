@@ -1,12 +1,14 @@
 """Row-local text preparation: words, windows, tokens, ids, vectors, budgets.
 
-All of it is built-in expressions, so a document never leaves its row or the JVM.
+All but ``run_hashes`` is built-in expressions, so a document never leaves its row or the JVM.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -153,3 +155,28 @@ def glob_to_regex(pattern: Column) -> Column:
     escaped = F.regexp_replace(escaped, r"\[(?![^\]]*\])", r"\\[")  # an unclosed bracket is literal
     body = F.replace(F.replace(escaped, F.lit("*"), F.lit(".*")), F.lit("?"), F.lit("."))
     return F.concat(F.lit("^(?s:"), F.replace(body, F.lit("[!"), F.lit("[^")), F.lit(")$"))
+
+
+def run_hashes(text: Column, size: Column) -> Column:
+    """Distinct hashes of the runs of ``size`` characters, without order; none of a shorter text.
+
+    Runs are hashed from code points in Arrow batches: a built-in ``substr`` per run would walk the
+    text from its start each time.
+    """
+
+    @F.pandas_udf("array<bigint>")
+    def hashed(texts: pd.Series, sizes: pd.Series) -> pd.Series:
+        out = []
+        for value, n in zip(texts, sizes):
+            points = np.frombuffer((value or "").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+            if n < 1 or len(points) < n:
+                out.append([])
+                continue
+            h = np.zeros(len(points) - n + 1, np.uint64)
+            for i in range(n):
+                h = (h ^ points[i : len(points) - n + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
+                h ^= h >> np.uint64(29)
+            out.append(np.unique(h.view(np.int64)))
+        return pd.Series(out)
+
+    return hashed(text, size)

@@ -196,22 +196,25 @@ def _dense_partials(
 ) -> list[DataFrame]:
     rows = queries.limit(block + 1).toArrow().combine_chunks()
     if rows.num_rows > block:  # more than one block: halve by hash and rank each half
-        side = F.shiftright(F.xxhash64(F.lit(level), "query_id"), 7).bitwiseAND(F.lit(1))
+        side = F.shiftright(F.xxhash64(F.lit(level), *queries.columns), 7).bitwiseAND(F.lit(1))
         return [
             frame
             for half in (0, 1)
             for frame in _dense_partials(queries.where(side == half), chunks, k, block, level + 1)
         ]
-    rows = rows.filter(rows.column("vector").is_valid()).combine_chunks()
-    if not rows.num_rows:
-        return []
-    names, vectors = (rows.column(c).chunk(0) for c in ("query_id", "vector"))
-    matrix = vectors.flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, -1)
-    bounds = None
-    if "not_after_us" in queries.columns:
-        bounds = rows.column("not_after_us").to_numpy()
     query_type = queries.schema["query_id"].dataType.simpleString()
-    return [_dense_block(chunks, names, matrix, bounds, k, query_type)]
+    lengths = np.asarray(rows.column("vector").combine_chunks().value_lengths().fill_null(0)) if rows.num_rows else []
+    parts = []
+    for length in sorted({int(n) for n in lengths} - {0}):  # vectors of different lengths have no chunks in common
+        own = rows.filter(pa.array(lengths == length)).combine_chunks()
+        names, vectors = (own.column(c).chunk(0) for c in ("query_id", "vector"))
+        matrix = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(own.num_rows, length)
+        finite = np.isfinite(matrix).all(axis=1)
+        if not finite.any():
+            continue
+        bounds = own.column("not_after_us").to_numpy()[finite] if "not_after_us" in queries.columns else None
+        parts.append(_dense_block(chunks, names.filter(pa.array(finite)), matrix[finite], bounds, k, query_type))
+    return parts
 
 
 def dense_cosine(
@@ -232,7 +235,7 @@ def dense_cosine(
         query_columns.append(F.coalesce(micros("not_after"), F.lit(2**63 - 1)).alias("not_after_us"))
         chunk_columns.append(F.coalesce(micros("created_at"), F.lit(2**63 - 1)).alias("created_us"))
     parts = _dense_partials(
-        queries.select(*query_columns), chunks.select(*chunk_columns), k, block
+        queries.select(*query_columns).distinct(), chunks.select(*chunk_columns), k, block
     )
     if not parts:
         kinds = {c: df.schema[c].dataType.simpleString() for df, c in ((queries, "query_id"), (chunks, "chunk_id"))}

@@ -30,11 +30,10 @@ def _cell_bytes(field: T.StructField) -> Column:
 def fits_broadcast(
     df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES
 ) -> bool:
-    """Measure ``df`` (never reading past ``max_rows`` + 1 rows) against both bounds."""
+    """Measure ``df`` against both bounds, by counts and sums that every task adds up first."""
     size = sum((_cell_bytes(f) for f in df.schema.fields), F.lit(0)).cast("long")
     rows, size_bytes = (
         df.select(size.alias("_size"))
-        .limit(max_rows + 1)
         .agg(F.count(F.lit(1)), F.coalesce(F.sum("_size"), F.lit(0)))
         .first()
     )
@@ -58,7 +57,7 @@ def fetch_rows(table: DataFrame, wanted: DataFrame, key: str, owners: DataFrame,
     the owners therefore proves its size before it is broadcast.
     """
     limit = max(1, BROADCAST_ROWS // per_owner)
-    few = owners.limit(limit + 1).count() <= limit
+    few = owners.count() <= limit
     return table.join(F.broadcast(wanted) if few else wanted, key)
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loglattice.functions import metadata as meta
@@ -10,7 +13,7 @@ from loglattice.functions import text as tx
 from loglattice.operators import retrieval
 from loglattice.operators.indexing import enrich, postings, save_postings, with_vectors
 from loglattice.operators.quality import retrieval_quality
-from loglattice.operators.scale import fetch_rows, fits_broadcast, top_k
+from loglattice.operators.scale import fetch_rows, top_k
 from loglattice.plans.knowledge import retrieve
 from loglattice.plans.registry import query
 from loglattice.plans.views import (
@@ -139,7 +142,8 @@ def dense_cosine_as_of(spark, folder):
 
 
 # Content-hash vectors stand in for embeddings of texts.
-DIMS = 32
+DIMS = 32  # exact: the vectors repeat the 32 bytes of one digest
+ANCHOR_CHARS = 12  # of a question that documents are first searched for
 
 
 def _hash_sql(text: str) -> str:
@@ -362,35 +366,32 @@ def examples_for_indices(spark, folder):
 
 
 def _truth(spark, folder):
-    """(query_id, doc_id) pairs where the document holds the question's first 60 characters.
+    """(query_id, doc_id) pairs where the document holds the whole question; an empty one has none.
 
-    Two whole words inside the passage anchor the search: documents meet questions on
-    that word pair and only then are compared in full.  Few questions travel to the
-    documents; many are matched by pair first and the texts fetched afterwards.
+    A question is anchored on one run of its characters, that with the smallest hash, so any
+    text has an anchor.  Documents give away only runs whose hash is no larger than the largest
+    anchor, meet the questions on them by an equality join, and the texts of those that met are
+    then compared in full.
     """
-    docs = spread(read_table(spark, folder, "documents"), "doc_id")
-    passage = questions(spark, folder).select("query_id", F.left("question", F.lit(60)).alias("passage"))
-    inner = tx.split_words(F.col("passage"))
-    anchored = passage.withColumn("anchor", F.array_join(F.slice(inner, 2, 2), " "))
-    pairs = tx.let(
-        tx.split_words(F.col("text")),
-        lambda w: F.transform(
-            F.sequence(F.lit(1), F.greatest(F.size(w) - 1, F.lit(1))),
-            lambda i: F.array_join(F.slice(w, i, F.lit(2)), " "),
-        ),
-    )
-    anchors = F.explode(F.array_distinct(pairs)).alias("anchor")
-    if fits_broadcast(anchored):
-        met = docs.select("doc_id", "text", anchors).join(F.broadcast(anchored), "anchor")
-    else:
-        keys = docs.select("doc_id", anchors).join(anchored, "anchor").drop("anchor").distinct()
-        met = docs.join(keys, "doc_id")
-    holds = F.contains(F.col("text"), F.col("passage"))
-    return met.where(holds).select("query_id", "doc_id").distinct()
+    docs = read_table(spark, folder, "documents").select("doc_id", "text")
+    asked = questions(spark, folder).select("query_id", "question").where("question <> ''")
+    size = F.least(F.char_length("question"), F.lit(ANCHOR_CHARS))
+    anchored = asked.select("query_id", size.alias("size"), F.array_min(tx.run_hashes(F.col("question"), size)).alias("anchor"))
+    bounds = anchored.groupBy("size").agg(F.max("anchor").alias("most")).collect()  # ANCHOR_CHARS rows at most
+    parts = []
+    for row in sorted(bounds):
+        runs = F.filter(tx.run_hashes(F.col("text"), F.lit(row["size"])), lambda h: h <= row["most"])
+        own = anchored.where(F.col("size") == row["size"])
+        parts.append(docs.select("doc_id", F.explode(runs).alias("anchor")).join(own, "anchor").select("doc_id", "query_id"))
+    if not parts:
+        return asked.select("query_id", F.lit(None).cast("long").alias("doc_id")).limit(0)
+    keys = reduce(DataFrame.union, parts).distinct()
+    met = docs.join(keys, "doc_id").join(asked, "query_id")
+    return met.where(F.contains(F.col("text"), F.col("question"))).select("query_id", "doc_id").distinct()
 
 
 _TRUTH = """truth AS (SELECT DISTINCT item_id AS query_id, doc_id FROM benchmark b, documents d
-                      WHERE contains(d.text, left(b.text, 60)))"""
+                      WHERE b.text <> '' AND contains(d.text, b.text))"""
 
 
 def _quality_sql(scores: str, extra: str, k: int) -> str:

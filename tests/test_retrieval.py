@@ -252,3 +252,25 @@ def test_supplied_embedder_and_scorer(spark):
     got = values(retrieval.rerank(pairs, score), "chunk_id", "cross_encoder_score")
     assert got == [("c1", 2.0), ("c2", -1.0)]
     assert values(retrieval.rerank(pairs.withColumn("question", F.lit("abc x"))), "cross_encoder_score") == [(0.0,), (0.5,)]
+
+
+def test_truth_of_any_writing(spark, tmp_path):
+    from loglattice.plans.ranking import _truth
+
+    texts = {1: "before 東京都は日本の首都である。 after", 2: "a few short words here", 3: "nothing of the kind", 4: "東京都は日本の首都では", 5: None}
+    asked = {1: "東京都は日本の首都である。", 2: "few short words", 3: "w", 4: "", 5: "few short words here and more"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(asked.items()), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    held = {(q, d) for q, v in asked.items() for d, t in texts.items() if v and t and v in t}
+    assert {tuple(r) for r in _truth(spark, str(tmp_path)).collect()} == held
+
+
+def test_dense_questions_of_unlike_vectors(spark):
+    from loglattice.operators.retrieval import dense_cosine
+
+    asked = [(1, [1.0, 0.0]), (2, [1.0, 0.0, 0.0]), (3, [float("nan"), 1.0]), (4, [1.0, None]), (5, None), (6, [])]
+    asked += [(7, [0.0, 1.0])] * 9
+    queries = spark.createDataFrame(asked, "query_id long, vector array<double>")
+    chunks = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0]), ("c", [0.0, 0.0, 2.0])], "chunk_id string, vector array<double>")
+    found = {(r["query_id"], r["chunk_id"], r["score"]) for r in dense_cosine(queries, chunks, 1, block=2).collect()}
+    assert found == {(1, "a", 1.0), (2, "c", 0.0), (7, "b", 1.0)}
