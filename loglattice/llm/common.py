@@ -130,10 +130,10 @@ def unsqueezed(raw: bytes) -> list[np.ndarray]:
     return out
 
 
-def cut(order_by: np.ndarray, shards: int) -> list[tuple[int, slice]]:
+def cut(order_by: np.ndarray) -> list[tuple[int, slice]]:
     """Slices of an array sorted by shard, for the shards that occur."""
-    edges = np.searchsorted(order_by, np.arange(shards + 1))
-    return [(s, slice(a, b)) for s, (a, b) in enumerate(zip(edges[:-1], edges[1:])) if a < b]
+    first = np.flatnonzero(np.diff(order_by, prepend=-1))
+    return [(int(order_by[a]), slice(a, b)) for a, b in zip(first.tolist(), [*first[1:].tolist(), len(order_by)])]
 
 
 def sliced(batches: Iterable[pa.RecordBatch], text: int, limit: int = 8 << 20) -> Iterable[pa.RecordBatch]:

@@ -283,7 +283,7 @@ class Block:
         own = np.searchsorted(units, home(context, c.mixed(self.known[word]) % parts[context].astype(np.uint64)))
         by, length = np.argsort(own, kind="stable"), np.bincount(own, minlength=len(units))
         ends = np.cumsum(length)
-        for s, part in c.cut(units // len(self.known), shards):
+        for s, part in c.cut(units // len(self.known)):
             bigrams = by[ends[part.start] - length[part.start] : ends[part.stop - 1]]
             yield s, bigrams, units[part] % len(self.known), length[part]
 
@@ -298,7 +298,7 @@ def counted(packed: DataFrame, shards: int) -> DataFrame:
                 block = Block(batch.column(2)[i].as_py())
                 counts = block.counts()
                 by = np.argsort(shard := c.shard_of(block.known, shards), kind="stable")
-                cuts = c.cut(shard[by], shards)
+                cuts = c.cut(shard[by])
                 loads = [c.squeezed([block.known[by[p]], counts[by[p]].astype(np.uint32)]) for _, p in cuts]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([s for s, _ in cuts], pa.int32()), pa.array([name] * len(cuts), pa.int64()), pa.array(loads, pa.binary())],
@@ -440,7 +440,7 @@ def scored(docs: DataFrame, training: Column) -> DataFrame:
                 shard = c.shard_of(block.known, shards)
                 by = np.argsort(shard, kind="stable")
                 got = {r["shard"]: r["load"] for r in batch.column(2)[i].as_py()}
-                for s, part in c.cut(shard[by], shards):
+                for s, part in c.cut(shard[by]):
                     counts[by[part]] = c.unsqueezed(got[s])[0]
                 got = {r["shard"]: r["load"] for r in batch.column(3)[i].as_py()}
                 successors, seen = np.zeros(len(block.known), np.int64), None

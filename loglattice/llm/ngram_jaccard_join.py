@@ -148,7 +148,7 @@ def sent(docs: DataFrame, shards: int, n: int, percent: int) -> DataFrame:
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-        for batch in c.sliced(batches, 1):
+        for batch in c.sliced(batches, 1, 4 << 20):
             names, own, out, typical = set(), [], [], {}
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 features = shingle_set(text.as_py(), n)
@@ -168,7 +168,7 @@ def sent(docs: DataFrame, shards: int, n: int, percent: int) -> DataFrame:
                 sig, name = (np.concatenate([o[i] for o in own]) for i in (0, 1))
                 by = np.argsort(shard := c.shard_of(sig, shards), kind="stable")
                 sig, name = sig[by], name[by]
-                for s, part in c.cut(shard[by], shards):
+                for s, part in c.cut(shard[by]):
                     run = np.flatnonzero(np.concatenate([[True], np.diff(name[part]) != 0]))
                     counts = np.diff(np.append(run, part.stop - part.start)).astype(np.uint16 if part.stop - part.start < 65536 else np.int32)
                     low = sig[part].view(np.uint8).reshape(-1, 8)[:, :6].ravel()  # the rest picks the shard, nearly
@@ -333,7 +333,7 @@ def grouped(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFr
     A null id is kept as a row, never named by others, and named by its component only if that
     has no other id.  An empty table gives an empty one; other columns are not read.
     """
-    shards = c.shards_for(docs)
+    shards = c.shards_for(docs, 4 << 20)
     found = c.stored(buckets(sent(docs, shards, n, percent).repartition(shards, "shard")), "buckets")
     sets = found.where(F.col("kind") == SET).select(F.col("x").alias("doc_id"), F.col("y").alias("name"), "n", "sketch")
     pairs = found.where(F.col("kind") == PAIR).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()

@@ -65,7 +65,7 @@ def packed_hits(buckets: int, order: np.ndarray, crc: np.ndarray, *figures: np.n
     rank[np.argsort(bucket, kind="stable")] = np.arange(len(docs))  # documents of a bucket side by side
     by = np.argsort(rank[owner.ravel()] << 32 | figures[0], kind="stable")
     owner, figures = owner.ravel()[by], tuple(f[by] for f in figures)
-    for s, part in c.cut(bucket[owner], buckets):
+    for s, part in c.cut(bucket[owner]):
         at, source, there = (f[part] for f in figures)
         run = np.flatnonzero(np.concatenate([[True], np.diff(owner[part]) != 0]))
         counts = np.diff(np.append(run, len(at)))
@@ -108,7 +108,7 @@ def asked(docs: DataFrame, n: int, shards: int, buckets: int) -> DataFrame:
             shard = c.shard_of(h, shards)
             by = np.argsort(shard.astype(np.uint16) if shards < 65536 else shard, kind="stable")
             h, owner, place = h[by], owner[by], place[by]
-            for s, own in c.cut(shard[by], shards):
+            for s, own in c.cut(shard[by]):
                 run = np.flatnonzero(np.concatenate([[True], np.diff(owner[own]) != 0]))
                 rows, counts = owner[own][run], np.diff(np.append(run, own.stop - own.start))
                 step = np.diff(place[own].astype(np.int64), prepend=0)
