@@ -1,10 +1,10 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of words.
 
-Test items travel to the documents in blocks of bounded size.  A document that holds an item's
-n-gram gives the words around it as a passage.  An n-gram seeds an alignment if few documents hold
-it, or if it is among the rarer half of its item (so that an item that leaked everywhere still
-has seeds).  The alignment of passage and item, which allows for changed, missing and added words,
-is scored against that of an exact copy.
+Test items travel to the documents in blocks of bounded size.  Every n-gram that an item and a
+document share seeds an alignment of the two, however many documents hold it.  Stretches of the
+document with too few of the item's words to reach the least score are left out beforehand, which
+changes no result.  The alignment, which allows for changed, missing and added words, is scored
+against that of an exact copy.
 """
 
 from __future__ import annotations
@@ -16,14 +16,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loglattice.llm import common as c
 from loglattice.llm.registry import query
 
 N = 4  # words of a seed
-RARE, ALWAYS = 0.01, 100  # share of documents that may hold a seed, and a number that is never many
 LEAST = 0.5  # of an exact copy's score
 MATCH, MISS, GAP = 2, -1, -1
 BLOCK_BYTES = 4 << 20  # of items that are broadcast at once
@@ -94,56 +93,110 @@ def alignment(item: np.ndarray, passage: np.ndarray) -> float:
     return best / (MATCH * len(item)) if len(item) else 0.0
 
 
-def passages(docs: DataFrame, items: list[tuple], n: int) -> DataFrame:
-    """doc_id, passage (word hashes) and the item n-grams in it, for one block of items.
-
-    An n-gram of ``n`` words is looked for everywhere; a shorter item counts as one n-gram.
-    """
-    coded = [word_codes(text) for _, text in items]
-    known = np.unique(np.concatenate([grams(x, n) for x in coded] or [np.empty(0, np.uint64)]))
-    sizes = sorted({min(n, len(x)) for x in coded if len(x)})
-    reach = 2 * max((len(x) for x in coded), default=0)
-    seen = np.zeros(1 << FILTER_BITS, bool)
-    seen[(known >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
-    shared = docs.sparkSession.sparkContext.broadcast((known, np.packbits(seen)))  # one block's worth
+class Items:
+    """One block of items: what finds and bounds them, as flat arrays.
+
+    An n-gram of ``n`` words is looked for everywhere; a shorter item counts as one n-gram."""
+
+    def __init__(self, items: list[tuple], n: int):
+        self.ids = [i for i, _ in items]
+        self.coded = [word_codes(text) for _, text in items]
+        lengths = np.array([len(x) for x in self.coded], np.int64)
+        self.sizes = sorted({min(n, len(x)) for x in self.coded if len(x)})
+        own = [np.unique(grams(x, n)) for x in self.coded]
+        gram = np.concatenate(own or [np.empty(0, np.uint64)])
+        owner = np.repeat(np.arange(len(own)), [len(x) for x in own])
+        by = np.argsort(gram, kind="stable")
+        self.grams, self.first, self.held = np.unique(gram[by], return_index=True, return_counts=True)
+        self.owner = owner[by]  # items of the i-th n-gram: ``held[i]`` entries from ``first[i]`` on
+        self.vocabulary, number = np.unique(np.concatenate(self.coded or [np.empty(0, np.uint64)]), return_inverse=True)
+        kinds, self.times = np.unique(
+            np.repeat(np.arange(len(lengths)), lengths) * max(1, len(self.vocabulary)) + number, return_counts=True
+        )
+        self.word = kinds % max(1, len(self.vocabulary))  # distinct words of the items, one item after the other
+        self.kinds = np.bincount(kinds // max(1, len(self.vocabulary)), minlength=len(lengths))
+        self.start = np.cumsum(self.kinds) - self.kinds
+        self.lengths = lengths
+        seen = np.zeros(1 << FILTER_BITS, bool)
+        seen[(self.grams >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
+        self.filter = np.packbits(seen)
+
+    def sharing(self, codes: np.ndarray, seen: np.ndarray) -> np.ndarray:
+        """The items that share an n-gram with the words ``codes``."""
+        found = []
+        for size in self.sizes:
+            h = c.window_hashes(codes, size)
+            h = np.unique(h[seen[(h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)]])
+            at = np.minimum(np.searchsorted(self.grams, h), len(self.grams) - 1)
+            at = at[self.grams[at] == h]
+            found.append(self.owner[c.runs(self.first[at], self.held[at])])
+        return np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
+
+    def leaked(self, codes: np.ndarray, seen: np.ndarray, least: float) -> Iterator[tuple[int, float]]:
+        """Item and score of every item that shares an n-gram and whose best alignment reaches ``least``.
+
+        An alignment with M equal words, X changed and G skipped ones scores 2M - X - G, so to
+        reach ``least`` it needs M >= least * length, and it spans at most 3M - 2 * least * length words
+        of the text.  Only items and stretches that can have that are aligned; none else can reach it.
+        """
+        some = self.sharing(codes, seen)
+        if not len(some):
+            return
+        number = np.minimum(np.searchsorted(self.vocabulary, codes), len(self.vocabulary) - 1)
+        number = np.where(self.vocabulary[number] == codes, number, len(self.vocabulary))
+        have = np.bincount(number, minlength=len(self.vocabulary) + 1)
+        need = np.maximum(1, np.ceil(least * self.lengths - 1e-9)).astype(np.int64)
+        bound = np.empty(len(some), np.int64)
+        for a in range(0, len(some), 1 << 12):
+            own = some[a : a + (1 << 12)]
+            at = c.runs(self.start[own], self.kinds[own])
+            edges = np.cumsum(self.kinds[own]) - self.kinds[own]
+            bound[a : a + len(own)] = np.add.reduceat(np.minimum(have[self.word[at]], self.times[at]), edges)
+        mark = np.zeros(len(self.vocabulary) + 1, bool)
+        for item in some[bound >= need[some]].tolist():
+            words = self.word[self.start[item] : self.start[item] + self.kinds[item]]
+            mark[words] = True
+            equal = np.concatenate([[0], np.cumsum(mark[number])])
+            mark[words] = False
+            size = int(self.lengths[item])
+            span = min(len(codes), max(size, math.floor(size * (3 - 2 * least) + 1e-9)))
+            at = np.flatnonzero(equal[span:] - equal[:-span] >= need[item])  # where such a stretch begins
+            edge = np.flatnonzero(np.diff(at) > span) + 1
+            best = 0.0
+            for a, b in zip([0, *edge], [*edge, len(at)]):
+                if a < b:
+                    best = max(best, alignment(self.coded[item], codes[at[a] : at[b - 1] + span]))
+            if best >= least:
+                yield item, best
+
+
+def searched(docs: DataFrame, items: list[tuple], n: int, least: float) -> DataFrame:
+    """Scores of the documents with one block of items; every document is judged alone."""
+    shared = docs.sparkSession.sparkContext.broadcast(Items(items, n))  # one block's worth
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, packed = shared.value
-        seen = np.unpackbits(packed).astype(bool)
-        for batch in c.sliced(batches, 1):
-            owners, spans, held = [], [], []
+        own = shared.value
+        seen = np.unpackbits(own.filter).astype(bool)
+        for batch in batches:
+            owners, names, scores = [], [], []
             for i, text in enumerate(batch.column(1)):
-                codes = word_codes(text.as_py())
-                place, gram = [], []
-                for size in sizes:
-                    h = c.window_hashes(codes, size)
-                    at = np.flatnonzero(seen[(h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
-                    at = at[known[np.minimum(np.searchsorted(known, h[at]), len(known) - 1)] == h[at]]
-                    place.append(at)
-                    gram.append(h[at])
-                place, gram = np.concatenate(place or [[]]).astype(np.int64), np.concatenate(gram or [np.empty(0, np.uint64)])
-                if not len(place):
-                    continue
-                by = np.argsort(place, kind="stable")
-                place, gram = place[by], gram[by]
-                edge = np.flatnonzero(np.diff(place) > 2 * reach) + 1
-                for a, b in zip([0, *edge], [*edge, len(place)]):
+                for item, score in own.leaked(word_codes(text.as_py()), seen, least):
                     owners.append(i)
-                    spans.append(codes[max(0, place[a] - reach) : place[b - 1] + reach + n].tobytes())
-                    held.append(np.unique(gram[a:b]).view(np.int64).tolist())
+                    names.append(own.ids[item])
+                    scores.append(score)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(owners, pa.int64())), pa.array(spans, pa.binary()), pa.array(held, pa.list_(pa.int64()))],
-                ["doc_id", "passage", "grams"],
+                [batch.column(0).take(pa.array(owners, pa.int64())), pa.array(names, pa.int64()), pa.array(scores, pa.float64())],
+                ["doc_id", "item_id", "score"],
             )
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        find, "doc_id long, passage binary, grams array<long>"
+        find, "doc_id long, item_id long, score double"
     )
 
 
 def matches(docs: DataFrame, items: DataFrame, n: int = N, least: float = LEAST) -> DataFrame:
-    """doc_id, item_id and score of every leaked item: the best alignment of a passage of the
-    document reaches ``least`` of an exact copy's score.
+    """doc_id, item_id and score of every leaked item: it shares an n-gram of ``n`` words with the
+    document, and the best alignment with a stretch of it reaches ``least`` of an exact copy's score.
 
     Null or wordless texts on either side match nothing; equal items are reported each; rows that
     repeat an id count as one document with its best score; a null doc_id or item_id is an id like
@@ -155,13 +208,12 @@ def matches(docs: DataFrame, items: DataFrame, n: int = N, least: float = LEAST)
     blocks = max(1, math.ceil(size / BLOCK_BYTES))
     named = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     named = named.where("text IS NOT NULL")
-    total = docs.count()
     parts = []
     for block in range(blocks):
         own = [tuple(r) for r in named.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).collect()]
         own.sort(key=lambda r: (r[0] is None, r[0] or 0, r[1]))
         if own:
-            parts.append(aligned(c.stored(passages(docs, own, n), "passages"), own, n, least, total))
+            parts.append(searched(docs, own, n, least))
     if not parts:
         return spark.createDataFrame([], "doc_id long, item_id long, score double")
     found = parts[0]
@@ -170,47 +222,6 @@ def matches(docs: DataFrame, items: DataFrame, n: int = N, least: float = LEAST)
     return found.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"))
 
 
-def aligned(found: DataFrame, items: list[tuple], n: int, least: float, total: int) -> DataFrame:
-    """Scores of the passages with the items they share a rare seed with."""
-    spark = found.sparkSession
-    rows = [
-        (i, int(g)) for i, (_, text) in enumerate(items) for g in np.unique(grams(word_codes(text), n)).view(np.int64).tolist()
-    ]
-    owned = spark.createDataFrame(rows, "item int, gram long")
-    held = found.select("doc_id", F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("item").orderBy("n", "gram"))
-    share = rank / F.count("*").over(Window.partitionBy("item"))
-    # every gram of an item, and so every window, is bounded by the item's length
-    seeds = (
-        owned.join(held, "gram").select("item", "gram", "n", share.alias("share"), rank.alias("rank"))
-        .where((F.col("n") <= max(ALWAYS, RARE * total)) | (F.col("share") <= 0.5) | (F.col("rank") == 1)).select("item", "gram")
-    )
-    by_gram = seeds.groupBy("gram").agg(F.sort_array(F.collect_list("item")).alias("items"))
-    own = {int(r["gram"]): r["items"] for r in by_gram.collect()}  # at most one block's n-grams
-    coded = [word_codes(text) for _, text in items]
-    shared = spark.sparkContext.broadcast((own, coded, [i for i, _ in items]))
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, coded, ids = shared.value
-        for batch in batches:
-            owners, names, scores = [], [], []
-            for i, held in enumerate(batch.column(2).to_pylist()):
-                passage = None
-                for item in sorted({x for g in held for x in own.get(g, ())}):
-                    if passage is None:
-                        passage = np.frombuffer(batch.column(1)[i].as_py(), np.uint64)
-                    if (value := alignment(coded[item], passage)) >= least:
-                        owners.append(i)
-                        names.append(ids[item])
-                        scores.append(value)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(owners, pa.int64())), pa.array(names, pa.int64()), pa.array(scores, pa.float64())],
-                ["doc_id", "item_id", "score"],
-            )
-
-    return found.mapInArrow(score, "doc_id long, item_id long, score double")
-
-
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``docs`` without the rows that hold a leaked item."""
     leaked = matches(docs, items).select("doc_id").distinct()

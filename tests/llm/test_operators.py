@@ -362,6 +362,52 @@ def test_leaks_awkward(spark, awkward, docs_of):
     assert decontamination.clean(awkward, items).count() == awkward.count()
 
 
+def brute_leaks(docs, items, n, least):
+    """Smith-Waterman in plain Python over the whole text of every pair that shares an n-gram."""
+    words = {k: decontamination.WORD.findall((x or "").lower()) for k, x in [*docs.items(), *items.items()]}
+    grams = {k: {tuple(w[i : i + n]) for i in range(max(0, len(w) - n + 1))} or {tuple(w)} for k, w in words.items()}
+    out = {}
+    for d in docs:
+        for i in items:
+            if not grams[d] & grams[i]:
+                continue
+            row, best = [0] * (len(words[d]) + 1), 0
+            for x in words[i]:
+                new = [0]
+                for j, y in enumerate(words[d]):
+                    new.append(max(0, row[j] + (2 if x == y else -1), row[j + 1] - 1, new[j] - 1))
+                row, best = new, max(best, *new)
+            if best / (2 * len(words[i])) >= least:
+                out[d, i] = best / (2 * len(words[i]))
+    return out
+
+
+def test_leaks_of_an_item_that_leaked_often(docs_of, spark):
+    item = [f"w{i}" for i in range(20)]
+    edited = [x if i not in (5, 12) else "other" for i, x in enumerate(item)]
+    loose = [x for i, w in enumerate(item) for x in ([w, "added"] if i % 4 == 3 else [w])]
+    half = [*item[:11], *("z%d" % i for i in range(30)), *item[4:8]]
+    texts = {i: " ".join(item) for i in range(300)}  # over 1 % of the rows, and over 100
+    texts |= {300: " ".join(edited), 301: "a b c " * 30 + " ".join(loose) + " d e" * 30, 302: " ".join(half), 303: " ".join(item[:6])}
+    texts |= {400 + i: f"filler text number {i} w1 w2 w3 w4" for i in range(1000)}
+    items = {-1: " ".join(item)}
+    rows = spark.createDataFrame([(-1, items[-1])], "item_id long, text string")
+    found = {(r.doc_id, r.item_id): r.score for r in decontamination.matches(docs_of(list(texts.items())), rows).collect()}
+    assert found == brute_leaks(texts, items, decontamination.N, decontamination.LEAST)
+    assert found[300, -1] == 0.85 and (302, -1) in found and (303, -1) not in found
+
+
+def test_leaks_equal_brute_force():
+    rng = np.random.default_rng(5)
+    items = {-1 - i: " ".join(map(str, rng.integers(0, 12, rng.integers(1, 25)))) for i in range(12)}
+    texts = {i: " ".join(map(str, rng.integers(0, 14, rng.integers(0, 120)))) for i in range(60)}
+    for least in (0.3, 0.5, 0.8):
+        own = decontamination.Items(list(items.items()), 3)
+        seen = np.unpackbits(own.filter).astype(bool)
+        found = {(d, own.ids[i]): s for d, t in texts.items() for i, s in own.leaked(decontamination.word_codes(t), seen, least)}
+        assert found and found == brute_leaks(texts, items, 3, least)
+
+
 # pipeline
 
 
