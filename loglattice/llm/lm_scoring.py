@@ -290,7 +290,7 @@ class Block:
 
 def counted(packed: DataFrame, shards: int) -> DataFrame:
     """The unigram counts: per block and shard the corpus count of each token it asked for, and
-    per shard (block null) the totals and the counts that may be hot."""
+    per shard (block null) the number of tokens and of kinds, and the counts that may be hot."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -319,21 +319,51 @@ def counted(packed: DataFrame, shards: int) -> DataFrame:
             out.append(c.squeezed([sums[where[at : at + len(own)]]]))
             at += len(own)
         words = tokens != START
-        top = np.argsort(-sums, kind="stable")[: HOT_SHARE * shards]  # no more can be hot
-        summary = c.squeezed([np.array([sums[words].sum(), (sums[words] > 0).sum()], np.int64), tokens[top], sums[top]])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([*shard, None], pa.int32()), pa.array([*block, None], pa.int64()), pa.array([*out, summary], pa.binary())],
-            ["shard", "block", "load"],
-        )
+        may = is_hot(sums, int(sums[words].sum()), shards)  # all shards together have more tokens, never fewer
+        none = [None] * len(rows)
+        columns = [
+            pa.array([*shard, None], pa.int32()), pa.array([*block, None], pa.int64()),
+            pa.array([*out, c.squeezed([tokens[may], sums[may]])], pa.binary()),
+            pa.array([*none, sums[words].sum()], pa.int64()), pa.array([*none, (sums[words] > 0).sum()], pa.int64()),
+        ]
+        yield pa.RecordBatch.from_arrays(columns, ["shard", "block", "load", "n_tokens", "n_kinds"])
 
-    kinds = "shard int, block long, load binary"
-    return packed.mapInArrow(ask, kinds).repartition(shards, "shard").mapInArrow(total, kinds)
+    asked = packed.mapInArrow(ask, "shard int, block long, load binary").repartition(shards, "shard")
+    return asked.mapInArrow(total, "shard int, block long, load binary, n_tokens long, n_kinds long")
+
+
+def is_hot(counts: np.ndarray, n_tokens: int, shards: int) -> np.ndarray:
+    """Which counts are more than 1 / (``HOT_SHARE`` * ``shards``) of all tokens."""
+    return counts * HOT_SHARE * shards > max(1, n_tokens)
+
+
+def frequent(unigrams: DataFrame, n_tokens: int, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens, counts and numbers of pieces of the contexts that are dealt by successor.
+
+    The shards' counts are filtered where they lie, by the total of all; what comes back are fewer
+    than ``HOT_SHARE`` * ``shards`` tokens in all, and the start."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for load in batch.column(0).to_pylist():
+                tokens, counts = c.unsqueezed(load)
+                if (hot := is_hot(counts, n_tokens, shards)).any():
+                    load = c.squeezed([tokens[hot], counts[hot]])
+                    yield pa.RecordBatch.from_arrays([pa.array([load], pa.binary())], ["load"])
+
+    found = unigrams.where("block IS NULL").select("load").mapInArrow(keep, "load binary").collect()
+    loads = [c.unsqueezed(r["load"]) for r in found]
+    tokens = np.concatenate([x[0] for x in loads] or [np.empty(0, np.uint64)])
+    totals = np.concatenate([x[1] for x in loads] or [np.empty(0, np.int64)])
+    by = np.argsort(tokens)
+    pieces = np.minimum(2 * shards, totals[by] * HOT_SHARE * shards // max(1, n_tokens) + 1)
+    return tokens[by], totals[by], pieces
 
 
 def answered(packed: DataFrame, shards: int, hot: tuple[np.ndarray, np.ndarray, np.ndarray]) -> DataFrame:
     """Per block and shard: for each context the successors it has there in training, and for
     each bigram its code; with the shard's values of the codes."""
-    shared = packed.sparkSession.sparkContext.broadcast(hot)  # at most HOT_SHARE per shard
+    shared = packed.sparkSession.sparkContext.broadcast(hot)  # HOT_SHARE per shard on average, at most
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -411,26 +441,16 @@ def scored(docs: DataFrame, training: Column) -> DataFrame:
     shards = c.shards_for(docs)
     packed = c.stored(blocks(docs, F.coalesce(training, F.lit(False))), "blocks")
     unigrams = c.stored(counted(packed, shards), "unigrams")
-    sums, tokens, totals = np.zeros(2, np.int64), [], []
-    for row in unigrams.where("block IS NULL").select("load").collect():  # one small row per shard
-        own, names, counts = c.unsqueezed(row["load"])
-        sums = sums + own
-        tokens.append(names)
-        totals.append(counts)
-    tokens = np.concatenate(tokens or [np.empty(0, np.uint64)])
-    totals = np.concatenate(totals or [np.empty(0, np.int64)])
-    hot = totals * HOT_SHARE * shards > max(1, int(sums[0]))
-    by = np.argsort(tokens[hot])
-    pieces = np.minimum(2 * shards, totals[hot][by] * HOT_SHARE * shards // max(1, int(sums[0])) + 1)
-    frequent = tokens[hot][by], totals[hot][by], pieces
-    bigrams = answered(packed, shards, frequent)
+    sums = unigrams.agg(F.sum("n_tokens"), F.sum("n_kinds")).first()
+    n_tokens, n_kinds = sums[0] or 0, sums[1] or 0
+    hot = frequent(unigrams, n_tokens, shards)
+    bigrams = answered(packed, shards, hot)
 
     def by_block(df: DataFrame, name: str) -> DataFrame:
         pair = F.sort_array(F.collect_list(F.struct("shard", "load")))  # one entry per shard at most
         return df.where("block IS NOT NULL").groupBy("block").agg(pair.alias(name))
 
-    shared = packed.sparkSession.sparkContext.broadcast(frequent)
-    n_tokens, n_kinds = int(sums[0]), int(sums[1])
+    shared = packed.sparkSession.sparkContext.broadcast(hot)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

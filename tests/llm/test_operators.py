@@ -145,6 +145,24 @@ def test_scores_awkward(awkward):
     assert lm_scoring.scored(awkward, F.lit(None).cast("boolean")).count() == awkward.count()
 
 
+def test_scores_send_only_frequent_tokens_to_the_driver(docs_of, monkeypatch):
+    rng, each = np.random.default_rng(3), 500
+    texts = [" ".join(f"rare{i}x{j} often{j % 3}" for j in range(each)) for i in range(20)]  # 10,000 rare words
+    docs, sent, kind = docs_of(list(enumerate(texts))), [], type(docs_of([(1, "")]))
+
+    def collect(self, real=kind.collect):
+        rows = real(self)
+        sent.extend(len(c.unsqueezed(x)[-1]) for r in rows for x in r if isinstance(x, (bytes, bytearray)))
+        return rows
+
+    monkeypatch.setattr(kind, "collect", collect)
+    found = lm_scoring.scored(docs, F.lit(True))
+    monkeypatch.undo()
+    assert 3 <= sum(sent) <= 4  # the three frequent words, and the start if it is
+    rows = tuples(found.where(F.col("doc_id").isin(rng.integers(0, 20, 2).tolist())))
+    assert rows and all(r[1:4] == (2 * each + 1, 2 * each + 1, 20 * (2 * each + 1)) for r in rows)
+
+
 # 4 packing
 
 
