@@ -24,6 +24,7 @@ from loglattice.llm.registry import query
 SHARE = 0.1  # of the best figure on the page that a path needs
 DAMPING = 0.6  # what a container's figure counts for the paths inside it, per level
 LINKED = 0.5  # a path with a larger share of its text in links is a list of links
+MARKED = 0.25  # of the page's text: an element that carries more is not dropped for a word in its class, id or role
 PUNCTUATION = re.compile(r"[.,;:!?…。、，！？；：]")
 SPACE = re.compile(r"\s+")
 
@@ -38,6 +39,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style noscript template iframe textarea title".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 MAIN = frozenset("article main".split())
+NEVER_MARKED = MAIN | {"html", "body"}
 # fixed values: words in class, id and role that mark what is not the article
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertisements sponsor sponsored promo promotion banner sidebar side menu nav navbar"
@@ -67,25 +69,31 @@ def marks(attributes: str) -> tuple[str, set[str]]:
 def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
     """Path, text and number of linked characters of every visible block that nothing marks as apart, in page order.
 
+    A word in class, id or role sets an element apart only if it holds no article or main, is none
+    of them (nor html or body), and carries less than ``MARKED`` of the page's text; so does a form,
+    which may enclose the page.
+
     Inline elements neither break a block nor lengthen a path; omitted end tags are supplied for
     the elements that may omit them; an end tag without its start is passed over.
     """
     stack: list[tuple[str, str, bool]] = []  # name, label in the path, whether the text is apart
-    found: list[tuple[tuple[str, ...], list[str], int]] = []
+    marked: list[int] = []  # per open element its number among the marked ones, or -1
+    holds_main: list[bool] = []  # per marked element
+    found: list[tuple[tuple[str, ...], list[str], int, list[int]]] = []
     parts: list[str] = []
     at, linked, in_link = 0, 0, False
 
     def flush() -> None:
         nonlocal linked
         if parts and not (stack and stack[-1][2]):
-            found.append((tuple(label for _, label, _ in stack), parts.copy(), linked))
+            found.append((tuple(label for _, label, _ in stack), parts.copy(), linked, [m for m in marked if m >= 0]))
         parts.clear()
         linked = 0
 
     def close(names: set[str], scope: set[str]) -> None:
         for i in range(len(stack) - 1, -1, -1):
             if stack[i][0] in names:
-                del stack[i:]
+                del stack[i:], marked[i:]
                 return
             if stack[i][0] in scope:
                 return
@@ -120,8 +128,9 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             parts.append(" ")
             continue
         label, words = ("", set()) if not m[3] else marks(m[3])
-        apart = name in UNSEEN or name in ASIDE or bool(words & MARKS)
-        if name in INLINE and not apart:
+        apart = name in UNSEEN or (name in ASIDE and name != "form")
+        mark = name == "form" or (bool(words & MARKS) and name not in NEVER_MARKED)
+        if name in INLINE and not apart and not mark:
             continue
         flush()
         if name in VOID:
@@ -130,23 +139,35 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             close({"p"}, {"table", "td", "th", "button", "object"})  # a paragraph holds no blocks
         if name in CLOSES:
             close(CLOSES[name], SCOPES.get(name, set()))
-        if name == "header" or words & HEADER_MARKS:
-            apart = apart or not any(n in MAIN for n, _, _ in stack)
+        if (name == "header" or words & HEADER_MARKS) and not any(n in MAIN for n, _, _ in stack):
+            apart, mark = apart or name == "header", mark or name not in NEVER_MARKED
+        if name in MAIN:
+            for number in marked:
+                if number >= 0:
+                    holds_main[number] = True
+        marked.append(len(holds_main) if mark else -1)
+        if mark:
+            holds_main.append(False)
         stack.append((name, name + label, apart or bool(stack and stack[-1][2])))
         if name in INLINE:  # an inline element that is apart ends with its own tag
             stack[-1] = (name, name + label, True)
             end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
             at = end.end() if end else at
             stack.pop()
+            marked.pop()
     if at < len(page):
         parts.append(page[at:])
     flush()
-    out = []
-    for path, pieces, in_links in found:
+    read, sizes = [], [0] * len(holds_main)
+    for path, pieces, in_links, marks_ in found:
         text = SPACE.sub(" ", html.unescape("".join(pieces))).strip()
         if text:
-            out.append((path, text, min(in_links, len(text))))
-    return out
+            read.append((path, text, min(in_links, len(text)), marks_))
+            for number in marks_:
+                sizes[number] += len(text)
+    least = MARKED * sum(len(text) for _, text, _, _ in read)
+    kept = [holds or size >= least for holds, size in zip(holds_main, sizes)]
+    return [(path, text, in_links) for path, text, in_links, marks_ in read if all(kept[m] for m in marks_)]
 
 
 def content_paths(found: list[tuple[tuple[str, ...], str, int]]) -> set[tuple[str, ...]]:

@@ -77,6 +77,26 @@ def test_extraction_rows(spark):
     assert html_extraction.extracted(pages.limit(0)).count() == 0
 
 
+LONG = "".join(f"<p>Sentence {i} of the article, with a second part; and an end. {'More words follow. ' * 6}</p>" for i in range(8))
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<body class="has-sidebar">{}</body>',
+        '<body class="no-sidebar"><div class="ad">Buy now.</div>{}</body>',
+        '<body><article class="post comments comment-open">{}</article></body>',
+        '<body><div id="page" class="site right-sidebar">{}</div></body>',
+        '<body><div class="sidebar-layout"><article>{}</article></div><p>Imprint</p></body>',
+        '<body><main class="search social">{}</main></body>',
+        '<body><form id="aspnetForm"><div class="has-header">{}</div></form></body>',
+    ],
+)
+def test_words_in_class_drop_no_page(page):
+    found = html_extraction.main_text(page.format(LONG + '<div class="related">See also this.</div>'))
+    assert "Sentence 0 " in found and "Sentence 7 " in found and "See also" not in found and "Buy" not in found
+
+
 # 2 url rules
 
 
