@@ -3,7 +3,8 @@
 Every visible text block belongs to a path of tags from the root to its leaf.  Per path the text
 length, its linked part, the punctuation and the number of blocks are added up; the two ratios are smoothed over
 the containers that a path lies in, fused into one figure, and paths above a share of the page's
-best figure are content.
+best figure are content.  What lies in the container of a heavy path is content at any depth, and a
+heading is if what it opens is.
 """
 
 from __future__ import annotations
@@ -38,6 +39,10 @@ INLINE = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe textarea title".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+# what stands in running text; under body it belongs to the paragraphs that stand there too
+FLOW = HEADINGS | frozenset(
+    "p ul ol dl li dt dd table caption thead tbody tfoot tr td th colgroup blockquote pre figure figcaption address details summary hgroup".split()
+)
 MAIN = frozenset("article main".split())
 NEVER_MARKED = MAIN | {"html", "body"}
 # fixed values: words in class, id and role that mark what is not the article
@@ -171,7 +176,10 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
 
 
 def content_paths(found: list[tuple[tuple[str, ...], str, int]]) -> set[tuple[str, ...]]:
-    """The paths whose fused, smoothed ratio reaches ``SHARE`` of the best."""
+    """The paths whose fused, smoothed ratio reaches ``SHARE`` of the best, and those that lie in a
+    chosen container, however deep: the article or main around a path that reaches it by its own
+    figure, else the element that holds it.  Right under body only running text is taken along, as
+    other elements there are containers of their own.  Lists of links are never taken."""
     length: dict[tuple[str, ...], int] = {}
     stops: dict[tuple[str, ...], int] = {}
     number: dict[tuple[str, ...], int] = {}
@@ -204,14 +212,48 @@ def content_paths(found: list[tuple[tuple[str, ...], str, int]]) -> set[tuple[st
         own[path] = own.get(path, 0) + len(text)
     figures = {path: smooth(path) for path, size in own.items() if links[path] <= LINKED * size}
     best = max(figures.values(), default=0.0)
-    return {path for path, value in figures.items() if value >= SHARE * best}
+    chosen = {container(path) for path in figures if fused(path) >= SHARE * best}
+    return {path for path, value in figures.items() if value >= SHARE * best or lies_in(path, chosen)}
+
+
+def tag(label: str) -> str:
+    return label.split(".")[0]
+
+
+def container(path: tuple[str, ...]) -> tuple[str, ...]:
+    """The innermost article or main that ``path`` lies in, else the innermost element that is not
+    itself a piece of running text."""
+    for depth in range(len(path), 0, -1):
+        if tag(path[depth - 1]) in MAIN:
+            return path[:depth]
+    depth = len(path)
+    while depth and tag(path[depth - 1]) in FLOW:
+        depth -= 1
+    return path[:depth]
+
+
+def lies_in(path: tuple[str, ...], chosen: set[tuple[str, ...]]) -> bool:
+    """Whether ``path`` lies in a chosen container; in body or above it, by running text alone."""
+    for depth in range(len(path) + 1):
+        if path[:depth] in chosen:
+            inner = depth and tag(path[depth - 1]) not in ("html", "body")
+            if inner or all(tag(label) in FLOW for label in path[depth:]):
+                return True
+    return False
 
 
 def main_text(page: str | None) -> str:
     """The article's blocks in page order, joined by an empty line; "" for a null or empty page."""
     found = blocks(page or "")
     kept = content_paths(found)
-    return "\n\n".join(text for path, text, _ in found if path in kept)
+    texts, opens = [], False  # from the end: whether the block after a heading is kept
+    for path, text, linked in reversed(found):
+        heading = any(tag(label) in HEADINGS for label in path)
+        if path in kept or (heading and opens and linked <= LINKED * len(text)):
+            texts.append(text)
+        if not heading or path in kept:
+            opens = path in kept
+    return "\n\n".join(reversed(texts))
 
 
 def extracted(pages: DataFrame) -> DataFrame:

@@ -97,6 +97,25 @@ def test_words_in_class_drop_no_page(page):
     assert "Sentence 0 " in found and "Sentence 7 " in found and "See also" not in found and "Buy" not in found
 
 
+CELLS = "".join(f"<tr><td>cell {i:03}</td><td>cell {i + 6:03}</td></tr>" for i in range(6))
+JUNK = '<nav>Home</nav><div class="x"><p>Tiny print.</p></div>'
+PARTS = [
+    (f"<article>{LONG}<div><table><tbody>{CELLS}</tbody></table></div></article>", ["cell 000", "cell 011"]),
+    (f"<article>{LONG}<div><div><ul><li>one</li><li>two</li></ul></div></div></article>", ["one", "two"]),
+    (f"<div><div>{LONG}<figure><div><figcaption>A caption</figcaption></div></figure></div></div>", ["A caption"]),
+    (f"<h1>Short title</h1>{LONG}<ul><li>one</li><li>two</li></ul>", ["Short title", "one", "two"]),
+    (f"<div><h2>Opened here</h2></div><div>{LONG}</div>", ["Opened here"]),
+    (f"<h1>Short title</h1><table><tr><td>{CELLS}</table><div>{LONG}</div>", []),
+]
+
+
+@pytest.mark.parametrize("body, parts", PARTS)
+def test_short_parts_of_the_article_stay(body, parts):
+    found = html_extraction.main_text(f"<html><body>{JUNK}{body}{JUNK}</body></html>").split("\n\n")
+    assert not set(parts) - set(found) and sum("Sentence" in x for x in found) == 8
+    assert "Home" not in found and "Tiny print." not in found
+
+
 # 2 url rules
 
 
