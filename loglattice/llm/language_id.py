@@ -1,7 +1,7 @@
 """Language identification in two steps: the family first, then the language within it.
 
 Families are groups of languages.  A linear model picks the family; inside it one linear support
-vector machine per language, trained against the family's other languages, has the last word.
+vector machine per pair of languages votes, and the most votes win, then the larger margins.
 Features are hashed character n-grams of the whole text.
 """
 
@@ -86,7 +86,7 @@ class Model:
     families: list[str]
     family_weights: np.ndarray  # one row per family
     languages: dict[str, list[str]]
-    weights: dict[str, np.ndarray]  # per family, one row per language
+    weights: dict[str, np.ndarray]  # per family, one row per pair of languages, the first against the second
 
     @staticmethod
     def pick(names: list[str], weights: np.ndarray, x: np.ndarray) -> tuple[str, float]:
@@ -97,13 +97,25 @@ class Model:
         odds = np.exp(2 * np.clip(margins - margins[best], -50, 0))
         return names[best], float(odds[best] / odds.sum())
 
+    @staticmethod
+    def vote(names: list[str], weights: np.ndarray, x: np.ndarray) -> tuple[str, float]:
+        if len(names) == 1:
+            return names[0], 1.0
+        first, second = np.triu_indices(len(names), 1)
+        margins = weights @ x
+        votes = np.bincount(np.where(margins >= 0, first, second), minlength=len(names))
+        sums = np.bincount(first, margins, len(names)) - np.bincount(second, margins, len(names))
+        best = int(np.lexsort((np.arange(len(names)), -sums, -votes))[0])
+        odds = np.exp(2 * np.clip((sums - sums.max()) / (len(names) - 1), -50, 0))
+        return names[best], float(odds[best] / odds.sum())
+
     def predict(self, text: str | None) -> tuple[str, float]:
         """Language and a score in [0, 1]; ``und`` and 0 if there is no letter (or no model)."""
         if not text or not self.families or not LETTER.search(text):
             return UNKNOWN, 0.0
         x = np.append(features(text).astype(np.float64), 1.0)
         family, first = self.pick(self.families, self.family_weights, x)
-        lang, second = self.pick(self.languages[family], self.weights[family], x)
+        lang, second = self.vote(self.languages[family], self.weights[family], x)
         return lang, first * second
 
 
@@ -120,10 +132,14 @@ def fit(texts: list[str], langs: list[str]) -> Model:
             return np.zeros((len(names), BUCKETS + 1))
         return np.array([linear_svm(x, own == name) for name in names])
 
-    return Model(
-        families, machines(x, family, families), members,
-        {f: machines(x[family == f], lang[family == f], members[f]) for f in families},
-    )
+    def pairs(names: list[str]) -> np.ndarray:
+        own = []
+        for i, j in zip(*np.triu_indices(len(names), 1)):
+            both = (lang == names[i]) | (lang == names[j])
+            own.append(linear_svm(x[both], lang[both] == names[i]))
+        return np.array(own).reshape(-1, BUCKETS + 1)
+
+    return Model(families, machines(x, family, families), members, {f: pairs(members[f]) for f in families})
 
 
 def sample(labelled: DataFrame) -> list[tuple[str, str]]:

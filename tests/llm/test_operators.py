@@ -337,6 +337,21 @@ def test_language_awkward(spark, docs_of):
     assert language_id.identified(docs.limit(0), model).count() == 0 and language_id.trained(docs.limit(0)).families == []
 
 
+def test_language_pairs_in_a_family():
+    rng = np.random.default_rng(2)
+    letters = {"da": "abcdefg", "no": "abcdehi", "sv": "abcjkeh", "nl": "ajklmno"}
+    made = {v: ["".join(rng.choice(list(x + " "), 80)) for _ in range(30)] for v, x in letters.items()}
+
+    def fitted(*names):
+        return language_id.fit([t for v in names for t in made[v]], [v for v in names for _ in made[v]])
+
+    model = fitted("da", "nl", "no", "sv")
+    assert len(model.weights["germanic"]) == 6  # a machine per pair, which no third language moves
+    assert np.array_equal(model.weights["germanic"][1], fitted("da", "no").weights["germanic"][0])
+    found = [(v, *model.predict(t)) for v in made for t in made[v]]
+    assert sum(v == p for v, p, _ in found) >= 0.95 * len(found) and all(0 <= s <= 1 for _, _, s in found)
+
+
 # 8 copies
 
 
