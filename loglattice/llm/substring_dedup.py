@@ -1,10 +1,11 @@
-"""Substring dedup by relative Lempel-Ziv parsing against every earlier document.
+"""Substring dedup by a join of word windows against every earlier document.
 
 A reference block indexes all windows of ``n`` words whose hash falls to it, each with the first
 place it starts at: smallest document id, then position.  Every document asks the blocks for its
-windows, and its answers are parsed greedily into factors: a factor runs on while the next window
-continues the same place of the same earlier document; where it ends, the next window is tried at
-the factor's boundary.  Every factor has at least ``n`` words and is a duplicate span.
+windows, and its answers are joined into factors: a factor runs on while the next window's first
+place continues that of the one before.  This stands in for a relative Lempel-Ziv parse: no longest
+match is sought, so a factor ends where a window has an earlier first place elsewhere.  Every factor
+has at least ``n`` words and is a duplicate span; together they cover all duplicate windows.
 
 Windows travel as packed arrays, once per batch of documents: within a batch the copies of a
 window are settled on the spot, so a passage that all documents share reaches its block once per
@@ -168,7 +169,7 @@ def answered(sent: DataFrame, buckets: int) -> DataFrame:
 
 
 def factors(at: np.ndarray, source: np.ndarray, there: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Greedy factors of one document's hits: first window, number of windows, source, place in it."""
+    """Runs of one document's hits: first window, number of windows, source, place in it."""
     by = np.argsort(at, kind="stable")
     at, source, there = at[by], source[by], there[by]
     starts = np.concatenate([[True], (np.diff(at) != 1) | (np.diff(source) != 0) | (np.diff(there) != 1)])
