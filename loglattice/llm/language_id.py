@@ -143,21 +143,21 @@ def fit(texts: list[str], langs: list[str]) -> Model:
 
 
 def sample(labelled: DataFrame) -> list[tuple[str, str]]:
-    """``SAMPLE_EACH`` texts of every language, those whose hash is smallest: bounded, and the
-    same however the rows lie."""
+    """``SAMPLE_EACH`` different texts of every language, those whose hash is smallest: bounded, and
+    the same however the rows lie.  Copies count as one text."""
     has_letters = F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")
     found = labelled.where(has_letters).select(
         "lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"), F.xxhash64("text").alias("_h")
     )
     # (the whole text is hashed; only what the fit reads of it is shortened)
-    rows = found.groupBy("lang").agg(F.count("*").alias("n")).collect()  # one row per language
+    rows = found.select("lang", "_h").distinct().groupBy("lang").agg(F.count("*").alias("n")).collect()  # one row per language
     out: list[tuple[str, str]] = []
     for row in sorted(rows):  # one small query per language; the hash bound keeps it near the sample
         share = min(1.0, 3.0 * SAMPLE_EACH / row["n"]) if row["n"] > SAMPLE_EACH else 1.0
         own = found.where(F.col("lang") == row["lang"])
         near = own.where(F.col("_h") <= int(-(2**63) + share * (2**64 - 1)) if share < 1 else F.lit(True))
-        got = near.orderBy("_h", "text").limit(SAMPLE_EACH).collect()
-        out += [(r["text"], r["lang"]) for r in got]
+        got = near.groupBy("_h").agg(F.min("text").alias("text")).orderBy("_h").limit(SAMPLE_EACH).collect()
+        out += [(r["text"], row["lang"]) for r in got]
     return out
 
 

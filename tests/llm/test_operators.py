@@ -352,6 +352,13 @@ def test_language_pairs_in_a_family():
     assert sum(v == p for v, p, _ in found) >= 0.95 * len(found) and all(0 <= s <= 1 for _, _, s in found)
 
 
+def test_language_sample_has_no_copies(spark):
+    rows = [("word %d of this" % i, "en") for i in range(600)] + [(x, "en") for x in ["often copied", "copied too"] for _ in range(4000)]
+    rows += [("ein Text %d" % i, "de") for i in range(30)]
+    found = language_id.sample(spark.createDataFrame(rows, "text string, lang string"))
+    assert len(set(found)) == len(found) and collections.Counter(v for _, v in found) == {"en": language_id.SAMPLE_EACH, "de": 30}
+
+
 # 8 copies
 
 
