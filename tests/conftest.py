@@ -23,8 +23,3 @@ def spark(tmp_path_factory):
 @pytest.fixture(scope="session")
 def folder():
     return "/root/testdata/sf0.001"
-
-
-def values(df, *columns):
-    """Sorted tuples of the given columns."""
-    return sorted(tuple(r) for r in df.select(*columns).collect())

@@ -1,7 +1,7 @@
 from datetime import datetime
 
 import pytest
-from conftest import values
+from helpers import values
 from pyspark.sql import functions as F
 
 from loglattice.functions import predicates as p

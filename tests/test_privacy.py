@@ -1,7 +1,7 @@
 import json
 
 import pytest
-from conftest import values
+from helpers import values
 from pyspark.sql import functions as F
 
 from loglattice.functions import identifiers as ids

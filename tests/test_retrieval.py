@@ -3,7 +3,7 @@ from datetime import datetime, timedelta
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import values
+from helpers import values
 from pyspark.sql import functions as F
 
 from loglattice.functions import scoring
