@@ -16,7 +16,7 @@ SQL: dict[str, str] = {}
 MODULES = (
     "html_extraction", "url_filters", "lm_scoring", "packing", "ngram_jaccard_join",
     "substring_dedup", "language_id", "exact_dedup", "sharding", "decontamination",
-    "chat_formatting", "embedding_whitening",
+    "chat_formatting", "phrase_mining", "embedding_whitening",
 )
 
 
