@@ -169,6 +169,17 @@ def _rows(out: list[tuple], kinds: list[tuple[str, pa.DataType]]) -> pa.RecordBa
 _SENT = [("shard", pa.int64()), ("to", pa.int32()), ("load", pa.binary())]
 
 
+def _planes(numbers: np.ndarray) -> np.ndarray:
+    """Numbers below 2**32 as four byte planes.  Ids are given by falling frequency, so the upper
+    planes are nearly empty and each compresses by its own statistics."""
+    return numbers.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.ravel()
+
+
+def _numbers(planes: np.ndarray) -> np.ndarray:
+    """The inverse of ``_planes``."""
+    return np.ascontiguousarray(planes.reshape(4, -1).T).view(np.uint32).ravel()
+
+
 def _dealt(h: np.ndarray, shards: int) -> tuple[np.ndarray, list[tuple[int, slice]]]:
     """The order that puts entries of one counting task together, and its slices."""
     to = c.shard_of(h, shards)
@@ -177,37 +188,42 @@ def _dealt(h: np.ndarray, shards: int) -> tuple[np.ndarray, list[tuple[int, slic
 
 
 def words_sent(docs: DataFrame, shards: int) -> DataFrame:
-    """Round one: each shard's text (words numbered in the order in which they are sent), its
-    distinct words with their counts, and its word count per language."""
+    """Round one: each shard's text (words numbered by falling count, with the task each is counted
+    by), its distinct words with their counts, and its word count per language."""
+
+    def of(batch: pa.RecordBatch, number: int) -> list[tuple]:
+        langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        lang, piece, index, distinct = tokens(langs, texts)
+        names = sorted(set(langs))
+        out = [(None, None, None, names[i], int(k)) for i, k in enumerate(np.bincount(lang, minlength=len(names)))]
+        size = max(len(distinct), 1)
+        pairs = pa.array(lang.astype(np.int64) * size + index).dictionary_encode()
+        pair, symbol = pairs.dictionary.to_numpy(), pairs.indices.to_numpy()
+        count = np.bincount(symbol, minlength=len(pair))
+        often = np.argsort(-count, kind="stable")  # numbered by falling count
+        number_of = np.empty(len(pair), np.int64)
+        number_of[often] = np.arange(len(pair))
+        pair, count = pair[often], count[often]
+        h = c.word_hashes(distinct.to_pylist(), len(distinct))[pair % size]
+        seed = np.array([xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) for x in names], np.uint64)
+        h = c.mixed(h ^ seed[pair // size])
+        last = np.append(np.diff(piece) != 0, True) if len(piece) else np.empty(0, bool)
+        out.append((number, OWN, c.squeezed([_planes(number_of[symbol]), np.packbits(last), _planes(c.shard_of(h, shards))]), None, None))
+        by, slices = _dealt(h, shards)
+        label = np.frombuffer("\n".join(f"{len(x)} {x}" for x in names).encode("utf-8", "surrogatepass"), np.uint8)
+        for to, part in slices:
+            chosen = pair[by[part]]
+            text = distinct.take(pa.array(chosen % size))
+            body = np.frombuffer(b"".join(text.to_pylist()), np.uint8)
+            arrays = [chosen // size, count[by[part]], pc.binary_length(text).to_numpy()]
+            out.append((number, to, c.squeezed([*map(_planes, arrays), body, label]), None, None))
+        return out
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [*_SENT, ("lang", pa.string()), ("n", pa.int64())]
         number = TaskContext.get().partitionId() << 32
         for batch in c.sliced(batches, 1):
-            langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            lang, piece, index, distinct = tokens(langs, texts)
-            names = sorted(set(langs))
-            out = [(None, None, None, names[i], int(k)) for i, k in enumerate(np.bincount(lang, minlength=len(names)))]
-            pairs = pa.array(lang.astype(np.int64) * len(distinct) + index).dictionary_encode()
-            pair, symbol = pairs.dictionary.to_numpy(), pairs.indices.to_numpy()
-            count = np.bincount(symbol, minlength=len(pair))
-            h = c.word_hashes(distinct.to_pylist(), len(distinct))[pair % max(len(distinct), 1)]
-            seed = np.array([xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) for x in names], np.uint64)
-            by, slices = _dealt(c.mixed(h ^ seed[pair // max(len(distinct), 1)]), shards)
-            renumbered = np.empty(len(by), np.int32)
-            renumbered[by] = np.arange(len(by))
-            last = np.append(np.diff(piece) != 0, True) if len(piece) else np.empty(0, bool)
-            own = c.squeezed([renumbered[symbol], np.packbits(last)])
-            out.append((number, OWN, own, None, None))
-            for to, part in slices:
-                chosen = pair[by[part]]
-                text = distinct.take(pa.array(chosen % len(distinct)))
-                size = pc.binary_length(text).to_numpy().astype(np.int32)
-                body = np.frombuffer(b"".join(text.to_pylist()), np.uint8)
-                label = "\n".join(f"{len(x)} {x}" for x in names).encode("utf-8", "surrogatepass")
-                arrays = [(chosen // len(distinct)).astype(np.int32), count[by[part]].astype(np.int32), size, body, np.frombuffer(label, np.uint8)]
-                out.append((number, to, c.squeezed(arrays), None, None))
-            yield _rows(out, kinds)
+            yield _rows(of(batch, number), kinds)
             number += 1
 
     base = docs.select(
@@ -242,17 +258,18 @@ def words_counted(sent: DataFrame, shards: int, least: int) -> DataFrame:
         loads = [c.unsqueezed(x.as_py()) for x in table.column("load")]
         names: dict[str, int] = {}
         lang, words = [], []
-        for label, _, size, body, text in loads:
+        for label, _, size, body, text in ([*map(_numbers, x[:3]), *x[3:]] for x in loads):
             known = np.array([names.setdefault(x, len(names)) for x in _labels(text.tobytes())], np.int64)
             lang.append(known[label])
-            ends = np.concatenate([[0], np.cumsum(size)])
+            ends = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
             raw = body.tobytes()
             words.append(pa.array([raw[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())], pa.binary()))
         coded = pa.concat_arrays(words).dictionary_encode()
         pairs = pa.array(coded.indices.to_numpy().astype(np.int64) * len(names) + np.concatenate(lang)).dictionary_encode()
         entry, pair = pairs.indices.to_numpy(), pairs.dictionary.to_numpy()
-        total = _totals(entry, np.concatenate([x[1] for x in loads]), len(pair))
+        total = _totals(entry, np.concatenate([_numbers(x[1]) for x in loads]), len(pair))
         often = np.flatnonzero(total >= least)
+        often = often[np.argsort(-total[often], kind="stable")]
         given = np.zeros(len(pair), np.int64)
         given[often] = (np.arange(len(often)) * shards + to) + 1
         if len(often) and given.max() >= 1 << 32:
@@ -260,9 +277,9 @@ def words_counted(sent: DataFrame, shards: int, least: int) -> DataFrame:
         named = list(names)
         out, at = [], 0
         for number, load in zip(table.column("shard").to_pylist(), loads):
-            here = given[entry[at : at + len(load[0])]].astype(np.uint32)
-            out.append((number, to, c.squeezed([here]), None, None, None, None))
-            at += len(load[0])
+            size = len(load[0]) // 4
+            out.append((number, to, c.squeezed([_planes(given[entry[at : at + size]])]), None, None, None, None))
+            at += size
         for i in often.tolist():
             word = coded.dictionary[int(pair[i]) // len(names)].as_py().decode("utf-8", "surrogatepass")
             out.append((None, None, None, named[int(pair[i]) % len(names)], word, int(given[i]), int(total[i])))
@@ -285,32 +302,41 @@ def _hash(words: np.ndarray) -> np.ndarray:
     return h
 
 
-def _entries(number: int, text: np.ndarray, lengths: range, shards: int, go_on: bool) -> list[tuple]:
-    """The rows of one shard in a round: the n-grams of the given lengths that its index finds,
-    packed per counting task, and (if another round follows) the text with its n-grams' numbers."""
+def _index(text: np.ndarray, depth: int) -> tuple[np.ndarray, WordIndex]:
+    """The words of a text, in order, and the index over their numbers."""
     names, local = np.unique(text, return_inverse=True)
-    index = WordIndex(local.astype(np.int64), lengths[-1])
-    grams, out, loads = index.single(), [], {}
+    return names, WordIndex(local.astype(np.int64), depth)
+
+
+def _entries(number: int, text: np.ndarray, lengths: range, shards: int) -> list[tuple]:
+    """The n-grams of the given lengths in one shard, packed per counting task."""
+    names, index = _index(text, lengths[-1])
+    grams, loads = index.single(), {}
     for size in range(2, lengths[-1] + 1):
         grams = index.extended(grams)
-        if size not in lengths:
-            continue
-        words = names[grams.words]
-        by, slices = _dealt(_hash(words), shards)
-        for to, part in slices:
-            columns = [np.ascontiguousarray(words[by[part], k]) for k in range(size)]
-            loads.setdefault(to, {})[size] = [*columns, grams.count[by[part]].astype(np.int32)]
-        if go_on:
-            sent_as = np.empty(len(by), np.int32)
-            sent_as[by] = np.arange(len(by))
-            entry = np.full(len(text), -1, np.int32)
-            which, place = index.places(grams)
-            entry[place] = sent_as[which]
-            out.append((number, OWN, c.squeezed([text, entry])))
-    empty = lambda size: [np.empty(0, np.uint32)] * size + [np.empty(0, np.int32)]
-    for to, by_size in sorted(loads.items()):
-        arrays = [x for size in lengths for x in by_size.get(size, empty(size))]
-        out.append((number, to, c.squeezed(arrays)))
+        if size in lengths:
+            words = names[grams.words]
+            by, slices = _dealt(_hash(words), shards)
+            for to, part in slices:
+                columns = words[by[part]]
+                columns[1:, 0] -= columns[:-1, 0].copy()  # in order, so differences are small
+                loads.setdefault(to, {})[size] = [*map(_planes, columns.T), _planes(grams.count[by[part]])]
+    none = lambda size: [np.empty(0, np.uint8)] * (size + 1)
+    packed = lambda by_size: c.squeezed([x for size in lengths for x in by_size.get(size, none(size))])
+    return [(number, to, packed(by_size)) for to, by_size in sorted(loads.items())]
+
+
+def _pair_at(text: np.ndarray, shards: int) -> np.ndarray:
+    """For every place of a text, where the pair that starts there stands among the pairs that
+    ``_entries`` sends; -1 for none."""
+    names, index = _index(text, 2)
+    grams = index.extended(index.single())
+    by, _ = _dealt(_hash(names[grams.words]), shards)
+    sent_as = np.empty(len(by), np.int64)
+    sent_as[by] = np.arange(len(by))
+    out = np.full(len(text), -1, np.int64)
+    which, place = index.places(grams)
+    out[place] = sent_as[which]
     return out
 
 
@@ -320,12 +346,16 @@ def pairs_sent(sent: DataFrame, counted: DataFrame, shards: int) -> DataFrame:
     def step(texts: pa.Table, answers: pa.Table) -> pa.Table:
         out = []
         for number, load in zip(texts.column("shard").to_pylist(), texts.column("load")):
-            symbol, last = c.unsqueezed(load.as_py())
-            ids = np.concatenate([x[0] for x in _answers(answers)] or [np.empty(0, np.uint32)])
-            words = ids[symbol]
+            symbol, last, to = c.unsqueezed(load.as_py())
+            told = np.concatenate([_numbers(x[0]) for x in _answers(answers)] or [np.empty(0, np.uint32)])
+            ids = np.empty_like(told)
+            ids[np.argsort(_numbers(to), kind="stable")] = told
+            words = ids[_numbers(symbol)]
             linked = (words > 0) & ~np.unpackbits(last)[: len(words)].astype(bool)
             linked[:-1] &= words[1:] > 0
-            out += _entries(number, joined(words, linked, 2), range(2, 3), shards, True)
+            text = joined(words, linked, 2)
+            out.append((number, OWN, c.squeezed([_planes(text)])))
+            out += _entries(number, text, range(2, 3), shards)
         return pa.Table.from_batches([_rows(out, _SENT)])
 
     return _paired(sent, counted, step)
@@ -337,10 +367,11 @@ def longer_sent(sent: DataFrame, counted: DataFrame, shards: int, longest: int)
     def step(texts: pa.Table, answers: pa.Table) -> pa.Table:
         out = []
         for number, load in zip(texts.column("shard").to_pylist(), texts.column("load")):
-            words, entry = c.unsqueezed(load.as_py())
+            text = _numbers(c.unsqueezed(load.as_py())[0])
             bits = [np.unpackbits(x[0])[: int(x[1][0])] for x in _answers(answers)]
             often = np.concatenate([*bits, [0]]).astype(bool)  # -1, no pair: the last
-            out += _entries(number, joined(words, often[entry], 3), range(3, longest + 1), shards, False)
+            text = joined(text, often[_pair_at(text, shards)], 3)
+            out += _entries(number, text, range(3, longest + 1), shards)
         return pa.Table.from_batches([_rows(out, _SENT)])
 
     return _paired(sent, counted, step)
@@ -361,8 +392,11 @@ def grams_counted(sent: DataFrame, lengths: range, least: int) -> DataFrame:
         loads = [c.unsqueezed(x.as_py()) for x in table.column("load")]
         out, base = [], 0
         for size in lengths:
-            columns = [np.concatenate([x[base + k] for x in loads]).astype(np.int64) for k in range(size)]
-            count = np.concatenate([x[base + size] for x in loads])
+            read = [[_numbers(x) for x in load[base : base + size + 1]] for load in loads]
+            lengths_sent = [len(x[0]) for x in read]
+            columns = [np.concatenate([np.cumsum(x[0], dtype=np.int64) for x in read])]
+            columns += [np.concatenate([x[k] for x in read]).astype(np.int64) for k in range(1, size)]
+            count = np.concatenate([x[size] for x in read])
             entry = columns[0]
             for column in columns[1:]:
                 _, first, entry = np.unique(entry << 32 | column, return_index=True, return_inverse=True)
@@ -372,10 +406,10 @@ def grams_counted(sent: DataFrame, lengths: range, least: int) -> DataFrame:
             out += [(None, None, None, w, a) for w, a in zip(found.tolist(), total[often].tolist())]
             if base == 0:
                 at = 0
-                for number, load in zip(table.column("shard").to_pylist(), loads):
-                    here = often[entry[at : at + len(load[0])]]
-                    out.append((number, to, c.squeezed([np.packbits(here), np.array([len(here)])]), None, None))
-                    at += len(load[0])
+                for number, length in zip(table.column("shard").to_pylist(), lengths_sent):
+                    here = often[entry[at : at + length]]
+                    out.append((number, to, c.squeezed([np.packbits(here), np.array([length])]), None, None))
+                    at += length
             base += size + 1
         return pa.Table.from_batches([_rows(out, [*_SENT, ("words", pa.list_(pa.int64())), ("a", pa.int64())])])
 
