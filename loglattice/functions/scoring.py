@@ -92,8 +92,11 @@ def confidence(
     )
 
 
+def bm25_idf(df: Column, n: Column) -> Column:
+    return F.log(1 + (n - df + 0.5) / (df + 0.5))
+
+
 def bm25_weight(
     tf: Column, df: Column, dl: Column, n: Column, avgdl: Column, k1: float = 1.2, b: float = 0.75
 ) -> Column:
-    idf = F.log(1 + (n - df + 0.5) / (df + 0.5))
-    return idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
+    return bm25_idf(df, n) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))

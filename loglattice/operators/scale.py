@@ -8,16 +8,26 @@ first, and a side is broadcast only after its size has been measured.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loglattice.session import shared_dir
+
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: later plans do not repeat its work."""
+    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _cell_bytes(field: T.StructField) -> Column:
     cell = F.col(f"`{field.name}`")
     if isinstance(field.dataType, (T.StringType, T.BinaryType)):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loglattice.functions import metadata as meta
 from loglattice.functions import scoring
 from loglattice.functions import text as tx
-from loglattice.operators import retrieval
+from loglattice.operators import bounded, retrieval
 from loglattice.operators.indexing import enrich, postings, save_postings, with_vectors
 from loglattice.operators.quality import retrieval_quality
 from loglattice.operators.scale import fetch_rows, top_k
@@ -87,6 +87,21 @@ def index_bm25(spark, folder):
     return _shown(retrieval.rank_bm25(questions(spark, folder), _index(spark, chunks(spark, folder)), K))
 
 
+@query("bounded_tf_dot", f"{BASE}, {SPARSE}, {_top(TF_DOT, K, 'ranked')} {SHOW} ranked")
+def bounded_tf_dot(spark, folder):
+    """The same ranking, common tokens met only for candidates whose bound reaches the k-th score."""
+    index = _index(spark, chunks(spark, folder))
+    return _shown(bounded.bounded_tf_dot(questions(spark, folder), index, K))
+
+
+@query("bounded_bm25", f"{BASE}, {SPARSE}, {DF}, {_top(BM25, K, 'ranked')} {SHOW} ranked")
+def bounded_bm25(spark, folder):
+    """BM25 by score bounds, with the index's figures stored by ingest."""
+    index, root = _index(spark, chunks(spark, folder)), scratch(spark, "term-stats")
+    bounded.save_stats(bounded.term_stats(index), root)
+    return _shown(bounded.bounded_bm25(questions(spark, folder), index, K, bounded.load_stats(spark, root)))
+
+
 # ------------------------------------------------------------------------- dense
 
 _CENTROIDS = """parts AS (SELECT label, generate_subscripts(embedding, 1) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
