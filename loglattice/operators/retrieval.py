@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -15,6 +16,7 @@ from loglattice.functions import text as tx
 from loglattice.functions.predicates import as_of
 from loglattice.operators.indexing import place, placed_counts, term_weights, tokenised
 from loglattice.operators.scale import fits_broadcast, salted_join, top_k
+from loglattice.session import shared_dir
 
 CANDIDATES, RERANKED = 3, 2  # fixed values: over-fetch factors per retriever and reranker
 SALTS = 64
@@ -191,17 +193,7 @@ def _dense_block(
     )
 
 
-def _dense_partials(
-    queries: DataFrame, chunks: DataFrame, k: int, block: int, level: int = 0
-) -> list[DataFrame]:
-    rows = queries.limit(block + 1).toArrow().combine_chunks()
-    if rows.num_rows > block:  # more than one block: halve by hash and rank each half
-        side = F.shiftright(F.xxhash64(F.lit(level), *queries.columns), 7).bitwiseAND(F.lit(1))
-        return [
-            frame
-            for half in (0, 1)
-            for frame in _dense_partials(queries.where(side == half), chunks, k, block, level + 1)
-        ]
+def _dense_partials(queries: DataFrame, rows: pa.Table, chunks: DataFrame, k: int) -> list[DataFrame]:
     query_type = queries.schema["query_id"].dataType.simpleString()
     lengths = np.asarray(rows.column("vector").combine_chunks().value_lengths().fill_null(0)) if rows.num_rows else []
     parts = []
@@ -222,11 +214,11 @@ def dense_cosine(
 ) -> DataFrame:
     """Exact top-k chunks per question by cosine, without pairing the two tables.
 
-    ``queries(query_id, vector[, not_after])`` travel to the chunks in blocks of
-    bounded size (more blocks, not larger ones, as questions grow).  Each task
-    multiplies its Arrow batches with the block and keeps k rows per question, so
-    k rows per question and partition are shuffled.  Scores are rounded to 9 places
-    so that equal vectors tie and the tie goes to the smaller id.
+    Up to ``block`` questions (``query_id, vector[, not_after]``) travel to the chunks.  Each task
+    multiplies its Arrow batches with them and keeps k rows per question, so k rows per
+    question and partition are shuffled.  More questions meet the chunks over a pivot index
+    (see ``pivots``) in one plan, whatever their number.  Scores are rounded to 9 places so
+    that equal vectors tie and the tie goes to the smaller id.
     """
     chunk_columns = ["chunk_id", F.col("vector").cast("array<double>").alias("vector")]
     query_columns = ["query_id", F.col("vector").cast("array<double>").alias("vector")]
@@ -234,9 +226,15 @@ def dense_cosine(
         micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
         query_columns.append(F.coalesce(micros("not_after"), F.lit(2**63 - 1)).alias("not_after_us"))
         chunk_columns.append(F.coalesce(micros("created_at"), F.lit(2**63 - 1)).alias("created_us"))
-    parts = _dense_partials(
-        queries.select(*query_columns).distinct(), chunks.select(*chunk_columns), k, block
-    )
+    asked = queries.select(*query_columns).distinct()
+    rows = asked.limit(block + 1).toArrow().combine_chunks()
+    if rows.num_rows > block:
+        from loglattice.operators import pivots
+
+        root = f"{shared_dir(chunks.sparkSession)}/pivots-{uuid.uuid4().hex}"
+        pivots.build(chunks, root)
+        return pivots.nearest(queries, root, k)
+    parts = _dense_partials(asked, rows, chunks.select(*chunk_columns), k)
     if not parts:
         kinds = {c: df.schema[c].dataType.simpleString() for df, c in ((queries, "query_id"), (chunks, "chunk_id"))}
         empty = chunks.sparkSession.createDataFrame(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loglattice.functions import metadata as meta
 from loglattice.functions import scoring
 from loglattice.functions import text as tx
-from loglattice.operators import bounded, retrieval
+from loglattice.operators import bounded, pivots, retrieval
 from loglattice.operators.indexing import enrich, postings, save_postings, with_vectors
 from loglattice.operators.quality import retrieval_quality
 from loglattice.operators.scale import fetch_rows, top_k
@@ -156,6 +156,33 @@ def dense_cosine_as_of(spark, folder):
     return _shown(retrieval.dense_cosine(_centroids(spark, folder), _vectors(spark, folder), K))
 
 
+def _by_pivots(spark, questions, vectors):
+    root = scratch(spark, "pivots")
+    pivots.build(vectors, root)
+    return _shown(pivots.nearest(questions, root, K))
+
+
+@query(
+    "pivot_cosine",
+    f"""WITH {_CENTROIDS}, {_top(f"SELECT query_id, vec_id AS chunk_id, {_COSINE} AS score FROM queries, embeddings", K, "ranked")}
+        {SHOW} ranked""",
+)
+def pivot_cosine(spark, folder):
+    """The dense ranking over a stored pivot index."""
+    return _by_pivots(spark, _centroids(spark, folder).drop("not_after"), _vectors(spark, folder))
+
+
+@query(
+    "pivot_cosine_as_of",
+    f"""WITH {_CENTROIDS}, {_top(f'''SELECT query_id, vec_id AS chunk_id, {_COSINE} AS score FROM queries, embeddings
+          WHERE TIMESTAMP '2024-01-01' + to_days(CAST(vec_id % 365 AS INTEGER)) <= not_after''', K, "ranked")}
+        {SHOW} ranked""",
+)
+def pivot_cosine_as_of(spark, folder):
+    """The same with every question's own bound."""
+    return _by_pivots(spark, _centroids(spark, folder), _vectors(spark, folder))
+
+
 # Content-hash vectors stand in for embeddings of texts.
 DIMS = 32  # exact: the vectors repeat the 32 bytes of one digest
 ANCHOR_CHARS = 12  # of a question that documents are first searched for
