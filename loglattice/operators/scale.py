@@ -19,6 +19,7 @@ from loglattice.session import shared_dir
 
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 * 1024 * 1024
+SEGMENT_ROWS = 500_000  # one task sorts
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -115,9 +116,13 @@ def running_total(
     ``segment`` must be monotone in the order (e.g. ``turn div 256``).  Sums run
     inside (group, segment); one small row per segment carries the offset of all
     earlier segments, so a hot group is spread over as many tasks as it has segments.
+    Where a segment itself holds more than ``SEGMENT_ROWS`` rows (all on one day, say),
+    the rows are cut into equal ranges of their order instead; ``order`` must be total.
     """
     keys = [*group, "_segment"]
     rows = df.withColumn("_segment", segment).withColumn("_value", value)
+    if _most_rows(rows.select(*keys), keys) > SEGMENT_ROWS:
+        return ranged_total(df, group, order, value, out)
     local = F.sum("_value").over(
         Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     )
@@ -138,6 +143,44 @@ def running_total(
     )
 
 
+def _most_rows(rows: DataFrame, keys: Sequence[str]) -> int:
+    """Rows of the largest group; tasks count before anything moves."""
+    return rows.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+
+
+def ranged_total(
+    df: DataFrame, group: Sequence[str], order: Sequence[Column], value: Column, out: str
+) -> DataFrame:
+    """Inclusive running sum over range partitions of (group, order).
+
+    The rows are range-partitioned by group and order and written, so the ranges stand.  A
+    range sums its own rows per group; the sum of each range, one row per group and range,
+    is the offset of all later ranges of that group.  A single group fills every task.
+    """
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(tasks, -(-df.count() // SEGMENT_ROWS))
+    ranges = df.withColumn("_value", value).repartitionByRange(tasks, *[F.asc(g) for g in group], *order)
+    placed = written(ranges.withColumn("_range", F.spark_partition_id()), "ranges")
+    upto = Window.partitionBy("_range", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        placed.groupBy("_range", *group).agg(F.sum("_value").alias("_total"))
+        .select(
+            F.col("_range").alias("_r"), *[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)],
+            F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_offset"),
+        )
+    )
+    same = F.col("_range") == F.col("_r")
+    for i, g in enumerate(group):
+        same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    return (
+        placed.withColumn("_local", F.sum("_value").over(upto))
+        .join(offsets, same)
+        .withColumn(out, F.col("_local") + F.col("_offset"))
+        .select(*df.columns, out)
+    )
+
+
 def exact_percentile(
     df: DataFrame, group: Sequence[str], value: str, q: float, out: str, accuracy: int = 100_000
 ) -> DataFrame:
