@@ -12,7 +12,8 @@ from loglattice.plans.preparation import _INGEST_SQL, scratch
 from loglattice.plans.privacy import _text_with_ids, mask_sql
 from loglattice.plans.registry import query
 from loglattice.plans.views import NOW_SQL, as_raw, now_column
-from loglattice.sources import versions
+from loglattice.operators.indexing import prepare_chunks
+from loglattice.sources import connector, versions
 from loglattice.sources.tables import read_table
 from loglattice.streaming import jobs
 
@@ -49,6 +50,49 @@ def stream_ingest(spark, folder):
     )
 
 
+def _connect(spark):
+    connector.register(spark, "document_store", lambda o: connector.ParquetClient(o["path"], "doc_id"))
+
+
+_CHUNK_SQL = f"{_INGEST_SQL} SELECT chunk_id, content, tier AS authority_tier FROM chunks"
+
+
+def _connected_chunks(spark, folder, docs):
+    raw = as_raw(docs, read_table(spark, folder, "labels"))
+    return prepare_chunks(raw.withColumn("raw_text", _text_with_ids(F.col("raw_text"))))
+
+
+@query("connector_batch", _CHUNK_SQL)
+def connector_batch(spark, folder):
+    """The documents through a connected source, read whole."""
+    _connect(spark)
+    docs = spark.read.format("document_store").option("path", f"{folder}/documents.parquet").load()
+    return _connected_chunks(spark, folder, docs).select("chunk_id", "content", "authority_tier")
+
+
+@query("connector_by_mark", _CHUNK_SQL)
+def connector_by_mark(spark, folder):
+    """The same source in two fetches: up to a mark, then past it by a filter."""
+    _connect(spark)
+    reader = spark.read.format("document_store").option("path", f"{folder}/documents.parquet")
+    mark = read_table(spark, folder, "documents").agg(F.floor(F.avg("doc_id"))).first()[0]
+    earlier = reader.option("upto", str(mark)).load()
+    later = spark.read.format("document_store").option("path", f"{folder}/documents.parquet").load().where(F.col("doc_id") > mark)
+    found = _connected_chunks(spark, folder, earlier).unionByName(_connected_chunks(spark, folder, later))
+    return found.select("chunk_id", "content", "authority_tier")
+
+
+@query("connector_stream", _CHUNK_SQL)
+def connector_stream(spark, folder):
+    """The same source as a stream, whose offset is the mark."""
+    _connect(spark)
+    docs = spark.readStream.format("document_store").option("path", f"{folder}/documents.parquet").load()
+    tailed = as_raw(docs, read_table(spark, folder, "labels")).withColumn("raw_text", _text_with_ids(F.col("raw_text")))
+    root = scratch(spark, "connected")
+    jobs.drain(jobs.ingest_stream(tailed, f"{root}/rows"), f"{root}/checkpoint")
+    return versions.read_current(spark, f"{root}/rows", ["chunk_id"]).select("chunk_id", "content", "authority_tier")
+
+
 def _sessions_sql(gap: str) -> str:
     return f"""sessions AS (SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS started,
       strftime(max(ts) + {gap}, '%Y-%m-%d %H:%M:%S') AS expires, count(*) AS n_events, max(ts) + {gap} AS ends
