@@ -124,6 +124,13 @@ def stream_session_expiry(spark, folder):
     return _shown(_drained(spark, found, "expired"))
 
 
+@query("stream_session_timers", f"WITH {_sessions_sql('INTERVAL 7200 SECOND')}")
+def stream_session_timers(spark, folder):
+    """The same sessions, ended by timers on their state."""
+    found = jobs.expiry_stream(_stream(spark, folder, "events"), ["user_id"], "ts")
+    return _shown(_drained(spark, found, "timers"))
+
+
 @query(
     "active_sessions",
     f"""SELECT user_id, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_activity, count(*) AS n_events
@@ -170,3 +177,24 @@ def stream_catalog_refresh(spark, folder):
     )
     jobs.drain(writer, f"{root}/checkpoint")
     return jobs.newest_version(spark, f"{root}/rows")
+
+
+@query(
+    "stream_catalog_join",
+    """WITH old AS (SELECT c_nationkey AS k, count(*) AS n FROM customer WHERE c_acctbal > 0 GROUP BY c_nationkey),
+    new AS (SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY c_nationkey)
+    SELECT 'customer' AS part, c_custkey AS id, n FROM customer LEFT JOIN old ON k = c_nationkey
+    UNION ALL SELECT 'supplier', s_suppkey, n FROM supplier LEFT JOIN new ON k = s_nationkey""",
+)
+def stream_catalog_join(spark, folder):
+    """Rows before a refresh meet the first catalog, rows after it the second."""
+    root = scratch(spark, "catalog-join")
+    customers = read_table(spark, folder, "customer")
+    parts = []
+    for version, (name, key, nation) in enumerate([("customer", "c_custkey", "c_nationkey"), ("supplier", "s_suppkey", "s_nationkey")]):
+        known = customers.where("c_acctbal > 0") if version == 0 else customers
+        versions.upsert(known.groupBy(F.col("c_nationkey").alias("k")).agg(F.count("*").alias("n")), f"{root}/catalog", version)
+        rows = _stream(spark, folder, name).select(F.lit(name).alias("part"), F.col(key).alias("id"), F.col(nation).alias("k"))
+        jobs.drain(jobs.lookup_stream(rows, f"{root}/catalog", ["k"], f"{root}/{name}"), f"{root}/{name}-checkpoint")
+        parts.append(spark.read.parquet(f"{root}/{name}").select("part", "id", "n"))
+    return parts[0].unionByName(parts[1])

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import logging
-from collections.abc import Callable, Sequence
+import re
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from loglattice.functions.masking import mask_rows
 from loglattice.operators.indexing import prepare_chunks
 from loglattice.operators.quality import BUCKETS
+from loglattice.operators.scale import small_side
 from loglattice.sources import versions
 
 LOG = logging.getLogger(__name__)
@@ -68,6 +71,90 @@ def burst_stream(
     )
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _merged(spans: pd.DataFrame, group: Sequence[str], gap: pd.Timedelta) -> pd.DataFrame:
+    """Spans (group, first, last, n) with those less than the gap apart made one."""
+    spans = spans.sort_values([*group, "first", "last"], kind="stable").reset_index(drop=True)
+    same = pd.Series(len(spans) * [True])
+    for column in group:
+        values = spans[column]
+        same &= (values == values.shift()) | (values.isna() & values.shift().isna())
+    block = (~same).cumsum()
+    reached = spans.groupby(block)["last"].cummax().groupby(block).shift()
+    start = reached.isna() | (spans["first"] - reached >= gap)
+    found = spans.assign(_s=start.cumsum()).groupby("_s", sort=True)
+    return found.agg({**{c: "first" for c in group}, "first": "min", "last": "max", "n": "sum"}).reset_index(drop=True)
+
+
+def expiry_stream(
+    events: DataFrame, group: Sequence[str], ts: str, ttl_seconds: int = SESSION_TTL_SECONDS,
+    late: str = "10 minutes", by_clock: bool = False,
+) -> DataFrame:
+    """Sessions that ended after ``ttl_seconds`` of silence, by state and timers.
+
+    Open sessions are state; each sets a timer for its end, so it ends although nothing more
+    arrives for its group.  By event time the timer fires once the watermark has passed the end.
+    With ``by_clock`` it fires that many seconds after the last arrival, also in a stream that has
+    gone quiet as a whole.  Late rows that bridge two open sessions join them.
+
+    Rows collapse to spans in every task before the shuffle, so a hot group moves few rows.
+    """
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    gap = pd.Timedelta(seconds=ttl_seconds)
+    named = events.select(*group, F.col(ts).cast("timestamp").alias("first")).where("first IS NOT NULL")
+    kinds = [f"`{c}` {named.schema[c].dataType.simpleString()}" for c in group]
+
+    def collapse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            if len(rows):
+                yield _merged(rows.assign(last=rows["first"], n=1), group, gap)
+
+    spans = named.mapInPandas(collapse, ", ".join([*kinds, "first timestamp", "last timestamp", "n bigint"]))
+
+    class Sessions(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.handle = handle
+            self.open = handle.getListState("open", "first timestamp, last timestamp, n bigint, due bigint")
+
+        def _due(self, last: pd.Timestamp, now_ms: int) -> int:
+            return now_ms + ttl_seconds * 1000 if by_clock else -(-last.value // 1_000_000) + ttl_seconds * 1000
+
+        def handleInputRows(self, key, rows, timerValues):
+            new = pd.concat(list(rows))[["first", "last", "n"]]
+            old = pd.DataFrame([tuple(x)[:3] for x in self.open.get()], columns=["first", "last", "n"])
+            known = pd.concat([old.astype(new.dtypes.to_dict()), new]) if len(old) else new
+            kept = _merged(known, [], gap)
+            now = timerValues.getCurrentProcessingTimeInMs()
+            listed = [(r.first, r.last, int(r.n), self._due(r.last, now)) for r in kept.itertuples(index=False)]
+            self.open.put([(a.to_pydatetime(), b.to_pydatetime(), n, due) for a, b, n, due in listed])
+            for due in {x[3] for x in listed}:
+                self.handle.registerTimer(due)
+            return iter([])
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            fired = expiredTimerInfo.getExpiryTimeInMs()
+            held = [tuple(x) for x in self.open.get()]
+            over, left = [x for x in held if x[3] <= fired], [x for x in held if x[3] > fired]
+            if left:
+                self.open.put(left)
+            else:
+                self.open.clear()
+            if over:
+                out = {c: [k] * len(over) for c, k in zip(group, key)}
+                yield pd.DataFrame({**out, "started": [x[0] for x in over], "expires": [x[1] + gap for x in over], "n_events": [x[2] for x in over]})
+
+        def close(self) -> None:
+            pass
+
+    timed = spans if by_clock else spans.withWatermark("first", late)
+    return timed.groupBy(*group).transformWithStateInPandas(
+        Sessions(), ", ".join([*kinds, "started timestamp", "expires timestamp", "n_events bigint"]),
+        "Append", "ProcessingTime" if by_clock else "EventTime",
+    )
+
+
 def active_sessions(events: DataFrame, key: str, ts: str, now, ttl_seconds: int = SESSION_TTL_SECONDS) -> DataFrame:
     """Sessions whose last activity is younger than the time to live (batch form)."""
     last = events.groupBy(key).agg(F.max(ts).alias("last_activity"), F.count(F.lit(1)).alias("n_events"))
@@ -99,7 +186,23 @@ def refresh_stream(ticks: DataFrame, build: Callable[[SparkSession], DataFrame],
 
 
 def newest_version(spark: SparkSession, root: str) -> DataFrame:
-    """Rows of the highest version only."""
+    """Rows of the highest committed version only; its number is read off the file names."""
     rows = spark.read.parquet(root)
-    newest = rows.agg(F.max("version")).scalar()
+    found = (re.search(r"/version=(\d+)/", f) for f in rows.inputFiles())
+    newest = max((int(m[1]) for m in found if m), default=-1)
     return rows.where(F.col("version") == newest).drop("version")
+
+
+def lookup_stream(rows: DataFrame, root: str, keys: Sequence[str], out: str):
+    """Writer joining every trigger's rows with the catalog version that is newest then.
+
+    A stream-static join reads files listed when it starts; here each trigger lists them anew, so
+    rows that arrive after a refresh meet the new version, and a failed refresh leaves the old
+    one in use.  A row without a match stays, with nulls.  Replayed triggers replace their rows.
+    """
+
+    def join(batch: DataFrame, batch_id: int) -> None:
+        catalog = newest_version(batch.sparkSession, root)
+        versions.upsert(batch.join(small_side(catalog), list(keys), "left"), out, batch_id)
+
+    return rows.writeStream.foreachBatch(join)
