@@ -162,6 +162,29 @@ def stream_metrics(spark, folder):
     return found.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
 
 
+@query(
+    "stream_p95",
+    f"""WITH {RUNS}, closed AS (SELECT time_bucket(INTERVAL 1 MINUTE, ts) AS w, seconds FROM runs
+          WHERE time_bucket(INTERVAL 1 MINUTE, ts) + INTERVAL 1 MINUTE <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events))
+        SELECT strftime(time_bucket(INTERVAL 1 HOUR, w), '%Y-%m-%d %H:%M:%S') AS window_start, count(seconds) AS n, TRUE AS within
+        FROM closed WHERE seconds IS NOT NULL GROUP BY time_bucket(INTERVAL 1 HOUR, w)""",
+)
+def stream_p95(spark, folder):
+    """P95 per hour from the sketches of closed minutes, held against the exact rank of its value."""
+    seconds = (F.col("value") / 20).alias("seconds")
+    runs = _stream(spark, folder, "events").select("ts", seconds)
+    sketches = _drained(spark, jobs.sketch_stream(runs, "ts", "seconds"), "sketches")
+    found = jobs.merged_quantile(sketches, 0.95, "p95")
+    minutes = sketches.select(F.col("window_start").alias("minute"))
+    exact = read_table(spark, folder, "events").select(F.date_trunc("minute", "ts").cast("timestamp").alias("minute"), seconds).join(minutes, "minute")
+    ranked = found.join(exact, F.date_trunc("hour", "minute") == F.col("window_start")).groupBy("window_start", "n").agg(
+        F.avg((F.col("seconds") <= F.col("p95")).cast("double")).alias("upto"), F.avg((F.col("seconds") < F.col("p95")).cast("double")).alias("below")
+    )
+    slack = 3 * jobs.rank_error()
+    within = (F.col("upto") >= 0.95 - slack) & (F.col("below") <= 0.95 + slack)
+    return ranked.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "n", within.alias("within"))
+
+
 @query(
     "stream_catalog_refresh",
     f"""SELECT field, value, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY field ORDER BY n DESC, value) AS rank
