@@ -53,7 +53,8 @@ class Node:
 
 def keys(docs: DataFrame) -> DataFrame:
     """Metadata of each row as 52-bit numbers whose low half is a hash of the text: equal texts
-    stand side by side in every dimension, and no two texts tie."""
+    stand side by side in every dimension, and no two texts tie.  ``_tie`` hashes the row's own
+    number, so that rows alike in id and text can be parted too; it holds once the rows are stored."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     salt = F.pmod(F.xxhash64(text), F.lit(1 << 32))
     scaled = {
@@ -70,7 +71,7 @@ def keys(docs: DataFrame) -> DataFrame:
         (F.octet_length(text) + F.lit(OVERHEAD)).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         *[value.alias(name) for name, value in as_key.items()],
-        F.pmod(F.xxhash64(F.lit("tie"), F.col("doc_id").cast("long")), F.lit(1 << KEY_BITS)).alias("_tie"),
+        F.pmod(F.xxhash64(F.lit("tie"), F.monotonically_increasing_id()), F.lit(1 << KEY_BITS)).alias("_tie"),
     )
 
 
