@@ -37,7 +37,7 @@ COUNTER_BITS = 21  # the frequency table has 2**21 counters, 8 MB: what is broad
 CHUNKS = 64
 SET, PAIR = 0, 1
 SENT = "shard int, kind int, x long, y long, load binary"
-FOUND = "kind int, x long, y long, n long, sketch binary"
+FOUND = "kind int, x long, y long, n long, text_hash long, sketch binary"
 BLOCK = 2048  # members of a bucket that meet in one task
 
 
@@ -141,6 +141,12 @@ def folded(raw: bytes, size: int) -> np.ndarray:
     return np.bitwise_xor.reduce(np.frombuffer(raw, np.uint64).reshape(-1, size // 8), axis=0)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """What is read of a row: id, text, and the hash of the text, which together name the row."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
+
+
 def sent(docs: DataFrame, shards: int, n: int, percent: int) -> DataFrame:
     """A row per document with the name and size of its set, and per batch and shard the packed
     signatures of the batch's distinct sets."""
@@ -150,11 +156,13 @@ def sent(docs: DataFrame, shards: int, n: int, percent: int) -> DataFrame:
         kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
         for batch in c.sliced(batches, 1, 4 << 20):
             names, own, out, typical = set(), [], [], {}
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            hashes = batch.column(2).to_pylist()
+            for row, (doc, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1))):
                 features = shingle_set(text.as_py(), n)
                 name = set_name(features) if len(features) else None
-                load = len(features).to_bytes(8, "little") + (sketch(features) if len(features) else b"")
-                out.append((hash(doc) % shards, SET, doc, name, load))
+                load = len(features).to_bytes(8, "little") + hashes[row].to_bytes(8, "little", signed=True)
+                load += sketch(features) if len(features) else b""
+                out.append(((hashes[row] + row) % shards, SET, doc, name, load))  # any shard will do
                 if name is None or name in names:
                     continue
                 names.add(name)
@@ -177,7 +185,7 @@ def sent(docs: DataFrame, shards: int, n: int, percent: int) -> DataFrame:
                     out.append((s, PAIR, None, None, c.squeezed([head, rank, counts, low])))
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], SENT.replace(" int", "").replace(" long", "").replace(" binary", "").split(", "))
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(send, SENT)
+    return keyed(docs).mapInArrow(send, SENT)
 
 
 def buckets(entries: DataFrame) -> DataFrame:
@@ -189,7 +197,8 @@ def buckets(entries: DataFrame) -> DataFrame:
             own = slice(a, a + (1 << 16))
             columns = [np.full(len(x[own]), PAIR, np.int32), x[own], y[own], np.zeros(len(x[own]), np.int64)]
             yield pa.RecordBatch.from_arrays(
-                [*(pa.array(v) for v in columns), pa.nulls(len(x[own]), pa.binary())], ["kind", "x", "y", "n", "sketch"]
+                [*(pa.array(v) for v in [*columns, columns[-1]]), pa.nulls(len(x[own]), pa.binary())],
+                ["kind", "x", "y", "n", "text_hash", "sketch"],
             )
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,9 +219,11 @@ def buckets(entries: DataFrame) -> DataFrame:
                 own = batch.take(pa.array(sets))
                 raw = own.column(4).to_pylist()
                 sizes = pa.array([int.from_bytes(v[:8], "little") for v in raw], pa.int64())
-                sketches = pa.array([v[8:] for v in raw], pa.binary())
+                hashes = pa.array([int.from_bytes(v[8:16], "little", signed=True) for v in raw], pa.int64())
+                sketches = pa.array([v[16:] for v in raw], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [own.column(1), own.column(2), own.column(3), sizes, sketches], ["kind", "x", "y", "n", "sketch"]
+                    [own.column(1), own.column(2), own.column(3), sizes, hashes, sketches],
+                    ["kind", "x", "y", "n", "text_hash", "sketch"],
                 )
         if not sigs:
             return
@@ -240,10 +251,14 @@ def buckets(entries: DataFrame) -> DataFrame:
 
 
 def checked(pairs: DataFrame, sets: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs of set names that link, decided on whole texts; one text per set is read."""
+    """The pairs of set names that link, decided on whole texts; one text per set is read: that of
+    one row, which its id and the hash of its text name."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct()
-    chosen = wanted.join(sets.groupBy("name").agg(F.min("doc_id").alias("doc_id")), "name")
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(chosen, "doc_id").select("name", "text")
+    row = F.min(F.struct("doc_id", "text_hash")).alias("row")
+    chosen = wanted.join(sets.where("name IS NOT NULL").groupBy("name").agg(row), "name")
+    chosen = chosen.select("name", F.col("row.doc_id").alias("_id"), F.col("row.text_hash").alias("_hash"))
+    same = (F.col("text_hash") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    texts = keyed(docs).join(chosen, same).groupBy("name").agg(F.first("text").alias("text"))  # a row may be repeated
     left = texts.select(F.col("name").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("name").alias("b"), F.col("text").alias("text_b"))
 
@@ -323,19 +338,12 @@ def components(links: DataFrame) -> DataFrame:
     return roots
 
 
-def grouped(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id.
-
-    Two sets link when 100 * intersection >= percent * union; component_id is the smallest doc_id
-    that links reach.  A text without words (or null) has no shingles, links with nothing and is
-    its own component; one with fewer than ``n`` words has one shingle, all its words.  Rows that
-    repeat an id are rows of the same document: its smallest component is given to all of them.
-    A null id is kept as a row, never named by others, and named by its component only if that
-    has no other id.  An empty table gives an empty one; other columns are not read.
-    """
+def linked_rows(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """One row per row of ``docs``: doc_id, text_hash, n_shingles, root (of its group of links; null
+    without words), component_id (the smallest doc_id of the group; null if it has none)."""
     shards = c.shards_for(docs, 4 << 20)
     found = c.stored(buckets(sent(docs, shards, n, percent).repartition(shards, "shard")), "buckets")
-    sets = found.where(F.col("kind") == SET).select(F.col("x").alias("doc_id"), F.col("y").alias("name"), "n", "sketch")
+    sets = found.where(F.col("kind") == SET).select(F.col("x").alias("doc_id"), F.col("y").alias("name"), "n", "text_hash", "sketch")
     pairs = found.where(F.col("kind") == PAIR).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     first = c.stored(checked(pairs, sets, docs, n, percent), "links")
     roots = components(first)
@@ -354,16 +362,51 @@ def grouped(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFr
     if not second.isEmpty():
         roots = components(first.union(second))
 
-    placed = sets.where("name IS NOT NULL").join(roots, "name", "left").select("doc_id", F.coalesce("root", "name").alias("root"))
+    placed = sets.join(roots, "name", "left").select("doc_id", "text_hash", "n", F.coalesce("root", "name").alias("root"))
     placed = c.stored(placed, "placed")
-    smallest = c.stored(placed.groupBy("root").agg(F.min("doc_id").alias("component_id")), "smallest")
-    own = placed.join(smallest, "root").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
-    return sets.join(own, "doc_id", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"),
-        F.when(F.col("name").isNull(), F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"),
+    smallest = placed.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return placed.join(smallest, "root", "left").select(
+        "doc_id", "text_hash", F.col("n").alias("n_shingles"), "root",
+        F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
     )
 
 
+def grouped(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id.
+
+    Two sets link when 100 * intersection >= percent * union; component_id is the smallest doc_id
+    that links reach.  A text without words (or null) has no shingles, links with nothing and is
+    its own component; one with fewer than ``n`` words has one shingle, all its words.  Rows that
+    repeat an id are rows of the same document: its smallest component is given to all of them.
+    A row without an id links like any other and gets its group's component, which is null only
+    where no row of the group has an id.  An empty table gives an empty one; other columns are
+    not read.
+    """
+    rows = c.stored(linked_rows(docs, n, percent), "linked")
+    shared = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("_least"))
+    return rows.join(shared, "doc_id", "left").select(
+        "doc_id", "n_shingles",
+        F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.coalesce("_least", "component_id")).alias("component_id"),
+    )
+
+
+def representatives(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """``docs`` with one row of every group of links: that with the smallest id (a row without an
+    id comes last), then the smallest hash of its text.  Rows without words all stay."""
+    rows = c.stored(linked_rows(docs, n, percent), "linked")
+    first = rows.where("root IS NOT NULL").groupBy("root").agg(
+        F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("row")
+    )
+    first = first.select(F.col("row.doc_id").alias("_id"), F.col("row.text_hash").alias("_hash"))
+    text = F.col("text").cast("string")
+    named = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("_own"), F.xxhash64(text).alias("_text"))
+    kept = named.join(first, (F.col("_text") == F.col("_hash")) & F.col("_own").eqNullSafe(F.col("_id")), "left_semi")
+    kept = kept.dropDuplicates(["_own", "_text"])
+    wordless = rows.where("root IS NULL").select(F.col("text_hash").alias("_hash")).distinct()  # texts of white space
+    alone = named.join(wordless, F.col("_text") == F.col("_hash"), "left_semi")
+    return kept.unionByName(alone).select("row.*")
+
+
 @query("op5_ngram_jaccard_join")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return grouped(c.table(spark, folder, "documents"))
