@@ -13,7 +13,6 @@ import base64
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +23,7 @@ from pyspark.sql import functions as F
 
 from loglattice.llm import common as c
 from loglattice.llm.registry import query
+from loglattice.operators.scale import small_side
 
 WINDOW = 2048
 END = 1  # the id behind every document
@@ -34,7 +34,6 @@ CHUNK = re.compile(r" (?=\S)")
 BESIDE = re.compile(r"\s |[ ](?:\s|\Z)")
 
 
-@lru_cache(maxsize=2)
 def encoding(ranks_file: str, pattern: str) -> tiktoken.Encoding:
     with open(ranks_file, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines)}
@@ -49,7 +48,7 @@ class Encoder:
     """
 
     def __init__(self, ranks_file: str, pattern: str):
-        self.inner = encoding(ranks_file, pattern)
+        self.inner = c.kept(f"{ranks_file}\n{pattern}", lambda: encoding(ranks_file, pattern))
         self.first: dict[str, bytes] = {}  # ids of a text's first chunk
         self.later: dict[str, bytes] = {}  # ids of a chunk with the space before it
 
@@ -213,10 +212,10 @@ def packed(
             rows, owners = [], []
             columns = [batch.column(i).to_pylist() for i in (1, 3, 4)]
             for i, (source, count, base) in enumerate(zip(*columns)):
-                ids = np.frombuffer(batch.column(2)[i].as_py(), "<u2").astype("<u4")
+                ids = np.frombuffer(batch.column(2)[i].as_buffer(), "<u2").astype("<u4")
                 for k, offset, at, length in mixture.pieces(names[source], base, count):
                     start = at - base
-                    rows.append((start, length, zlib.crc32(ids[start : start + length].tobytes()), count, k, offset))
+                    rows.append((start, length, zlib.crc32(ids[start : start + length]), count, k, offset))
                     owners.append(i)
             take = pa.array(owners, pa.int64())
             figures = [pa.array([r[j] for r in rows], pa.int64()) for j in range(6)]
@@ -225,7 +224,8 @@ def packed(
                 ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source"],
             )
 
-    placed = tokens.join(bases, ["source", "_part"]).select(
+    # one row per source and partition, measured before it is sent; beyond that the join shuffles
+    placed = tokens.join(small_side(c.stored(bases, "bases")), ["source", "_part"]).select(
         "doc_id", "source", "ids", "doc_tokens", (F.col("_base") + F.col("_at")).alias("_start")
     )
     kinds = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
