@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import math
+import pickle
+import sys
+import types
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +45,25 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def whole(spark: SparkSession, value: object) -> Broadcast:
+    """Broadcast an object with the code of its class, so that workers need no copy of this package;
+    ``arrived`` gives it back in a task."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def arrived(shared: Broadcast):
+    return pickle.loads(shared.value)
+
+
+def kept(key: str, make: Callable[[], Any]) -> Any:
+    """``make()``, called once per worker process.  What it gives lies in a module of its own: a
+    cache around a function would travel by name and ask workers for this package."""
+    store = sys.modules.setdefault("kept_by_worker", types.ModuleType("kept_by_worker")).__dict__
+    if key not in store:
+        store[key] = make()
+    return store[key]
+
+
 def shards_for(df: DataFrame, bytes_each: int = 8 << 20) -> int:
     """Partitions for an exchange that grows with ``df``: by the planner's size of its input,
     and at least what the cluster sets for shuffles."""

@@ -9,7 +9,6 @@ against that of an exact copy.
 
 from __future__ import annotations
 
-import functools
 import math
 from collections.abc import Iterator
 
@@ -33,7 +32,6 @@ WORD = regex.compile(r"[\p{L}\p{N}\p{M}]+")
 BLOCK_CHARS = 1 << 20  # code points that are hashed at once
 
 
-@functools.cache
 def code_points() -> tuple[np.ndarray, np.ndarray]:
     """For every code point: whether it is part of a word, and its 64 random-looking bits."""
     inside = np.zeros(0x110000, bool)
@@ -48,7 +46,7 @@ def word_codes(text: str | None) -> np.ndarray:
     A long text is hashed in blocks that end between words, so memory beside the text is bounded
     by the block, or by a longer word.
     """
-    inside, bits = code_points()
+    inside, bits = c.kept("code points", code_points)
     points = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
     out, at = [], 0
     while at < len(points):
@@ -172,10 +170,10 @@ class Items:
 
 def searched(docs: DataFrame, items: list[tuple], n: int, least: float) -> DataFrame:
     """Scores of the documents with one block of items; every document is judged alone."""
-    shared = docs.sparkSession.sparkContext.broadcast(Items(items, n))  # one block's worth
+    shared = c.whole(docs.sparkSession, Items(items, n))  # one block's worth
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
+        own = c.arrived(shared)
         seen = np.unpackbits(own.filter).astype(bool)
         for batch in batches:
             owners, names, scores = [], [], []
@@ -223,9 +221,15 @@ def matches(docs: DataFrame, items: DataFrame, n: int = N, least: float = LEAST)
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """``docs`` without the rows that hold a leaked item."""
-    leaked = matches(docs, items).select("doc_id").distinct()
-    return docs.join(leaked, docs["doc_id"].eqNullSafe(leaked["doc_id"]), "left_anti")
+    """``docs`` without the rows whose text holds a leaked item.
+
+    Rows are judged by their text, not by their id: a leaked row takes no other row without an id,
+    or of the same id, with it.  Texts are told apart by 64-bit hashes.  Null texts stay.
+    """
+    text = F.xxhash64(F.col("text").cast("string"))
+    leaked = matches(docs.select(text.alias("doc_id"), "text"), items).select(F.col("doc_id").alias("_leaked")).distinct()
+    own = docs.select(F.struct("*").alias("row"), text.alias("_hash"))
+    return own.join(leaked, F.col("_hash") == F.col("_leaked"), "left_anti").select("row.*")
 
 
 @query("op10_benchmark_decontamination")

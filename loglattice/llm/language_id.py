@@ -170,11 +170,12 @@ def identified(docs: DataFrame, model: Model) -> DataFrame:
     """
     base = docs.drop("lang_pred", "score")
     schema = T.StructType([*base.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: languages x BUCKETS numbers
+    shared = c.whole(docs.sparkSession, model)  # bounded: languages x BUCKETS numbers
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = c.arrived(shared)
         for batch in batches:
-            found = [shared.value.predict(t.as_py()) for t in batch.column(batch.schema.get_field_index("text"))]
+            found = [own.predict(t.as_py()) for t in batch.column(batch.schema.get_field_index("text"))]
             extra = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *extra], [*batch.schema.names, "lang_pred", "score"])
 
