@@ -13,13 +13,14 @@ from loglattice.llm import common as c
 from loglattice.llm.decontamination import clean
 from loglattice.llm.exact_dedup import copies
 from loglattice.llm.language_id import UNKNOWN, identified, trained
-from loglattice.llm.ngram_jaccard_join import grouped
+from loglattice.llm.ngram_jaccard_join import representatives
 from loglattice.llm.packing import query_packing
 from loglattice.llm.registry import query
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts in no language that was learned: null, empty and letterless ones."""
+    """Drops texts in no language that was learned: null, empty and letterless ones.  Every row is
+    judged by its own text; an empty table, or one without labels, leaves nothing."""
     found = identified(docs, trained(docs))
     return found.where(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
 
@@ -29,26 +30,29 @@ def _digest(text: Column) -> Column:
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest id stays; of rows that repeat it too, one."""
+    """Of equal texts (A-Z lower-cased, null as empty) the row with the largest id stays; rows without
+    an id come last; of rows that repeat it too, one.  An empty table stays empty."""
     kept = copies(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    own = docs.withColumn("_digest", _digest(F.col("text")))
-    same = own["doc_id"].eqNullSafe(kept["_id"]) & (own["_digest"] == kept["_sha"])
-    return own.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_digest"]).select(*docs.columns)
+    own = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("_own"), _digest(F.col("text")).alias("_digest"))
+    same = F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_sha"))
+    return own.join(kept, same, "left_semi").dropDuplicates(["_own", "_digest"]).select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of near copies the document with the smallest id stays."""
-    first = grouped(docs).where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_id"))
-    return docs.join(first.distinct(), docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi").select(*docs.columns)
+    """One row of every group of near copies stays, that with the smallest id; rows without an id
+    are grouped too and come last.  Rows without words all stay.  An empty table stays empty."""
+    return representatives(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Rows whose text holds a benchmark item go; rows of the same id, or without one, are judged
+    each by its own text.  Null texts and, with an empty benchmark, all rows stay."""
     return clean(docs, c.table(spark, sf_dir, "benchmark")).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left, in sequences of 2048 tokens."""
+    """What is left, in sequences of 2048 tokens; every row is packed, repeated ids and null ones
+    included.  An empty table gives no pieces."""
     return query_packing(docs)
 
 
