@@ -60,7 +60,19 @@ CLOSES = {
 }
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+# a quote that nothing fitting closes ends with its tag
+TAG = re.compile(
+    r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*>?"
+    r"|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"(?=[\s/>]|\Z)|'[^']*'(?=[\s/>]|\Z))*)(?:>|\Z)"
+    r"|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)", re.S
+)
+HREF = re.compile(r"\bhref\s*=\s*[\"']?\s*([^\s\"'>]?)", re.I)
+HEADS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+# whole class or id names of what readers wrote; such an element goes whatever its share
+READERS = {
+    "comment", "comments", "comment-list", "commentlist", "comment-section", "comments-section", "comments-area",
+    "comment-thread", "reader-comments", "user-comments", "disqus_thread", "replies", "responses",
+}
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -74,6 +86,10 @@ def marks(attributes: str) -> tuple[str, set[str]]:
 def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
     """Path, text and number of linked characters of every visible block that nothing marks as apart, in page order.
 
+    A link is an ``a`` with ``href``, up to its end tag or the end of the element it stands in; within
+    a heading, a link into the page itself is none.  Comments go whatever their share, unless an
+    article, a main or the page's first heading lies among them.
+
     A word in class, id or role sets an element apart only if it holds no article or main, is none
     of them (nor html or body), and carries less than ``MARKED`` of the page's text; so does a form,
     which may enclose the page.
@@ -84,9 +100,10 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
     stack: list[tuple[str, str, bool]] = []  # name, label in the path, whether the text is apart
     marked: list[int] = []  # per open element its number among the marked ones, or -1
     holds_main: list[bool] = []  # per marked element
+    by_readers: list[bool] = []
     found: list[tuple[tuple[str, ...], list[str], int, list[int]]] = []
     parts: list[str] = []
-    at, linked, in_link = 0, 0, False
+    at, linked, in_link, link_depth = 0, 0, False, 0
 
     def flush() -> None:
         nonlocal linked
@@ -96,9 +113,11 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         linked = 0
 
     def close(names: set[str], scope: set[str]) -> None:
+        nonlocal in_link
         for i in range(len(stack) - 1, -1, -1):
             if stack[i][0] in names:
                 del stack[i:], marked[i:]
+                in_link = in_link and len(stack) >= link_depth
                 return
             if stack[i][0] in scope:
                 return
@@ -110,12 +129,15 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             parts.append(page[at : m.start()])
             linked += (m.start() - at) * in_link
         at = m.end()
-        name = (m[2] or "").lower()
+        ends, name, attributes = m.group(1, 2, 3) if m[2] else m.group(4, 5, 6)
+        name = (name or "").lower()
         if not name:
             continue
         if name == "a":
-            in_link = not m[1]
-        if m[1]:
+            target = None if ends else HREF.search(attributes)
+            in_link = bool(target) and not (target[1] == "#" and any(n in HEADS for n, _, _ in stack))
+            link_depth = len(stack)
+        if ends:
             if name in INLINE:
                 continue
             if name == "br":
@@ -132,7 +154,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         if name == "br":
             parts.append(" ")
             continue
-        label, words = ("", set()) if not m[3] else marks(m[3])
+        label, words = ("", set()) if not attributes else marks(attributes)
         apart = name in UNSEEN or (name in ASIDE and name != "form")
         mark = name == "form" or (bool(words & MARKS) and name not in NEVER_MARKED)
         if name in INLINE and not apart and not mark:
@@ -146,13 +168,14 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             close(CLOSES[name], SCOPES.get(name, set()))
         if (name == "header" or words & HEADER_MARKS) and not any(n in MAIN for n, _, _ in stack):
             apart, mark = apart or name == "header", mark or name not in NEVER_MARKED
-        if name in MAIN:
+        if name in MAIN or name == "h1":
             for number in marked:
                 if number >= 0:
                     holds_main[number] = True
         marked.append(len(holds_main) if mark else -1)
         if mark:
             holds_main.append(False)
+            by_readers.append(bool(READERS & set(label.lower().split("."))))
         stack.append((name, name + label, apart or bool(stack and stack[-1][2])))
         if name in INLINE:  # an inline element that is apart ends with its own tag
             stack[-1] = (name, name + label, True)
@@ -171,7 +194,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             for number in marks_:
                 sizes[number] += len(text)
     least = MARKED * sum(len(text) for _, text, _, _ in read)
-    kept = [holds or size >= least for holds, size in zip(holds_main, sizes)]
+    kept = [holds or (size >= least and not readers) for holds, size, readers in zip(holds_main, sizes, by_readers)]
     return [(path, text, in_links) for path, text, in_links, marks_ in read if all(kept[m] for m in marks_)]
 
 
