@@ -33,10 +33,28 @@ LEVELS = 255  # quantised values of a shard; code 0 says "not there"
 START = np.uint64(xxhash.xxh3_64_intdigest(b" "))  # no word has white space, nor is empty
 END = np.uint64(xxhash.xxh3_64_intdigest(b""))
 HOT_SHARE = 64  # a context with 1 / (64 shards) of all tokens is dealt by successor
-BLOCK = 16 << 20  # bytes of text in a block
+BLOCK = 8 << 20  # bytes of text in a block
 COUNT, TOTAL = 0, 1
 
 
+def place_of(pieces: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Where in each piece of eight words its ``rank``-th set bit lies (the first has rank 1): the
+    word by counts, the bit by halving that word."""
+    counts = np.cumsum(np.bitwise_count(pieces), axis=1, dtype=np.int64)
+    at = (counts < rank[:, None]).sum(axis=1)
+    row = np.arange(len(pieces))
+    word, left = pieces[row, at], rank - np.where(at > 0, counts[row, at - 1], 0)
+    out = at * 64
+    for half in (32, 16, 8, 4, 2, 1):
+        low = word & np.uint64((1 << half) - 1)
+        ones = np.bitwise_count(low).astype(np.int64)
+        upper = left > ones
+        left -= np.where(upper, ones, 0)
+        word = np.where(upper, word >> np.uint64(half), low)
+        out += np.where(upper, half, 0)
+    return out
+
+
 class EliasFano:
     """A non-decreasing sequence of integers below ``universe``: low bits packed, high bits unary.
 
@@ -77,14 +95,11 @@ class EliasFano:
             zero = np.flatnonzero(np.unpackbits(self.upper, bitorder="little") == 0)
             out[some] = zero[high[some] - 1] - (high[some] - 1)
             return out
-        for a in range(0, len(some), 1 << 14):
-            own = some[a : a + (1 << 14)]
+        for a in range(0, len(some), 1 << 16):
+            own = some[a : a + (1 << 16)]
             rank = high[own]  # the position of this zero, counted from 1
             piece = np.searchsorted(self.zeros, rank, side="left") - 1
-            bits = np.unpackbits(self.upper.reshape(-1, 64)[piece], axis=1, bitorder="little")
-            seen = np.cumsum(bits == 0, axis=1, dtype=np.int16)
-            within = np.argmax(seen >= (rank - self.zeros[piece])[:, None], axis=1)
-            out[own] = piece * 512 + within - (rank - 1)
+            out[own] = piece * 512 + place_of(~self.piece(piece), rank - self.zeros[piece]) - (rank - 1)
         return out
 
     def get(self, index: np.ndarray) -> np.ndarray:
@@ -94,16 +109,17 @@ class EliasFano:
             return (high << self.low_bits) | self.low_of(index).astype(np.int64)
         out = np.zeros(len(index), np.int64)
         ones = np.arange(len(self.zeros)) * 512 - self.zeros
-        for a in range(0, len(index), 1 << 14):
-            own = index[a : a + (1 << 14)]
+        for a in range(0, len(index), 1 << 16):
+            own = index[a : a + (1 << 16)]
             piece = np.searchsorted(ones, own + 1, side="left") - 1
-            bits = np.unpackbits(self.upper.reshape(-1, 64)[piece], axis=1, bitorder="little")
-            seen = np.cumsum(bits, axis=1, dtype=np.int16)
-            within = np.argmax(seen >= (own + 1 - ones[piece])[:, None], axis=1)
-            high = piece * 512 + within - own
+            high = piece * 512 + place_of(self.piece(piece), own + 1 - ones[piece]) - own
             out[a : a + len(own)] = (high << self.low_bits) | self.low_of(own).astype(np.int64)
         return out
 
+    def piece(self, number: np.ndarray) -> np.ndarray:
+        """The 512 bits of each numbered piece of the unary part, as eight words."""
+        return self.upper.reshape(-1, 64)[number].view(np.uint64)
+
     def low_of(self, index: np.ndarray) -> np.ndarray:
         if not self.low_bits:
             return np.zeros(len(index), np.uint64)
@@ -217,15 +233,15 @@ def blocks(docs: DataFrame, training: Column) -> DataFrame:
         for batch in c.sliced(batches, 2, BLOCK):
             items = [c.words(t.as_py(), lower=True) for t in batch.column(2)]
             lengths = np.array([len(x) for x in items], np.int64)
-            h = np.full(int(lengths.sum()) + len(items), END)
-            starts = np.cumsum(lengths + 1) - lengths - 1
-            h[c.runs(starts, lengths)] = c.word_hashes((w for x in items for w in x), int(lengths.sum()))
-            known, inverse, freq = np.unique(h, return_inverse=True, return_counts=True)
-            by = np.argsort(-freq, kind="stable")
-            number = np.empty(len(known), np.int64)
+            flat = pa.array((w for x in items for w in (*x, b"")), pa.large_binary())  # the empty word is the end
+            coded = flat.dictionary_encode()
+            index = coded.indices.to_numpy()
+            known = c.word_hashes(coded.dictionary.to_pylist(), len(coded.dictionary))
+            by = np.argsort(-np.bincount(index, minlength=len(known)), kind="stable")
+            number = np.empty(len(known), np.uint32 if len(known) > 65535 else np.uint16)
             number[by] = np.arange(len(known))
             trained = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            load = c.squeezed([trained.astype(np.uint8), lengths, number[inverse].astype(np.uint32 if len(known) > 65535 else np.uint16), known[by]])
+            load = c.squeezed([trained.astype(np.uint8), lengths, number[index], known[by]])
             yield pa.RecordBatch.from_arrays(
                 [pa.array([(part << 32) + count], pa.int64()), pa.array([batch.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([load], pa.binary())],
                 ["block", "ids", "load"],
@@ -280,7 +296,12 @@ class Block:
 
         used = np.unique(context)
         units = np.unique(home(np.repeat(used, parts[used]), c.runs(np.zeros(len(used), np.int64), parts[used])))
-        own = np.searchsorted(units, home(context, c.mixed(self.known[word]) % parts[context].astype(np.uint64)))
+        unit = np.zeros(len(self.known), np.int64)
+        unit[used] = np.searchsorted(units, home(used, np.zeros(len(used), np.int64)))
+        own = unit[context]
+        split = np.flatnonzero(parts[context] > 1)
+        piece = c.mixed(self.known[word[split]]) % parts[context[split]].astype(np.uint64)
+        own[split] = np.searchsorted(units, home(context[split], piece))
         by, length = np.argsort(own, kind="stable"), np.bincount(own, minlength=len(units))
         ends = np.cumsum(length)
         for s, part in c.cut(units // len(self.known)):
@@ -372,10 +393,9 @@ def answered(packed: DataFrame, shards: int, hot: tuple[np.ndarray, np.ndarray,
                 for s, own, contexts, length in block.dealt(shared.value, shards):
                     _, word, trained, _ = block.bigrams_
                     h = block.known[contexts]
-                    low = block.known[word[own]].view(np.uint8).reshape(-1, 8)[:, :6].ravel()
                     count = trained[own].astype(np.uint8 if trained[own].max(initial=0) < 256 else np.uint32)
                     sent.append(s)
-                    loads.append(c.squeezed([h, length.astype(np.uint32), low, count]))
+                    loads.append(c.squeezed([h, length.astype(np.uint32), block.known[word[own]], count]))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(sent, pa.int32()), pa.array([name] * len(sent), pa.int64()), pa.array(loads, pa.binary())],
                     ["shard", "block", "load"],
@@ -386,24 +406,19 @@ def answered(packed: DataFrame, shards: int, hot: tuple[np.ndarray, np.ndarray,
         if not rows:
             return
 
-        def wide(low: np.ndarray) -> np.ndarray:
-            out = np.zeros((len(low) // 6, 8), np.uint8)
-            out[:, :6] = low.reshape(-1, 6)
-            return out.view(np.uint64).ravel()
-
-        context, word, count = [], [], []
-        for _, _, load in rows:
-            h, length, low, trained = c.unsqueezed(load)
-            own = np.flatnonzero(trained)
-            context.append(np.repeat(h, length)[own])
-            word.append(wide(low)[own])
-            count.append(trained[own].astype(np.int64))
-        context, word, count = np.concatenate(context), np.concatenate(word), np.concatenate(count)
-        by = np.lexsort((word, context))
-        context, word, count = context[by], word[by], count[by]
-        first = np.flatnonzero(np.concatenate([[True], (context[1:] != context[:-1]) | (word[1:] != word[:-1])])[: len(by)])
+        loads = [c.unsqueezed(r[2]) for r in rows]
+        asked, rank = np.unique(np.concatenate([x[0] for x in loads]), return_inverse=True)
+        words, number = np.unique(np.concatenate([x[2] for x in loads]), return_inverse=True)
+        lengths = np.concatenate([x[1] for x in loads])
+        pair = np.repeat(rank, lengths) * len(words) + number
+        del number
+        by = np.argsort(pair)
+        first = np.flatnonzero(np.diff(pair[by], prepend=-1))
+        count = np.concatenate([x[3].astype(np.int64) for x in loads])[by]
         count = np.add.reduceat(count, first) if len(first) else count
-        context, word = context[first], word[first]
+        times, pair = np.diff(np.append(first, len(by))), pair[by[first]]  # distinct, by context and word
+        own = np.flatnonzero(count)
+        context, word, count = asked[pair[own] // len(words)], words[pair[own] % len(words)], count[own]
         known, start, kinds = np.unique(context, return_index=True, return_counts=True)
         sums = np.add.reduceat(count, start) if len(start) else np.empty(0, np.int64)
         tokens, totals, _ = shared.value
@@ -413,14 +428,17 @@ def answered(packed: DataFrame, shards: int, hot: tuple[np.ndarray, np.ndarray,
         probability = (count - DISCOUNT) / np.repeat(sums, kinds)
         raw = Trie.build(context, word, probability)
 
-        def ask(trie: Trie) -> Iterator[tuple]:
-            for shard, name, load in rows:
-                h, length, low, _ = c.unsqueezed(load)
-                has = trie.successors_of(h)
-                codes = trie.query(np.repeat(h, length), wide(low))
-                yield shard, name, c.squeezed([has.astype(np.uint32), codes, np.array(trie.values)])
-
-        found = mapped(raw, lambda trie: list(ask(trie)))
+        def ask(trie: Trie) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Each distinct context and bigram is looked up once, in the order of the levels."""
+            codes = np.empty(len(by), np.uint8)
+            codes[by] = np.repeat(trie.query(asked[pair // len(words)], words[pair % len(words)]), times)
+            return trie.successors_of(asked).astype(np.uint32)[rank], codes, np.array(trie.values)
+
+        has, codes, values = mapped(raw, ask)
+        found, at, end = [], 0, 0
+        for (shard, name, _), (h, _, follows, _) in zip(rows, loads):
+            found.append((shard, name, c.squeezed([has[at : at + len(h)], codes[end : end + len(follows)], values])))
+            at, end = at + len(h), end + len(follows)
         types = (pa.int32(), pa.int64(), pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], k) for i, k in enumerate(types)], ["shard", "block", "load"])
 
