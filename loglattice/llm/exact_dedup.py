@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +23,7 @@ from loglattice.llm.registry import query
 
 MEAN_BITS = 10  # a cut after about 2**10 bytes
 SPAN = 16  # bytes that decide on a cut
+SLICE = 1 << 16  # chunks handed on at a time
 NAME, PROOF = 16, 12  # bytes of a digest, and of what verifies it
 
 
@@ -54,34 +56,58 @@ def recipe(raw: bytes) -> tuple[bytes, bytes]:
 
 
 def recipes(docs: DataFrame) -> DataFrame:
-    """One row per document: the digest of its normalised text and its chunk list."""
+    """One row per document: a number of its own (once the result is stored), the digest of its
+    normalised text and its chunk list."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = 0
         for batch in batches:
             raws = ((x.as_py() or "").encode("utf-8", "surrogatepass").lower() for x in batch.column(1))
             found = [(hashlib.sha256(raw).hexdigest(), *recipe(raw)) for raw in raws]
             columns = [pa.array([f[i] for f in found], k) for i, k in enumerate((pa.string(), pa.binary(), pa.binary()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "text_sha256", "names", "proofs"])
+            row = pa.array(np.arange(count, count + batch.num_rows) + (TaskContext.get().partitionId() << 33))
+            count += batch.num_rows
+            yield pa.RecordBatch.from_arrays([row, batch.column(0), *columns], ["row", "doc_id", "text_sha256", "names", "proofs"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        cut, "doc_id long, text_sha256 string, names binary, proofs binary"
+        cut, "row long, doc_id long, text_sha256 string, names binary, proofs binary"
     )
 
 
+def pieces(found: DataFrame) -> DataFrame:
+    """``(row, name, proof)`` of every chunk: its own few bytes, never beside the whole list."""
+
+    def column(data: np.ndarray) -> pa.Array:
+        raw = pa.py_buffer(np.ascontiguousarray(data))
+        return pa.Array.from_buffers(pa.binary(data.shape[1]), len(data), [None, raw]).cast(pa.binary())
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, proofs = (
+                np.frombuffer(b"".join(x.to_pylist()), np.uint8).reshape(-1, size)
+                for x, size in ((batch.column(1), NAME), (batch.column(2), PROOF))
+            )
+            lengths = [len(x) // NAME for x in batch.column(1).to_pylist()]
+            rows = np.repeat(batch.column(0).to_numpy(), lengths)
+            for at in range(0, len(rows), SLICE):
+                own = slice(at, at + SLICE)
+                yield pa.RecordBatch.from_arrays([pa.array(rows[own]), column(names[own]), column(proofs[own])], ["row", "name", "proof"])
+
+    return found.select("row", "names", "proofs").mapInArrow(split, "row long, name binary, proof binary")
+
+
 def verified(found: DataFrame) -> DataFrame:
     """Turn digests into identifiers.  A digest that stands for two contents is in doubt; the
-    recipes that hold one are widened by their proofs, which tell its contents apart."""
-    piece = F.transform(
-        F.sequence(F.lit(1), (F.length("names") / NAME).cast("int")),
-        lambda i: F.struct(
-            F.expr("names").substr((i - 1) * NAME + 1, F.lit(NAME)).alias("name"),
-            F.expr("proofs").substr((i - 1) * PROOF + 1, F.lit(PROOF)).alias("proof"),
-        ),
+    recipes that hold one are widened by their proofs, which tell its contents apart.  Rows are
+    joined with their doubt only where there is one, and then by their own number."""
+    listed = pieces(found)
+    doubtful = c.stored(
+        listed.groupBy("name").agg(F.min("proof").alias("lo"), F.max("proof").alias("hi")).where("lo <> hi").select("name"), "doubtful"
     )
-    pieces = found.where(F.length("names") > 0).select("names", F.explode(piece).alias("x")).select("names", "x.*")
-    doubtful = pieces.groupBy("name").agg(F.min("proof").alias("lo"), F.max("proof").alias("hi")).where("lo <> hi")
-    held = pieces.join(doubtful, "name", "left_semi").select("names").distinct().withColumn("_doubt", F.lit(True))
-    return found.join(held, "names", "left").select(
+    if doubtful.isEmpty():
+        return found.select("doc_id", "text_sha256", F.col("names").alias("ids"))
+    held = listed.join(doubtful, "name", "left_semi").select("row").distinct().withColumn("_doubt", F.lit(True))
+    return found.join(held, "row", "left").select(
         "doc_id", "text_sha256",
         F.when(F.col("_doubt"), F.concat(F.lit(b"\1"), "names", "proofs")).otherwise(F.col("names")).alias("ids"),
     )
