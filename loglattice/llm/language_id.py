@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,8 +21,8 @@ from loglattice.llm import common as c
 from loglattice.llm.registry import query
 
 BUCKETS = 1 << 13
+PART = 1 << 20  # code points of a text looked at together
 SAMPLE_EACH = 400  # labelled texts per language that the models are fitted on: the smallest hashes
-SAMPLE_CHARS = 20_000  # of each, while fitting; predictions read whole texts
 EPOCHS, PENALTY = 30, 1e-4
 UNKNOWN = "und"
 # fixed values: related languages by their usual codes; a language not listed is its own family
@@ -41,18 +41,19 @@ def family_of(lang: str) -> str:
 
 def features(text: str) -> np.ndarray:
     """Relative weight of each hashed run of one to four code points of the lower-cased letters,
-    square-rooted and of unit length.  A text of any length is taken in parts and added up."""
+    square-rooted and of unit length.  A long text is taken in parts that share three code points,
+    so each run is counted once, wherever the parts end."""
     counts = np.zeros(BUCKETS)
-    step = 1 << 20
-    for at in range(0, len(text), step):
-        letters = f" {NOT_LETTERS.sub(' ', text[at : at + step].lower())} "
-        points = np.frombuffer(letters.encode("utf-32-le", "surrogatepass"), np.uint32)
+    letters = f" {NOT_LETTERS.sub(' ', text.lower())} "
+    for at in range(0, len(letters), PART):
+        own = min(PART, len(letters) - at)  # runs are counted in the part they start in
+        points = np.frombuffer(letters[at : at + PART + 3].encode("utf-32-le", "surrogatepass"), np.uint32)
         h = np.zeros(len(points), np.uint32)
         for n in range(1, 5):
             if len(points) < n:
                 break
             h = h[: len(points) - n + 1] * np.uint32(0x01000193) + points[n - 1 :] * np.uint32(0x9E3779B1) + np.uint32(n)
-            mixed = h ^ (h >> np.uint32(15))
+            mixed = h[:own] ^ (h[:own] >> np.uint32(15))
             mixed = mixed * np.uint32(0x85EBCA6B)
             counts += np.bincount(mixed >> np.uint32(32 - 13), minlength=BUCKETS)
     counts = np.sqrt(counts)
@@ -119,11 +120,11 @@ class Model:
         return lang, first * second
 
 
-def fit(texts: list[str], langs: list[str]) -> Model:
-    """Fit from a bounded list of labelled texts."""
-    x = np.array([features(t) for t in texts]) if texts else np.zeros((0, BUCKETS), np.float32)
-    lang = np.array(langs, object)
-    family = np.array([family_of(v) for v in langs], object)
+def fit(found: list[tuple[str, np.ndarray]]) -> Model:
+    """Fit from a bounded list of labels and the features of their texts."""
+    x = np.array([v for _, v in found]) if found else np.zeros((0, BUCKETS), np.float32)
+    lang = np.array([name for name, _ in found], object)
+    family = np.array([family_of(v) for v in lang], object)
     families = sorted(set(family))
     members = {f: sorted(set(lang[family == f])) for f in families}
 
@@ -142,23 +143,28 @@ def fit(texts: list[str], langs: list[str]) -> Model:
     return Model(families, machines(x, family, families), members, {f: pairs(members[f]) for f in families})
 
 
-def sample(labelled: DataFrame) -> list[tuple[str, str]]:
-    """``SAMPLE_EACH`` different texts of every language, those whose hash is smallest: bounded, and
-    the same however the rows lie.  Copies count as one text."""
+def sample(labelled: DataFrame) -> list[tuple[str, np.ndarray]]:
+    """Language and features of ``SAMPLE_EACH`` different texts of every language, those whose hash
+    is smallest: bounded, and the same however the rows lie.  Copies count as one text.
+
+    One pass picks the hashes of all languages (each task hands on at most ``SAMPLE_EACH`` a
+    language), another reads the texts that have them and turns each into its features, so no
+    text travels to the driver."""
     has_letters = F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")
-    found = labelled.where(has_letters).select(
-        "lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"), F.xxhash64("text").alias("_h")
-    )
-    # (the whole text is hashed; only what the fit reads of it is shortened)
-    rows = found.select("lang", "_h").distinct().groupBy("lang").agg(F.count("*").alias("n")).collect()  # one row per language
-    out: list[tuple[str, str]] = []
-    for row in sorted(rows):  # one small query per language; the hash bound keeps it near the sample
-        share = min(1.0, 3.0 * SAMPLE_EACH / row["n"]) if row["n"] > SAMPLE_EACH else 1.0
-        own = found.where(F.col("lang") == row["lang"])
-        near = own.where(F.col("_h") <= int(-(2**63) + share * (2**64 - 1)) if share < 1 else F.lit(True))
-        got = near.groupBy("_h").agg(F.min("text").alias("text")).orderBy("_h").limit(SAMPLE_EACH).collect()
-        out += [(r["text"], row["lang"]) for r in got]
-    return out
+    found = labelled.where(has_letters).select("lang", F.xxhash64("text").alias("_h"), "text")
+    nearest = Window.partitionBy("lang").orderBy("_h")
+    ranked = found.select("lang", "_h").distinct().withColumn("_r", F.row_number().over(nearest))
+    picked = c.stored(ranked.where(F.col("_r") <= SAMPLE_EACH).drop("_r"), "picked")
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lang, h, text in zip(*batch.columns):
+                x = c.squeezed([features(text.as_py())])
+                yield pa.RecordBatch.from_arrays([pa.array([lang.as_py()]), pa.array([h.as_py()]), pa.array([x])], ["lang", "h", "x"])
+
+    texts = found.join(F.broadcast(picked), ["lang", "_h"]).groupBy("lang", "_h").agg(F.min("text").alias("text"))
+    rows = texts.mapInArrow(weigh, "lang string, h long, x binary").collect()  # SAMPLE_EACH a language
+    return [(r["lang"], c.unsqueezed(r["x"])[0]) for r in sorted(rows, key=lambda r: (r["lang"], r["h"]))]
 
 
 def identified(docs: DataFrame, model: Model) -> DataFrame:
@@ -183,8 +189,7 @@ def identified(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def trained(labelled: DataFrame) -> Model:
-    pairs = sample(labelled)
-    return fit([t for t, _ in pairs], [v for _, v in pairs])
+    return fit(sample(labelled))
 
 
 @query("op7_language_id")

@@ -318,6 +318,17 @@ def test_spans(spark, folder, texts, awkward):
     assert [(s.start, s.end, s.source_id, s.source_start) for s in spans[8]] == [(0, 16, 1, 0)]
 
 
+def test_places_of_bits():
+    rng = np.random.default_rng(3)
+    for share in (0.02, 0.5, 0.98, 1.0):
+        bits = (rng.random((40, 512)) < share).astype(np.uint8)
+        bits[:, 511] = 1
+        pieces = np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+        rank = rng.integers(1, bits.sum(axis=1) + 1)
+        expected = [np.flatnonzero(b)[r - 1] for b, r in zip(bits, rank)]
+        assert lm_scoring.place_of(pieces, rank).tolist() == expected
+
+
 # 7 language
 
 
@@ -329,11 +340,12 @@ def test_language(spark, folder):
 
 
 def test_language_awkward(spark, docs_of):
-    model = language_id.fit(["the house and the garden", "das haus und der garten", "la maison et le jardin"], ["en", "de", "fr"])
+    texts = [("en", "the house and the garden"), ("de", "das haus und der garten"), ("fr", "la maison et le jardin")]
+    model = language_id.fit([(v, language_id.features(t)) for v, t in texts])
     docs = docs_of([(1, None), (2, ""), (3, "12 !?"), (4, "the garden"), (4, "the garden")]).withColumn("score", F.lit("x"))
     found = [(r.doc_id, r.lang_pred) for r in language_id.identified(docs, model).orderBy("doc_id").collect()]
     assert found == [(1, "und"), (2, "und"), (3, "und"), (4, "en"), (4, "en")]
-    assert {r.lang_pred for r in language_id.identified(docs, language_id.fit([], [])).collect()} == {"und"}
+    assert {r.lang_pred for r in language_id.identified(docs, language_id.fit([])).collect()} == {"und"}
     assert language_id.identified(docs.limit(0), model).count() == 0 and language_id.trained(docs.limit(0)).families == []
 
 
@@ -343,7 +355,7 @@ def test_language_pairs_in_a_family():
     made = {v: ["".join(rng.choice(list(x + " "), 80)) for _ in range(30)] for v, x in letters.items()}
 
     def fitted(*names):
-        return language_id.fit([t for v in names for t in made[v]], [v for v in names for _ in made[v]])
+        return language_id.fit([(v, language_id.features(t)) for v in names for t in made[v]])
 
     model = fitted("da", "nl", "no", "sv")
     assert len(model.weights["germanic"]) == 6  # a machine per pair, which no third language moves
@@ -353,10 +365,27 @@ def test_language_pairs_in_a_family():
 
 
 def test_language_sample_has_no_copies(spark):
-    rows = [("word %d of this" % i, "en") for i in range(600)] + [(x, "en") for x in ["often copied", "copied too"] for _ in range(4000)]
-    rows += [("ein Text %d" % i, "de") for i in range(30)]
+    letters = str.maketrans("0123456789", "abcdefghij")
+    rows = [(f"word {i} of this".translate(letters), "en") for i in range(600)] + [(x, "en") for x in ["often copied", "copied too"] for _ in range(4000)]
+    rows += [(f"ein Text {i}".translate(letters), "de") for i in range(30)]
+    found = language_id.sample(spark.createDataFrame(rows, "text string, lang string"))
+    assert len({(v, x.tobytes()) for v, x in found}) == len(found)
+    assert collections.Counter(v for v, _ in found) == {"en": language_id.SAMPLE_EACH, "de": 30}
+
+
+def test_language_parts_count_each_run_once(monkeypatch):
+    text = "Über 12 Straßen, und noch mehr Wörter! " * 9
+    whole = language_id.features(text)
+    for part in (1, 2, 3, 7, 64, 100):
+        monkeypatch.setattr(language_id, "PART", part)
+        assert np.array_equal(language_id.features(text), whole)
+
+
+def test_language_sample_of_many_languages(spark):
+    names = [f"l{i:02d}" for i in range(50)]
+    rows = [(f"text {chr(97 + i % 26)}{chr(97 + j)} {n}", n) for i, n in enumerate(names) for j in range(8)]
     found = language_id.sample(spark.createDataFrame(rows, "text string, lang string"))
-    assert len(set(found)) == len(found) and collections.Counter(v for _, v in found) == {"en": language_id.SAMPLE_EACH, "de": 30}
+    assert collections.Counter(v for v, _ in found) == dict.fromkeys(names, 8)
 
 
 # 8 copies
@@ -372,10 +401,19 @@ def test_copies_awkward(awkward):
 
 
 def test_doubtful_digests_are_told_apart(spark):
-    rows = [(1, "x", b"a" * 16, b"p" * 12), (2, "y", b"a" * 16, b"q" * 12), (3, "z", b"b" * 16, b"r" * 12)]
-    found = spark.createDataFrame(rows, "doc_id long, text_sha256 string, names binary, proofs binary")
+    rows = [(7, 1, "x", b"a" * 16, b"p" * 12), (8, 2, "y", b"a" * 16, b"q" * 12), (9, 3, "z", b"b" * 16, b"r" * 12), (10, 4, "", b"", b"")]
+    found = spark.createDataFrame(rows, "row long, doc_id long, text_sha256 string, names binary, proofs binary")
     ids = {r.doc_id: bytes(r.ids) for r in exact_dedup.verified(found).collect()}
-    assert ids[1] != ids[2] and ids[3] == b"b" * 16
+    assert ids[1] != ids[2] and ids[3] == b"b" * 16 and ids[4] == b""
+    sure = {r.doc_id: bytes(r.ids) for r in exact_dedup.verified(found.where("doc_id <> 2")).collect()}
+    assert sure == {1: b"a" * 16, 3: b"b" * 16, 4: b""}
+
+
+def test_copies_of_long_texts(docs_of):
+    rng = np.random.default_rng(5)
+    long = rng.integers(97, 123, 6_000_000, dtype=np.uint8).tobytes().decode()
+    found = exact_dedup.copies(docs_of([(1, long), (2, long.upper()), (3, long + "x"), (4, "x" * 3_000_000)])).collect()
+    assert {(r.doc_id, r.keep_id, r.group_size) for r in found} == {(1, 2, 2), (2, 2, 2), (3, 3, 1), (4, 4, 1)}
 
 
 # 9 shards
