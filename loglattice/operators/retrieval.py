@@ -20,16 +20,26 @@ from loglattice.session import shared_dir
 
 CANDIDATES, RERANKED = 3, 2  # fixed values: over-fetch factors per retriever and reranker
 SALTS = 64
+BOUNDS = {"not_after": "created_at", "source_filters": "source_type"}  # of a question: the chunk's column it is held against
 QUERY_BLOCK = 4096  # question vectors one task holds at a time
 
 
 def question_terms(questions: DataFrame, query_id: str = "query_id", text: str = "question") -> DataFrame:
-    """``(query_id, token, qw[, not_after])`` with qw = tf / max tf of the question."""
-    carry = [c for c in ("not_after",) if c in questions.columns]
+    """``(query_id, token, qw[, not_after, source_filters])`` with qw = tf / max tf of the question."""
+    carry = [c for c in BOUNDS if c in questions.columns]
     weights = term_weights(questions.select(query_id, text, *carry), query_id, text, carry)
     return weights.select(query_id, "token", F.col("weight").alias("qw"), *carry)
 
 
+def any_source(filters: str) -> Column:
+    """Whether a question admits every source: no list, or an empty one."""
+    return F.coalesce(F.size(filters), F.lit(0)) <= 0
+
+
+def _carried(questions: DataFrame) -> list[str]:
+    return [column for bound, column in BOUNDS.items() if bound in questions.columns]
+
+
 def _ranked(postings: DataFrame, asked: DataFrame, small: bool, weight: Column, k: int) -> DataFrame:
     """Meet on token, sum per (question, chunk), keep the best k per question.
 
@@ -44,6 +54,8 @@ def _ranked(postings: DataFrame, asked: DataFrame, small: bool, weight: Column,
     if "not_after" in asked.columns:
         unbounded = F.col("not_after").isNull()
         met = met.where(unbounded | as_of(F.col("created_at"), F.col("not_after")))
+    if "source_filters" in asked.columns:
+        met = met.where(any_source("source_filters") | F.array_contains("source_filters", F.col("source_type")))
     scores = met.groupBy("query_id", "chunk_id").agg(F.round(F.sum(weight), 9).alias("score"))
     return top_k(scores, ["query_id"], [F.desc("score"), F.asc("chunk_id")], k)
 
@@ -51,10 +63,11 @@ def _ranked(postings: DataFrame, asked: DataFrame, small: bool, weight: Column,
 def sparse_tf_dot(questions: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     """Top-k chunks per question by the dot product of tf / max-tf weights.
 
-    ``questions(query_id, question[, not_after])``, ``chunks(chunk_id, content[, created_at])``.
+    ``questions(query_id, question[, not_after, source_filters])``,
+    ``chunks(chunk_id, content[, created_at, source_type])``.
     """
     asked = question_terms(questions)
-    carry = ["created_at"] if "not_after" in questions.columns else []
+    carry = _carried(questions)
     postings = term_weights(chunks, "chunk_id", "content", carry).drop("idx")
     return _ranked(postings, asked, fits_broadcast(asked), F.col("qw") * F.col("weight"), k)
 
@@ -64,7 +77,7 @@ def sparse_bm25(
 ) -> DataFrame:
     """Top-k chunks per question by Okapi BM25 over the distinct question tokens."""
     asked = question_terms(questions).drop("qw")
-    carry = ["created_at"] if "not_after" in questions.columns else []
+    carry = _carried(questions)
     small = fits_broadcast(asked)
     hint = F.broadcast if small else (lambda df: df)
     wanted = asked.select("token").distinct()
@@ -245,6 +258,26 @@ def dense_cosine(
     return top_k(scored, ["query_id"], [F.desc("score"), F.asc("chunk_id")], k)
 
 
+def dense_by_source(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+    """``dense_cosine`` where each question may name its own ``source_filters``.
+
+    Chunks are ranked source by source for the questions that name the source, and the best of
+    a question's sources are merged, so a source's chunks are read once however many questions
+    name it.  Sources are connectors, of which there are a handful; names that no chunk has are
+    left out.  A question without a list, or with an empty one, meets all chunks.
+    """
+    if "source_filters" not in queries.columns:
+        return dense_cosine(queries, chunks, k)
+    named = queries.select(F.explode("source_filters").alias("source_type")).distinct()
+    held = chunks.select("source_type").distinct().join(named, "source_type", "left_semi")
+    parts = [(queries.where(any_source("source_filters")), chunks)]
+    for source in sorted(r["source_type"] for r in held.collect()):
+        wants = F.array_contains("source_filters", F.lit(source))
+        parts.append((queries.where(wants), chunks.where(F.col("source_type") == source)))
+    found = [dense_cosine(asked.drop("source_filters"), own, k).drop("rank") for asked, own in parts]
+    return top_k(reduce(DataFrame.unionByName, found), ["query_id"], [F.desc("score"), F.asc("chunk_id")], k)
+
+
 # --------------------------------------------------------------------------- fusion
 
 

@@ -41,7 +41,7 @@ corpus AS (SELECT count(*)::DOUBLE AS n, avg(dl) AS avgdl FROM (SELECT chunk_id,
 BM25_TERM = """ln(1 + (n - df + 0.5) / (df + 0.5)) * cw.tf * 2.2 / (cw.tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))"""
 
 
-def _top(scores: str, k: int, out: str) -> str:
+def _top(scores: str, k: int | str, out: str) -> str:
     return f"""{out} AS (SELECT * FROM (SELECT *, row_number() OVER (
         PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM ({scores})) WHERE rank <= {k})"""
 
@@ -245,18 +245,24 @@ def query_weights(spark, folder):
     )
 
 
-_HYBRID = f"""{BASE}, {_ASKED}, {SPARSE}, {DF}, {WEIGHTS},
-{_top('''SELECT query_id, chunk_id, round(list_cosine_similarity(v, qv), 9) AS score FROM asked, cv
-         WHERE created_at <= not_after''', 12, "dense")},
+def _hybrid_sql(limit: str = "4", admitted: str = "TRUE") -> str:
+    """Fused candidates; ``limit`` and ``admitted`` may depend on ``query_id`` (and ``source_type``)."""
+    return f"""{BASE}, {_ASKED}, {SPARSE}, {DF}, {WEIGHTS},
+{_top(f'''SELECT query_id, chunk_id, round(list_cosine_similarity(v, qv), 9) AS score FROM asked, cv
+         WHERE created_at <= not_after AND {admitted}''', f"{limit} * 3", "dense")},
 {_top(f'''SELECT query_id, chunk_id, round(sum({BM25_TERM}), 9) AS score
-    FROM cw JOIN qw USING (token) JOIN dfs USING (token) JOIN (SELECT query_id, not_after FROM asked) USING (query_id), corpus
-    WHERE cw.created_at <= not_after GROUP BY query_id, chunk_id''', 12, "sparse")},
+    FROM cw JOIN qw USING (token) JOIN dfs USING (token) JOIN (SELECT query_id, not_after FROM asked) USING (query_id)
+      JOIN (SELECT chunk_id, source_type FROM chunks) USING (chunk_id), corpus
+    WHERE cw.created_at <= not_after AND {admitted} GROUP BY query_id, chunk_id''', f"{limit} * 3", "sparse")},
 fused AS (SELECT query_id, chunk_id, round(coalesce(w_dense * (1.0::DOUBLE / (60 + d.rank)), 0)
       + coalesce(w_sparse * (1.0::DOUBLE / (60 + s.rank)), 0), 12) AS score
   FROM (SELECT query_id, chunk_id, rank FROM dense) d FULL JOIN (SELECT query_id, chunk_id, rank FROM sparse) s
     USING (query_id, chunk_id) JOIN weights USING (query_id))"""
 
 
+_HYBRID = _hybrid_sql()
+
+
 def _stored_chunks(spark, folder):
     """The chunk table as ingest leaves it: written once, then each retriever reads its columns."""
     root = scratch(spark, "chunks")
@@ -280,7 +286,8 @@ def fused_ranking(spark, folder):
     return _shown(top_k(fused, ["query_id"], [F.desc("score"), F.asc("chunk_id")], 8))
 
 
-_ANSWER = f"""{_HYBRID}, {_top("SELECT * FROM fused", 8, "best")},
+def _answer_sql(limit: str = "4", admitted: str = "TRUE") -> str:
+    return f"""{_hybrid_sql(limit, admitted)}, {_top("SELECT * FROM fused", f"{limit} * 2", "best")},
 scored AS (SELECT query_id, chunk_id, round(
     (SELECT count(*) FROM (SELECT token FROM qtf WHERE qtf.query_id = b.query_id) q
        JOIN ctf ON ctf.chunk_id = b.chunk_id AND ctf.token = q.token)
@@ -288,7 +295,10 @@ scored AS (SELECT query_id, chunk_id, round(
     * CASE WHEN c.tier = 'A' THEN 1.25::DOUBLE ELSE 1 END * CASE WHEN c.accepted THEN 1.15::DOUBLE ELSE 1 END
     * CASE WHEN c.resolution_status = 'deprecated' THEN 0.3::DOUBLE ELSE 1 END
     * exp(-0.02::DOUBLE * greatest(0, epoch({NOW_SQL} - c.created_at) / 86400)), 9) AS score
-  FROM best b JOIN chunks c USING (chunk_id)), {_top("SELECT * FROM scored", 4, "answer")}"""
+  FROM best b JOIN chunks c USING (chunk_id)), {_top("SELECT * FROM scored", limit, "answer")}"""
+
+
+_ANSWER = _answer_sql()
 
 
 @query("hybrid_retrieval", f"{_ANSWER} SELECT query_id, chunk_id, round(score, 6) AS final_score, rank FROM answer")
@@ -300,6 +310,28 @@ def hybrid_retrieval(spark, folder):
     return found.select("query_id", "chunk_id", F.round("final_score", 6).alias("final_score"), "rank")
 
 
+# Requests: sources of their own by query_id (none named, one, two, one of them unknown), one to five chunks.
+_FILTERS = [[], ["jira"], ["runbook", "github"], ["slack", "nothing"]]
+_ADMITTED = """CASE query_id % 4 WHEN 0 THEN TRUE WHEN 1 THEN source_type = 'jira'
+    WHEN 2 THEN source_type IN ('runbook', 'github') ELSE source_type IN ('slack', 'nothing') END"""
+
+
+@query(
+    "knowledge_requests",
+    f"{_answer_sql('(1 + query_id % 5)', _ADMITTED)} SELECT query_id, chunk_id, round(score, 6) AS final_score, rank FROM answer",
+)
+def knowledge_requests(spark, folder):
+    """The hybrid flow for requests that each name their sources and their number of chunks."""
+    stored = _stored_chunks(spark, folder)
+    lists = F.array(*[F.array(*[F.lit(s) for s in x]) if x else F.array().cast("array<string>") for x in _FILTERS])
+    n = F.col("query_id")
+    asked = _asked(spark, folder).select(
+        "*", F.element_at(lists, (n % 4 + 1).cast("int")).alias("source_filters"), (1 + n % 5).cast("int").alias("max_chunks")
+    )
+    found = retrieve(asked, stored, 4, _index(spark, stored, ["created_at", "source_type"]), recency_now=NOW)
+    return found.select("query_id", "chunk_id", F.round("final_score", 6).alias("final_score"), "rank")
+
+
 @query(
     "top_chunk_pairs",
     f"""{BASE}, {SPARSE}, {_top(TF_DOT, 5, "ranked")}

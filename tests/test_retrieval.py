@@ -197,6 +197,25 @@ def test_fallback(spark):
         assert [g[1] for g in got if g[0] == query_id] == [90, 91, 92, 93]
 
 
+def test_requests_with_sources_and_limits_of_their_own(spark):
+    chunks = spark.createDataFrame(
+        [(f"c{i:02d}", f"word{i % 6} common text {i}", [float(i % 5), 1.0, float(i % 3)], T0, "B", False, "open", 1.0, f"s{i % 3}") for i in range(30)],
+        "chunk_id string, content string, vector array<double>, created_at timestamp, authority_tier string, "
+        "is_accepted_answer boolean, resolution_status string, recency_score double, source_type string",
+    )
+    shape = "query_id int, question string, vector array<double>, source_filters array<string>, max_chunks int"
+    cases = [(1, ["s1"], 2), (2, [], 3), (3, None, None), (4, ["s0", "s2", "nothing"], 5), (5, ["nothing"], 4), (6, ["s1", None], 0), (7, ["s2"], 1)]
+    rows = [(q, "word1 common", [1.0, 1.0, 0.0], filters, limit) for q, filters, limit in cases]
+    show = ("query_id", "chunk_id", "rank", "final_score")
+    together = values(retrieve(spark.createDataFrame(rows, shape), chunks, 4, postings(chunks, ["source_type"])), *show)
+    for q, filters, limit in cases:
+        own = [r for r in together if r[0] == q]
+        assert len(own) == (0 if filters == ["nothing"] else 4 if limit is None else limit)
+        assert not filters or {f"s{int(r[1][1:]) % 3}" for r in own} <= set(filters)
+    plain = spark.createDataFrame([(2, "word1 common", [1.0, 1.0, 0.0])], "query_id int, question string, vector array<double>")
+    assert [r for r in together if r[0] == 2] == values(retrieve(plain, chunks, 3), *show)
+
+
 def test_hybrid_limits_and_fetch_paths(spark, monkeypatch):
     n = 40
     chunks = spark.createDataFrame(
