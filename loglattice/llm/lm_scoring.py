@@ -33,7 +33,8 @@ LEVELS = 255  # quantised values of a shard; code 0 says "not there"
 START = np.uint64(xxhash.xxh3_64_intdigest(b" "))  # no word has white space, nor is empty
 END = np.uint64(xxhash.xxh3_64_intdigest(b""))
 HOT_SHARE = 64  # a context with 1 / (64 shards) of all tokens is dealt by successor
-BLOCK = 4 << 20  # bytes of text in a block
+BLOCK = 16 << 20  # bytes of text in a block
+SHARD = 3 << 20  # bytes of the table a shard stands for
 COUNT, TOTAL = 0, 1
 
 
@@ -396,9 +397,7 @@ def answered(packed: DataFrame, shards: int, hot: tuple[np.ndarray, np.ndarray,
                     h = block.known[contexts]
                     count = trained[own].astype(np.uint8 if trained[own].max(initial=0) < 256 else np.uint32)
                     sent.append(s)
-                    follows, place = np.unique(word[own], return_inverse=True)
-                    place = place.astype(np.uint16 if len(follows) <= 65536 else np.uint32)
-                    loads.append(c.squeezed([h, length.astype(np.uint32), block.known[follows], place, count]))
+                    loads.append(c.squeezed([h, length.astype(np.uint32), block.known[word[own]], count]))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(sent, pa.int32()), pa.array([name] * len(sent), pa.int64()), pa.array(loads, pa.binary())],
                     ["shard", "block", "load"],
@@ -412,13 +411,12 @@ def answered(packed: DataFrame, shards: int, hot: tuple[np.ndarray, np.ndarray,
         loads = [c.unsqueezed(r[2]) for r in rows]
         asked, rank = np.unique(np.concatenate([x[0] for x in loads]), return_inverse=True)
         words, number = np.unique(np.concatenate([x[2] for x in loads]), return_inverse=True)
-        before = np.cumsum([0] + [len(x[2]) for x in loads])
-        number = np.concatenate([number[a : a + len(x[2])][x[3]] for a, x in zip(before.tolist(), loads)])
-        pair = np.repeat(rank, np.concatenate([x[1] for x in loads])) * len(words) + number
+        lengths = np.concatenate([x[1] for x in loads])
+        pair = np.repeat(rank, lengths) * len(words) + number
         del number
         by = np.argsort(pair)
         first = np.flatnonzero(np.diff(pair[by], prepend=-1))
-        count = np.concatenate([x[4].astype(np.int64) for x in loads])[by]
+        count = np.concatenate([x[3].astype(np.int64) for x in loads])[by]
         count = np.add.reduceat(count, first) if len(first) else count
         times, pair = np.diff(np.append(first, len(by))), pair[by[first]]  # distinct, by context and word
         own = np.flatnonzero(count)
@@ -440,9 +438,9 @@ def answered(packed: DataFrame, shards: int, hot: tuple[np.ndarray, np.ndarray,
 
         has, codes, values = mapped(raw, ask)
         found, at, end = [], 0, 0
-        for (shard, name, _), (h, _, _, place, _) in zip(rows, loads):
-            found.append((shard, name, c.squeezed([has[at : at + len(h)], codes[end : end + len(place)], values])))
-            at, end = at + len(h), end + len(place)
+        for (shard, name, _), (h, _, follows, _) in zip(rows, loads):
+            found.append((shard, name, c.squeezed([has[at : at + len(h)], codes[end : end + len(follows)], values])))
+            at, end = at + len(h), end + len(follows)
         types = (pa.int32(), pa.int64(), pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], k) for i, k in enumerate(types)], ["shard", "block", "load"])
 
@@ -460,7 +458,7 @@ def scored(docs: DataFrame, training: Column) -> DataFrame:
     nothing to learn from, all tokens are unknown; an empty table gives an empty one; other
     columns are not read.  Tokens are told apart by 64-bit hashes.
     """
-    shards = c.shards_for(docs)
+    shards = c.shards_for(docs, SHARD)
     packed = c.stored(blocks(docs, F.coalesce(training, F.lit(False))), "blocks")
     unigrams = c.stored(counted(packed, shards), "unigrams")
     sums = unigrams.agg(F.sum("n_tokens"), F.sum("n_kinds")).first()
