@@ -19,8 +19,12 @@ from loglattice.streaming import jobs
 
 
 def _stream(spark, folder, name):
+    """A table as a stream, be it one file or a folder of part files.
+
+    Braces make the path a pattern: a plain path of a stream has to be a folder.
+    """
     schema = read_table(spark, folder, name).schema
-    return jobs.read_stream(spark, folder, f"{name}.parquet", schema)
+    return jobs.read_stream(spark, f"{folder}/{{{name}.parquet}}", "*", schema)
 
 
 def _drained(spark, frame, name):

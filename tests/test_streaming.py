@@ -2,12 +2,16 @@
 
 from datetime import datetime
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from helpers import values
 from pyspark.sql import functions as F
 
 from loglattice.functions.masking import mask_rows
 from loglattice.operators.indexing import prepare_chunks
+from loglattice.plans import load_all
+from loglattice.plans.registry import QUERIES
 from loglattice.sources import versions
 from loglattice.streaming import jobs
 
@@ -79,3 +83,23 @@ def test_bursts_close_behind_the_watermark(spark, tmp_path, gap):
     out = str(tmp_path / "out")
     jobs.drain(found.writeStream.format("parquet").option("path", out), str(tmp_path / "c"))
     assert values(spark.read.parquet(out), "u", "n_events") == [("u", 5)]
+
+
+@pytest.mark.parametrize("name", ["stream_catalog_refresh", "stream_ingest", "stream_masking"])
+def test_a_streamed_table_may_be_a_file_or_a_folder(spark, tmp_path, name):
+    load_all()
+    tables = {
+        "labels": [{"doc_id": i, "quality": i % 2, "toxic": 0} for i in range(6)],
+        "documents": [{"doc_id": i, "text": f"text {i} ERR_X", "lang": "en", "source": f"src{i}"} for i in range(6)],
+        "pages": [{"page_id": i, "url": f"http://a.b/{i}", "html": f"<p>mail a{i}@b.io</p>"} for i in range(6)],
+        "customer": [{"c_custkey": i, "c_name": f"n{i}", "c_nationkey": i % 3, "c_acctbal": 1.5 * i, "c_mktsegment": "x"} for i in range(6)],
+    }
+    files, folders = tmp_path / "files", tmp_path / "folders"
+    for table, rows in tables.items():
+        (folders / f"{table}.parquet").mkdir(parents=True)
+        files.mkdir(exist_ok=True)
+        pq.write_table(pa.Table.from_pylist(rows), files / f"{table}.parquet")
+        for i, part in enumerate([rows[:2], rows[2:]]):
+            pq.write_table(pa.Table.from_pylist(part), folders / f"{table}.parquet" / f"part-{i}.parquet")
+    whole, parts = (QUERIES[name](spark, str(f)) for f in (files, folders))
+    assert values(parts, *whole.columns) == values(whole, *whole.columns) != []
