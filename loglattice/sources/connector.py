@@ -22,6 +22,7 @@ from pyspark.sql.pandas.types import from_arrow_schema
 from pyspark.sql.types import StructType
 
 BEFORE_ALL = -(1 << 62)
+BATCH_ROWS, BUFFER_BYTES = 256, 1 << 20  # what a task holds of a row group, however large that is
 
 
 class Client(Protocol):
@@ -85,8 +86,8 @@ class ParquetClient:
 
     def rows(self, part: tuple[str, list[int]], after: int | None, upto: int | None) -> Iterator[pa.RecordBatch]:
         files, _ = self._open()
-        with pq.ParquetFile(part[0], filesystem=files) as file:
-            for batch in file.iter_batches(row_groups=part[1]):
+        with pq.ParquetFile(part[0], filesystem=files, buffer_size=BUFFER_BYTES, pre_buffer=False) as file:
+            for batch in file.iter_batches(BATCH_ROWS, row_groups=part[1], use_threads=False):
                 keep = None
                 for bound, passes in ((after, pc.greater), (upto, pc.less_equal)):
                     if bound is not None:

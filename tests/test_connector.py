@@ -67,3 +67,12 @@ def test_null_marks_and_empty_stores(spark, tmp_path):
     empty = spark.readStream.format("marked").option("path", str(tmp_path / "y.parquet")).load()
     jobs.drain(empty.writeStream.format("parquet").option("path", str(tmp_path / "out")), str(tmp_path / "cp"))
     assert spark.read.schema(empty.schema).parquet(str(tmp_path / "out")).count() == 0
+
+
+def test_a_large_row_group_is_read_in_small_batches(tmp_path):
+    pq.write_table(pa.table({"m": range(5000), "t": ["a" * 50] * 5000}), tmp_path / "x.parquet")
+    client = connector.ParquetClient(str(tmp_path / "x.parquet"), "m")
+    [part] = client.slices(None, None)
+    batches = list(client.rows(part, 99, 4899))
+    assert max(b.num_rows for b in batches) <= 1000
+    assert [m for b in batches for m in b.column("m").to_pylist()] == list(range(100, 4900))
