@@ -6,8 +6,9 @@ import logging
 import re
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
@@ -100,10 +101,12 @@ def expiry_stream(
     With ``by_clock`` it fires that many seconds after the last arrival, also in a stream that has
     gone quiet as a whole.  Late rows that bridge two open sessions join them.
 
-    Rows collapse to spans in every task before the shuffle, so a hot group moves few rows.
+    Rows collapse to spans in every task before the shuffle, so a hot group moves few rows.  A group
+    has one timer, for its next end; when it fires, all ends that have passed are given out at once.
     """
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     gap = pd.Timedelta(seconds=ttl_seconds)
+    gap_us = ttl_seconds * 1_000_000
     named = events.select(*group, F.col(ts).cast("timestamp").alias("first")).where("first IS NOT NULL")
     kinds = [f"`{c}` {named.schema[c].dataType.simpleString()}" for c in group]
 
@@ -112,48 +115,71 @@ def expiry_stream(
             if len(rows):
                 yield _merged(rows.assign(last=rows["first"], n=1), group, gap)
 
-    spans = named.mapInPandas(collapse, ", ".join([*kinds, "first timestamp", "last timestamp", "n bigint"]))
+    ended_row = Row(*group, "started", "expires", "n_events")
 
     class Sessions(StatefulProcessor):
         def init(self, handle) -> None:
             self.handle = handle
-            self.open = handle.getListState("open", "first timestamp, last timestamp, n bigint, due bigint")
+            self.open = handle.getValueState("open", "spans binary")  # int64: first, last, n, due of each
+
+        def _held(self) -> list[tuple[int, ...]]:
+            spans = self.open.get()
+            return [] if spans is None else [tuple(x) for x in np.frombuffer(spans[0], np.int64).reshape(-1, 4).tolist()]
 
-        def _due(self, last: pd.Timestamp, now_ms: int) -> int:
-            return now_ms + ttl_seconds * 1000 if by_clock else -(-last.value // 1_000_000) + ttl_seconds * 1000
+        def _hold(self, spans: list[tuple[int, ...]]) -> None:
+            self.open.update((np.array(spans, np.int64).tobytes(),))
+
+        def _due(self, last: int, now_ms: int) -> int:
+            return now_ms + ttl_seconds * 1000 if by_clock else -(-last // 1000) + ttl_seconds * 1000
 
         def handleInputRows(self, key, rows, timerValues):
-            new = pd.concat(list(rows))[["first", "last", "n"]]
-            old = pd.DataFrame([tuple(x)[:3] for x in self.open.get()], columns=["first", "last", "n"])
-            known = pd.concat([old.astype(new.dtypes.to_dict()), new]) if len(old) else new
-            kept = _merged(known, [], gap)
+            held = self._held()
+            spans = sorted([x[:3] for x in held] + [(r["first_us"], r["last_us"], r["n"]) for r in rows])
+            kept = []
+            for first, last, n in spans:
+                if kept and first - kept[-1][1] < gap_us:
+                    kept[-1] = (kept[-1][0], max(kept[-1][1], last), kept[-1][2] + n)
+                else:
+                    kept.append((first, last, n))
             now = timerValues.getCurrentProcessingTimeInMs()
-            listed = [(r.first, r.last, int(r.n), self._due(r.last, now)) for r in kept.itertuples(index=False)]
-            self.open.put([(a.to_pydatetime(), b.to_pydatetime(), n, due) for a, b, n, due in listed])
-            for due in {x[3] for x in listed}:
-                self.handle.registerTimer(due)
+            listed = [(*x, self._due(x[1], now)) for x in kept]
+            self._hold(listed)
+            self._wait(min(x[3] for x in listed), min((x[3] for x in held), default=None))
             return iter([])
 
+        def _wait(self, due: int, before: int | None) -> None:
+            """The group's one timer."""
+            if before is not None and before != due:
+                self.handle.deleteTimer(before)
+            if before != due:
+                self.handle.registerTimer(due)
+
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
             fired = expiredTimerInfo.getExpiryTimeInMs()
-            held = [tuple(x) for x in self.open.get()]
-            over, left = [x for x in held if x[3] <= fired], [x for x in held if x[3] > fired]
+            passed = timerValues.getCurrentProcessingTimeInMs() if by_clock else timerValues.getCurrentWatermarkInMs()
+            held = self._held()
+            over = [x for x in held if x[3] <= max(fired, passed)]
+            left = [x for x in held if x[3] > max(fired, passed)]
             if left:
-                self.open.put(left)
+                self._hold(left)
+                self.handle.registerTimer(min(x[3] for x in left))
             else:
                 self.open.clear()
-            if over:
-                out = {c: [k] * len(over) for c, k in zip(group, key)}
-                yield pd.DataFrame({**out, "started": [x[0] for x in over], "expires": [x[1] + gap for x in over], "n_events": [x[2] for x in over]})
+            for first, last, n, _ in over:
+                yield ended_row(*key, first, last + gap_us, n)
 
         def close(self) -> None:
             pass
 
+    spans = named.mapInPandas(collapse, ", ".join([*kinds, "first timestamp", "last timestamp", "n bigint"]))
+    micros = [F.unix_micros(c).alias(f"{c}_us") for c in ("first", "last")]
     timed = spans if by_clock else spans.withWatermark("first", late)
-    return timed.groupBy(*group).transformWithStateInPandas(
-        Sessions(), ", ".join([*kinds, "started timestamp", "expires timestamp", "n_events bigint"]),
+    ended = timed.select("first", *group, *micros, "n").groupBy(*group).transformWithState(
+        Sessions(), ", ".join([*kinds, "started bigint", "expires bigint", "n_events bigint"]),
         "Append", "ProcessingTime" if by_clock else "EventTime",
     )
+    moment = lambda c: F.timestamp_micros(c).alias(c)
+    return ended.select(*group, moment("started"), moment("expires"), "n_events")
 
 
 def active_sessions(events: DataFrame, key: str, ts: str, now, ttl_seconds: int = SESSION_TTL_SECONDS) -> DataFrame:

@@ -44,6 +44,17 @@ def test_timers_end_sessions_like_the_batch(spark, tmp_path, seed):
     assert got == sessions(events, timedelta(hours=2))
 
 
+def test_many_sessions_of_one_user_end_at_once(spark, tmp_path):
+    """The work of a trigger follows its sessions; one timer each took time with their square."""
+    rows = [("a", T0 + timedelta(hours=3 * i), 1) for i in range(4000)]
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(str(tmp_path / "in"))
+    found = jobs.expiry_stream(spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in")), ["user"], "at", 7200)
+    began = time.time()
+    jobs.drain(found.writeStream.format("parquet").option("path", str(tmp_path / "out")), str(tmp_path / "cp"))
+    assert time.time() - began < 60
+    assert values(spark.read.parquet(str(tmp_path / "out")), "user", "started", "n_events") == [("a", r[1], 1) for r in rows[:-1]]
+
+
 def test_a_quiet_stream_still_ends_its_sessions(spark, tmp_path):
     rows = [("a", T0, 1), ("a", T0 + timedelta(seconds=1), 1), ("b", T0, 1)]
     spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(str(tmp_path / "in"))
