@@ -119,9 +119,12 @@ def _ranked(index: DataFrame, terms: DataFrame, part: Column, k: int, limits: li
     found = written(candidates(index, split, part, limits, hint), "candidates")
     common = split.where("NOT essential").select("query_id", "token", "factor")
     lookups = found.select("query_id", "chunk_id").join(hint(common), "query_id")
-    small = F.broadcast if fits_broadcast(lookups) else (lambda df: df)
-    added = index.join(small(lookups), ["chunk_id", "token"]).select("query_id", "chunk_id", (F.col("factor") * part).alias("part"))
-    scores = found.unionByName(added).groupBy("query_id", "chunk_id").agg(F.round(F.sum("part"), 9).alias("score"))
+    if fits_broadcast(lookups):
+        added = index.join(F.broadcast(lookups), ["chunk_id", "token"])
+        parts = found.unionByName(added.select("query_id", "chunk_id", (F.col("factor") * part).alias("part")))
+    else:  # bounds that leave so many candidates save nothing: all tokens are met where the postings lie
+        parts = _met(index, split.select("query_id", "token", "factor", *limits), part, limits, hint)
+    scores = parts.groupBy("query_id", "chunk_id").agg(F.round(F.sum("part"), 9).alias("score"))
     return top_k(scores, ["query_id"], [F.desc("score"), F.asc("chunk_id")], k)
 
 

@@ -8,7 +8,7 @@ from helpers import values
 from pyspark.sql import functions as F
 
 from loglattice.operators import bounded, retrieval
-from loglattice.operators.indexing import postings
+from loglattice.operators.indexing import postings, save_postings
 
 T0 = datetime(2026, 1, 1)
 COLUMNS = ("query_id", "chunk_id", "score", "rank")
@@ -60,6 +60,18 @@ def test_limits_of_each_question(zipf, by_bounds, whole):
     assert values(got, "query_id", "chunk_id", "score") == expected
 
 
+def test_many_candidates_leave_the_index_in_place(spark, zipf, monkeypatch, tmp_path):
+    """Too many lookups to travel: the postings are met where they lie, not moved by (chunk, token)."""
+    questions, chunks = zipf
+    save_postings(postings(chunks), "many_candidates", 4, str(tmp_path / "many_candidates"))
+    fits = bounded.fits_broadcast
+    monkeypatch.setattr(bounded, "fits_broadcast", lambda df, *a: "chunk_id" not in df.columns and fits(df, *a))
+    got = bounded.bounded_bm25(questions, spark.table("many_candidates"), 5)
+    assert values(got, *COLUMNS) == values(retrieval.sparse_bm25(questions, chunks, 5), *COLUMNS)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("hashpartitioning(chunk_id") == 0
+
+
 def test_no_rows_for_common_tokens(spark, zipf):
     """Questions with rare words: "the", in all 600 chunks, is not essential and names no candidate."""
     _, chunks = zipf
