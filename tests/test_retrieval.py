@@ -7,9 +7,10 @@ from helpers import values
 from pyspark.sql import functions as F
 
 from loglattice.functions import scoring
-from loglattice.operators import retrieval
+from loglattice.operators import indexing, retrieval
 from loglattice.operators.indexing import postings, save_postings, with_vectors
 from loglattice.operators import scale
+from loglattice.plans import ranking
 from loglattice.plans.knowledge import retrieve
 
 T0 = datetime(2026, 1, 1)
@@ -255,6 +256,25 @@ def test_stored_index_shuffles_no_terms(spark, corpus, tmp_path):
     assert above.count("Exchange") == 1  # only the last top-k moves rows
 
 
+def test_a_task_counts_the_terms_of_a_bounded_text(spark, monkeypatch):
+    """Four times the text takes four times the tasks."""
+    monkeypatch.setattr(indexing, "TASK_TEXT", 1000)
+    most = []
+    for n in (400, 1600):
+        chunks = spark.range(n).select(F.format_string("c%04d", "id").alias("chunk_id"), F.lit("some words of one chunk").alias("content"))
+        weights = indexing.term_weights(chunks, "chunk_id", "content")
+        most.append(max(r["n"] for r in weights.groupBy(F.spark_partition_id()).agg(F.countDistinct("chunk_id").alias("n")).collect()))
+    assert most[1] < 2 * most[0] < 200
+
+
+def test_the_stored_index_has_as_many_buckets_as_its_text_needs(spark, monkeypatch):
+    monkeypatch.setattr(indexing, "TASK_TEXT", 50)
+    chunks = spark.createDataFrame([(f"c{i}", f"some words of chunk {i}") for i in range(40)], "chunk_id string, content string")
+    index = ranking._index(spark, chunks)
+    files = {f.split("_")[-1] for f in index.inputFiles()}
+    assert index.select("chunk_id").distinct().count() == 40 and len(files) > 8
+
+
 def test_supplied_embedder_and_scorer(spark):
     @F.pandas_udf("array<float>")
     def embed(content: pd.Series) -> pd.Series:
