@@ -55,6 +55,17 @@ def test_many_sessions_of_one_user_end_at_once(spark, tmp_path):
     assert values(spark.read.parquet(str(tmp_path / "out")), "user", "started", "n_events") == [("a", r[1], 1) for r in rows[:-1]]
 
 
+def test_rows_without_a_user_leave_the_other_users_alone(spark, tmp_path):
+    events = [(None if i % 3 == 0 else i % 7, T0 + timedelta(minutes=50 * i)) for i in range(300)]
+    closing = (99, T0 + timedelta(days=30))
+    rows = spark.createDataFrame([*events, closing], "user bigint, at timestamp")
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    found = jobs.expiry_stream(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), ["user"], "at", 7200)
+    jobs.drain(found.writeStream.format("parquet").option("path", str(tmp_path / "out")), str(tmp_path / "cp"))
+    got = sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect()), key=str)
+    assert got == sessions(events, timedelta(hours=2))
+
+
 def test_a_quiet_stream_still_ends_its_sessions(spark, tmp_path):
     rows = [("a", T0, 1), ("a", T0 + timedelta(seconds=1), 1), ("b", T0, 1)]
     spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(str(tmp_path / "in"))
