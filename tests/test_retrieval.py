@@ -1,3 +1,4 @@
+import re
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -267,6 +268,21 @@ def test_a_task_counts_the_terms_of_a_bounded_text(spark, monkeypatch):
     assert most[1] < 2 * most[0] < 200
 
 
+@pytest.mark.parametrize("scorer", [retrieval.sparse_tf_dot, retrieval.sparse_bm25])
+def test_a_task_sums_the_scores_of_a_bounded_text(spark, monkeypatch, scorer):
+    """Sums per (question, chunk) stay where the text is, in as many tasks as the text needs."""
+    monkeypatch.setattr(indexing, "TASK_TEXT", 1000)
+    text = "some words of one chunk"
+    questions = spark.createDataFrame([(1, "some words"), (2, "one chunk")], "query_id int, question string")
+    for n in (400, 1600):
+        chunks = spark.range(n).select(F.format_string("c%04d", "id").alias("chunk_id"), F.lit(text).alias("content"))
+        ranked = scorer(questions, chunks, 3)
+        plan = ranked._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(chunk_id#" in plan and f", {-(-n * len(text) // 1000)}), REPARTITION_BY_NUM" in plan
+        assert "hashpartitioning(query_id#" in plan and not re.search(r"hashpartitioning\(query_id#\w+, chunk_id", plan)
+        assert ranked.count() == 6
+
+
 def test_the_stored_index_has_as_many_buckets_as_its_text_needs(spark, monkeypatch):
     monkeypatch.setattr(indexing, "TASK_TEXT", 50)
     chunks = spark.createDataFrame([(f"c{i}", f"some words of chunk {i}") for i in range(40)], "chunk_id string, content string")
