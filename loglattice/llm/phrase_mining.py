@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from loglattice.llm import common as c
 from loglattice.llm.registry import query
+from loglattice.operators.scale import small_side
 
 LONGEST, LEAST, BEST = 5, 100, 2000
 NO_LANG = "und"
@@ -437,6 +438,12 @@ def phrase_counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -
     return n, vocabulary, grams
 
 
+def _merged(df: DataFrame) -> DataFrame:
+    """``df`` for a join by sorting.  Words and n-grams grow with the corpus, but lie in files a
+    fraction of their size, from which the planner would take them to fit in a broadcast."""
+    return df.hint("merge")
+
+
 def candidates(grams: DataFrame) -> DataFrame:
     """``grams`` with the largest count of any extension by a word to the left and to the right;
     null where no extension is frequent."""
@@ -446,7 +453,7 @@ def candidates(grams: DataFrame) -> DataFrame:
         F.struct(F.slice("words", 1, k - 1).alias("words"), F.lit(None).cast("long").alias("left"), F.col("a").alias("right")),
     )
     beyond = grams.where(k > 2).select(F.explode(parents).alias("p")).groupBy("p.words").agg(F.max("p.left").alias("left"), F.max("p.right").alias("right"))
-    return grams.join(beyond, "words", "left")
+    return grams.join(_merged(beyond), "words", "left")
 
 
 def _number(column: str) -> str:
@@ -469,7 +476,7 @@ def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, be
     whole = candidates(grams).where(F.greatest(F.coalesce("left", F.lit(0)), F.coalesce("right", F.lit(0))) < F.col("a"))
     whole = c.stored(whole, "phrase-candidates")
     spelled = (
-        whole.select("words", F.posexplode("words").alias("pos", "id")).join(vocabulary.select("id", "lang", "word"), "id")
+        whole.select("words", F.posexplode("words").alias("pos", "id")).join(_merged(vocabulary.select("id", "lang", "word")), "id")
         .groupBy("words").agg(F.first("lang").alias("lang"), F.sort_array(F.collect_list(F.struct("pos", "word"))).alias("_text"))
         .select("words", "lang", F.array_join(F.col("_text.word"), " ").alias("phrase"))
     )
@@ -478,9 +485,9 @@ def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, be
     cuts = whole.select("words", "a", "left", "right", F.explode(F.sequence(F.lit(1), size - 1)).alias("cut"))
     scored = (
         cuts.withColumns({"_first": F.slice("words", F.lit(1), F.col("cut")), "_rest": F.slice("words", F.col("cut") + 1, size - F.col("cut"))})
-        .join(counts.select(F.col("words").alias("_first"), F.col("a").alias("l")), "_first")
-        .join(counts.select(F.col("words").alias("_rest"), F.col("a").alias("r")), "_rest")
-        .join(spelled, "words").join(n, "lang")
+        .join(_merged(counts.select(F.col("words").alias("_first"), F.col("a").alias("l"))), "_first")
+        .join(_merged(counts.select(F.col("words").alias("_rest"), F.col("a").alias("r"))), "_rest")
+        .join(_merged(spelled), "words").join(small_side(n), "lang")
         .withColumn("score", F.expr(f"CAST(1000 AS DECIMAL(4, 0)) * {_number('a')} * {_number('n')} DIV ({_number('l')} * {_number('r')})"))
         .groupBy("lang", "phrase", "a", "left", "right", "n").agg(F.min(F.struct("score", "cut", "l", "r")).alias("_cut"))
         .select("lang", "phrase", "a", "left", "right", "n", "_cut.score", "_cut.l", "_cut.r")

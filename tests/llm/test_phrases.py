@@ -96,3 +96,20 @@ def test_score_passes_64_bits(spark):
     df = spark.createDataFrame([(10**15, 10**16, 3 * 10**15, 10**15)], "a long, n long, l long, r long")
     got = df.select(F.expr(f"CAST(1000 AS DECIMAL(4, 0)) * {_number('a')} * {_number('n')} DIV ({_number('l')} * {_number('r')})")).collect()[0][0]
     assert got == 1000 * 10**31 // (3 * 10**30)
+
+
+def test_only_counts_per_language_are_broadcast(spark):
+    """Words and n-grams grow with the corpus; small here, they are joined as at any size."""
+    from loglattice.llm.phrase_mining import candidates
+
+    def joins(df):
+        plan = df._jdf.queryExecution()
+        df.collect()
+        return [set(re.findall(r"\w+Join \[\w+", str(x.toString()))) for x in (plan.sparkPlan(), plan.executedPlan())]
+
+    grams = spark.createDataFrame([([1, 2, 3], 5), ([1, 2], 6), ([2, 3], 7)], "words array<long>, a long")
+    assert joins(candidates(grams)) == [{"SortMergeJoin [words"}] * 2
+    assert {(tuple(r["words"]), r["left"], r["right"]) for r in candidates(grams).collect()} == {((1, 2, 3), None, None), ((1, 2), None, 5), ((2, 3), 5, None)}
+    docs = spark.createDataFrame([(1, "a b c. a b d", "en", "", 1, 1), (2, "e f. e f", "de", "", 1, 1)], SCHEMA)
+    for found in joins(collocations(docs, least=1)):
+        assert found == {"SortMergeJoin [_first", "SortMergeJoin [_rest", "SortMergeJoin [words", "SortMergeJoin [id", "BroadcastHashJoin [lang"}
