@@ -320,6 +320,28 @@ def test_truth_of_any_writing(spark, tmp_path):
     assert {tuple(r) for r in _truth(spark, str(tmp_path)).collect()} == held
 
 
+@pytest.mark.parametrize(("span", "found", "anchors"), [(7, 3, 1000), (5, 2, 2), (1 << 18, 1 << 16, 0)])
+def test_documents_never_send_all_their_runs(spark, tmp_path, monkeypatch, span, found, anchors):
+    """Texts are hashed in spans in the tasks; runs that no question is anchored on stay there."""
+    from loglattice.functions import text as tx
+
+    monkeypatch.setattr(tx, "SPAN", span)
+    monkeypatch.setattr(tx, "FOUND", found)
+    monkeypatch.setattr(ranking, "ANCHORS", anchors)
+    long = " ".join(f"w{i}" for i in range(400)) + " 東京 😀 end"
+    texts = [(1, long), (2, long[:900]), (2, "ab"), (3, None), (None, long), (4, "xa" * 30), (5, "")]
+    asked = [(1, long[100:160]), (2, "東京 😀 end"), (3, "w7"), (4, "x"), (4, "ab"), (5, ""), (6, None), (7, long[100:160]), (None, "xaxa")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(asked, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    truth = ranking._truth(spark, str(tmp_path))
+    held = {(q, d) for q, v in asked for d, t in texts if q and d and v and t and v in t}
+    assert sorted(map(tuple, truth.collect())) == sorted(held)
+    plan = truth._jdf.queryExecution().analyzed().toString()
+    assert "MapInArrow" in plan and "hashed(question" in plan and "hashed(text" not in plan
+    sent = tx.runs_among(spark.createDataFrame(texts, "doc_id long, text string"), "doc_id", "text", {4: np.array([2**62])})
+    assert sent.count() == 0
+
+
 def test_dense_questions_of_unlike_vectors(spark):
     from loglattice.operators.retrieval import dense_cosine
 
